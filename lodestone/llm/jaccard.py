@@ -20,7 +20,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, materialise, mix, text_blocks
@@ -32,6 +32,9 @@ BLOCK_BYTES = 2 << 20
 COUNT_TOKENS = 4 << 20  # tokens counted together before their repeats are sent on
 FREQUENT = 1 << 18  # size of the table of frequent shingles: 2 MB, the same at any corpus size
 MAX_LIGHT = 16
+#: Before what is left is compared pair by pair, up to ROUNDS times each text of a list longer than CROWD is
+#: compared with the BEST of PIVOTS texts of each list, as long as a share WORTHWHILE of this links.
+ROUNDS, CROWD, PIVOTS, BEST, WORTHWHILE = 3, 16, 12, 3, 0.01
 BROADCAST_ROWS = 200_000  # a side of two longs a row is broadcast up to this count, joined by shuffle beyond
 
 
@@ -224,6 +227,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFram
     return both.select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long")
 
 
+def _spread(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of lists that hold texts of several components, with their roots."""
+    named = lists.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    return materialise(named.join(open_keys, "key"), "spread")
+
+
+def _pairs(x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
+    """Pairs (a < b) of one list and two components whose sizes and places allow a link, one row a list."""
+    x, y = x.alias("x"), y.alias("y")
+    fits = _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & also & fits)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.node").alias("node"))
+
+
+def _best_pairs(spread: DataFrame, turn: int) -> DataFrame:
+    """For each text of a long list those with which it shares most lists, among a few of each list."""
+    spread = spread.where(F.col("size") > CROWD)
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+    few = spread.withColumn("place", place).where(F.col("place") <= PIVOTS).drop("place")
+    shared = _pairs(spread, few, F.lit(True)).groupBy("node", "a", "b").agg(F.count("*").alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "a", "b"))
+    return shared.withColumn("rank", rank).where(F.col("rank") <= BEST).select("a", "b").distinct()
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> one row per row: doc_id, n_shingles, component_id.
 
@@ -253,18 +281,26 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     edges = materialise(_verified(first, docs, holders), "links")
     roots = components(edges)
 
-    named = lists.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    spread = materialise(named.join(open_keys, "key", "left_semi"), "spread")
-    x, y = spread.alias("x"), spread.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = materialise(_verified(rest, docs, holders), "links")
-        if more.limit(1).count():
-            roots = components(edges.union(more))
+    tried, turn = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 0
+    while True:
+        spread = _spread(lists, roots)
+        last = turn == ROUNDS
+        pairs = _pairs(spread, spread, F.col("x.node") < F.col("y.node")).select("a", "b").distinct() if last else _best_pairs(spread, turn)
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            if last:
+                break
+            turn = ROUNDS
+            continue
+        more = materialise(_verified(pairs, docs, holders), "links")
+        found = more.count()
+        if found:
+            edges = materialise(edges.union(more), "edges")
+            roots = components(edges)
+        if last:
+            break
+        tried = tried.union(pairs)
+        turn = turn + 1 if found >= WORTHWHILE * pairs.count() else ROUNDS
 
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
