@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunker import chunked
-from ..functions.text import chunk_id, context_of, prompt_of
+from ..functions.text import chunk_id, context_of, prompt_of, trimmed
 from ..operators.changes import orphans, work_set
 from ..schema import migrate
 from ..sources.files import Config, parse, scan
@@ -78,7 +78,7 @@ def index(spark: SparkSession, root: str, config: Config, embedder: Embedder | N
     parsed.write.mode("overwrite").parquet(wide)
     parsed = spark.read.parquet(wide)
     result.failed = {r.source_path: r.error for r in parsed.where("error is not null").select("source_path", "error").collect()}
-    ready = parsed.where("error is null and length(trim(text)) > 0")
+    ready = parsed.where(F.col("error").isNull() & (F.length(trimmed(F.col("text"))) > 0))
     result.indexed = ready.count()
     result.skipped = listed.count() - parsed.count()
     if result.indexed:
