@@ -75,6 +75,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int)
             data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
             yield part, data, (offsets - offsets[0]).astype(np.int64)
             start += stop
+        pa.default_memory_pool().release_unused()
 
 
 def offsets_of(texts: pa.Array) -> np.ndarray:

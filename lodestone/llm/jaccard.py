@@ -28,8 +28,8 @@ from .components import components
 from .shingles import node_of, shingle_sets
 
 NUM, DEN = 4, 5  # the similarity 0.8 as a fraction
-BLOCK_BYTES = 2 << 20
-COUNT_TOKENS = 4 << 20  # tokens counted together before their repeats are sent on
+BLOCK_BYTES = 1 << 20
+COUNT_TOKENS = 2 << 20  # tokens counted together before their repeats are sent on
 FREQUENT = 1 << 18  # size of the table of frequent shingles: 2 MB, the same at any corpus size
 MAX_LIGHT = 16
 #: Before what is left is compared pair by pair, up to ROUNDS times each text of a list longer than CROWD is
@@ -207,6 +207,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             keep[i] = (NUM + DEN) * int((y[at] == x).sum()) >= NUM * (len(x) + len(y))
         yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
+        del a, b, left, right, batch
+        pa.default_memory_pool().release_unused()
 
 
 def _small(df: DataFrame) -> DataFrame:
