@@ -6,10 +6,12 @@ the boundary between them is the size up to which subsets cost less than lists.
 shuffle by list key. Frequent shingles come last in the order that picks the scanned ones, so passages
 that many texts share make no long lists.
 
-Instead of all pairs of a list, each text is first compared with one text of its lists; texts that are
-then in one component need no further comparison. What is left in lists that span several components
-is compared pair by pair, so no link between different texts is lost and large groups of near copies
-cost a linear number of comparisons.
+Instead of all pairs of a list, each text is first compared with the head of one of its lists: the text
+that has the fewest rarer shingles, so of a group of near copies the one with the fewest changes. Texts
+that are then in one component need no further comparison. In lists that still span several components,
+texts outside the largest one are held against those of other components, and pairs are built only where
+sizes, places and parity bitmaps (a lower bound of the symmetric difference) leave a link possible. No link
+between different texts is lost, and a group of near copies costs about one comparison a text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, materialise, mix, text_blocks
@@ -32,9 +34,7 @@ BLOCK_BYTES = 1 << 20
 COUNT_TOKENS = 2 << 20  # tokens counted together before their repeats are sent on
 FREQUENT = 1 << 18  # size of the table of frequent shingles: 2 MB, the same at any corpus size
 MAX_LIGHT = 16
-#: Before what is left is compared pair by pair, up to ROUNDS times each text of a list longer than CROWD is
-#: compared with the BEST of PIVOTS texts of each list, as long as a share WORTHWHILE of this links.
-ROUNDS, CROWD, PIVOTS, BEST, WORTHWHILE = 3, 16, 12, 3, 0.01
+WORDS = 8  # longs in the parity bitmap of a set
 BROADCAST_ROWS = 200_000  # a side of two longs a row is broadcast up to this count, joined by shuffle beyond
 
 
@@ -66,7 +66,14 @@ def boundary(list_length: float) -> int:
     return best
 
 
-_FACTS = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("seen", pa.int64())])
+_BITMAP = [f"s{k}" for k in range(WORDS)]
+_FACTS = pa.schema([(c, pa.int64()) for c in ["doc_id", "node", "n", "token", "seen", *_BITMAP]])
+
+
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of elements falls to i: where bitmaps differ, so do the sets."""
+    odd = np.bincount((mix(tokens) >> U64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +87,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
         tokens, seen = tokens[seen > 1].view(np.int64), seen[seen > 1]
         none = pa.nulls(len(tokens), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens), pa.array(seen)], schema=_FACTS)
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens), pa.array(seen), *[none] * WORDS], schema=_FACTS)
 
     for part, data, offsets in text_blocks(batches, "text", BLOCK_BYTES):
         sets = shingle_sets(data, offsets)
@@ -91,7 +98,9 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(s)
                 size += len(s)
         none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none], schema=_FACTS)
+        maps = np.array([_bitmap(s) for s in sets], dtype=np.int64).reshape(len(sets), WORDS)
+        ids = part.column(part.schema.get_field_index("doc_id"))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none, *(pa.array(maps[:, k]) for k in range(WORDS))], schema=_FACTS)
         if size >= COUNT_TOKENS:
             yield repeats()
             held, size = [], 0
@@ -155,8 +164,8 @@ _RUNS = "key long, node long, n int, pos int, pivot long, pivot_n int, pivot_pos
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and node: those of lists of two nodes or more, each beside the first
-    of its list. Holds one batch and one row, whatever a list's length."""
+    """From rows sorted by key, place and node: those of lists of two nodes or more, each beside the first
+    of its list, its head. Holds one batch and one row, whatever a list's length."""
     last = pivot = None
     told = False
     for batch in batches:
@@ -219,7 +228,7 @@ def _small(df: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
     """Those of the candidate pairs that link, by exact intersection of the whole sets."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(nodes.join(holders, "node").select("doc_id"), "wanted")
+    wanted = materialise(nodes.join(holders.select("node", "doc_id"), "node").select("doc_id"), "wanted")
     texts = docs.join(_small(wanted), "doc_id", "left_semi")
     sets = materialise(texts.select("text").mapInArrow(_sets, "node long, tokens binary"), "sets")
     # A doc_id that several rows have brings rows beyond those wanted; any one row of a node will do.
@@ -229,29 +238,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFram
     return both.select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long")
 
 
-def _spread(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of lists that hold texts of several components, with their roots."""
+def _spread(lists: DataFrame, roots: DataFrame, holders: DataFrame) -> DataFrame:
+    """The rows of lists that hold texts of several components, with their roots, bitmaps and the root that
+    most texts of the list have."""
     named = lists.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-    return materialise(named.join(open_keys, "key"), "spread")
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+    return materialise(named.join(main, "key").join(holders.select("node", *_BITMAP), "node"), "spread")
 
 
-def _pairs(x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
-    """Pairs (a < b) of one list and two components whose sizes and places allow a link, one row a list."""
-    x, y = x.alias("x"), y.alias("y")
+def _left(spread: DataFrame) -> DataFrame:
+    """Pairs (a < b) of one list and two components that sizes, places and bitmaps allow to link."""
+    x, y = spread.where("root <> main").alias("x"), spread.alias("y")
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     fits = _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & also & fits)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.node").alias("node"))
-
-
-def _best_pairs(spread: DataFrame, turn: int) -> DataFrame:
-    """For each text of a long list those with which it shares most lists, among a few of each list."""
-    spread = spread.where(F.col("size") > CROWD)
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
-    few = spread.withColumn("place", place).where(F.col("place") <= PIVOTS).drop("place")
-    shared = _pairs(spread, few, F.lit(True)).groupBy("node", "a", "b").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "a", "b"))
-    return shared.withColumn("rank", rank).where(F.col("rank") <= BEST).select("a", "b").distinct()
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BITMAP), F.lit(0))
+    near = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & fits & near)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -264,8 +268,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     among 10^9 different texts: about 3 in 100).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = materialise(docs.mapInArrow(_facts, "doc_id long, node long, n long, token long, seen long"), "facts")
-    rows = facts.where("doc_id is not null or n is not null").select("doc_id", "node", "n")
+    facts = materialise(docs.mapInArrow(_facts, ", ".join(f"{c} long" for c in _FACTS.names)), "facts")
+    rows = facts.where("doc_id is not null or n is not null").select("doc_id", "node", "n", *_BITMAP)
     counted = facts.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
     top = counted.orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
     tokens, seen = np.asarray(top["token"]).view(U64), np.asarray(top["seen"])
@@ -274,35 +278,20 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     listed = docs.select("text").mapInArrow(_postings(tokens, seen, light), _LISTED)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    lists = materialise(listed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_runs, _RUNS), "lists")
+    lists = materialise(listed.repartition(parts, "key").sortWithinPartitions("key", "pos", "node").mapInArrow(_runs, _RUNS), "lists")
 
-    holders = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    holders = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in _BITMAP])
     fits = _possible(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
     met = lists.where((F.col("node") != F.col("pivot")) & fits).groupBy(F.col("node").alias("b"), F.col("pivot").alias("a")).agg(F.count("*").alias("shared"))
     first = materialise(met.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "first")
     edges = materialise(_verified(first, docs, holders), "links")
     roots = components(edges)
 
-    tried, turn = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 0
-    while True:
-        spread = _spread(lists, roots)
-        last = turn == ROUNDS
-        pairs = _pairs(spread, spread, F.col("x.node") < F.col("y.node")).select("a", "b").distinct() if last else _best_pairs(spread, turn)
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            if last:
-                break
-            turn = ROUNDS
-            continue
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialise(_left(_spread(lists, roots, holders)).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if pairs.limit(1).count():
         more = materialise(_verified(pairs, docs, holders), "links")
-        found = more.count()
-        if found:
-            edges = materialise(edges.union(more), "edges")
-            roots = components(edges)
-        if last:
-            break
-        tried = tried.union(pairs)
-        turn = turn + 1 if found >= WORTHWHILE * pairs.count() else ROUNDS
+        roots = components(edges.union(more))
 
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
