@@ -34,6 +34,7 @@ BLOCK_BYTES = 1 << 20
 COUNT_TOKENS = 2 << 20  # tokens counted together before their repeats are sent on
 FREQUENT = 1 << 18  # size of the table of frequent shingles: 2 MB, the same at any corpus size
 MAX_LIGHT = 16
+SHORT = 16  # lists up to this length lose at once the rows that fit no other of the list
 WORDS = 8  # longs in the parity bitmap of a set
 BROADCAST_ROWS = 200_000  # a side of two longs a row is broadcast up to this count, joined by shuffle beyond
 
@@ -163,6 +164,26 @@ def _postings(tokens: np.ndarray, seen: np.ndarray, light: int):
 _RUNS = "key long, node long, n int, pos int, pivot long, pivot_n int, pivot_pos int"
 
 
+def _partnered(rows: list[np.ndarray], carried: bool) -> np.ndarray:
+    """Which of the rows sorted by list may link with another of their list. All rows of lists over SHORT, and
+    of those that can reach beyond these rows (the last, and if carried the first), count as such."""
+    key, _, n, pos = rows
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    whole = sizes > SHORT
+    whole[-1] = True
+    whole[0] |= carried
+    keep = np.repeat(whole, sizes)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    for k in range(1, min(SHORT, len(key))):
+        a, b = n[:-k], n[k:]
+        fits = (key[:-k] == key[k:]) & (DEN * np.minimum(a, b) >= NUM * np.maximum(a, b))
+        fits &= (NUM + DEN) * np.minimum(a - pos[:-k], b - pos[k:]) >= NUM * (a + b)
+        keep[:-k] |= fits
+        keep[k:] |= fits
+    return keep
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, place and node: those of lists of two nodes or more, each beside the first
     of its list, its head. Holds one batch and one row, whatever a list's length."""
@@ -177,6 +198,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.ones(len(rows[0]), dtype=bool)
         fresh[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
         rows = [c[fresh] for c in rows]
+        partnered = _partnered(rows, last is not None)
+        rows = [c[partnered] for c in rows]
         key = rows[0]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(starts, len(key)))
