@@ -10,7 +10,8 @@ Instead of all pairs of a list, each text is first compared with the head of one
 that has the fewest rarer shingles, so of a group of near copies the one with the fewest changes. Texts
 that are then in one component need no further comparison. In lists that still span several components,
 texts outside the largest one are held against those of other components, and pairs are built only where
-sizes, places and parity bitmaps (a lower bound of the symmetric difference) leave a link possible. No link
+sizes, places and parity bitmaps (a lower bound of the symmetric difference) leave a link possible. Before
+whole sets are sent to be compared, every pair must also pass bitmaps as wide as its sets are large. No link
 between different texts is lost, and a group of near copies costs about one comparison a text.
 """
 
@@ -35,7 +36,7 @@ COUNT_TOKENS = 2 << 20  # tokens counted together before their repeats are sent
 FREQUENT = 1 << 18  # size of the table of frequent shingles: 2 MB, the same at any corpus size
 MAX_LIGHT = 16
 SHORT = 16  # lists up to this length lose at once the rows that fit no other of the list
-WORDS = 8  # longs in the parity bitmap of a set
+WORDS = 8  # longs in the parity bitmap that list rows carry
 BROADCAST_ROWS = 200_000  # a side of two longs a row is broadcast up to this count, joined by shuffle beyond
 
 
@@ -68,15 +69,22 @@ def boundary(list_length: float) -> int:
 
 
 _BITMAP = [f"s{k}" for k in range(WORDS)]
-_FACTS = pa.schema([(c, pa.int64()) for c in ["doc_id", "node", "n", "token", "seen", *_BITMAP]])
+_FACTS = pa.schema([*((c, pa.int64()) for c in ["doc_id", "node", "n", "token", "seen", *_BITMAP]), ("wide", pa.binary())])
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Bit i tells whether an odd number of elements falls to i: where bitmaps differ, so do the sets."""
-    odd = np.bincount((mix(tokens) >> U64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    """Bit i tells whether an odd number of elements falls to i: where bitmaps differ, so do the sets. It has
+    the first power of two of bits from the set's size and from 64 * WORDS on, so that it stays telling."""
+    width = 1 << (max(64 * WORDS, len(tokens)) - 1).bit_length()
+    odd = np.bincount((mix(tokens) >> U64(32)).astype(np.int64) % width, minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set in fewer longs."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (node null without words), and rows (token, seen) for the shingles that
     several different sets of this partition have."""
@@ -88,7 +96,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
         tokens, seen = tokens[seen > 1].view(np.int64), seen[seen > 1]
         none = pa.nulls(len(tokens), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens), pa.array(seen), *[none] * WORDS], schema=_FACTS)
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens), pa.array(seen), *[none] * WORDS, pa.nulls(len(tokens), pa.binary())], schema=_FACTS)
 
     for part, data, offsets in text_blocks(batches, "text", BLOCK_BYTES):
         sets = shingle_sets(data, offsets)
@@ -99,9 +107,10 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(s)
                 size += len(s)
         none = pa.nulls(len(sets), pa.int64())
-        maps = np.array([_bitmap(s) for s in sets], dtype=np.int64).reshape(len(sets), WORDS)
+        wide = [_bitmap(s) for s in sets]
+        maps = np.array([_folded(w, WORDS) for w in wide], dtype=np.int64).reshape(len(sets), WORDS)
         ids = part.column(part.schema.get_field_index("doc_id"))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none, *(pa.array(maps[:, k]) for k in range(WORDS))], schema=_FACTS)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none, *(pa.array(maps[:, k]) for k in range(WORDS)), pa.array([w.tobytes() for w in wide], pa.binary())], schema=_FACTS)
         if size >= COUNT_TOKENS:
             yield repeats()
             held, size = [], 0
@@ -228,6 +237,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, n, m, left, right = batch.columns
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        for i, size in enumerate((np.asarray(n) + np.asarray(m)).tolist()):
+            x, y = (np.frombuffer(c[i].as_buffer(), dtype=np.int64) for c in (left, right))
+            words = min(len(x), len(y))
+            apart = int(np.bitwise_count((_folded(x, words) ^ _folded(y, words)).view(U64)).sum())
+            keep[i] = (NUM + DEN) * apart <= (DEN - NUM) * size
+        yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, left, right = batch.columns
@@ -248,23 +269,34 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _beside(pairs: DataFrame, by_node: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """The pairs (a, b), with columns of by_node for both nodes under the two names given for each."""
+    for side, end in enumerate("ab"):
+        own = by_node.select(F.col("node").alias(end), *[F.col(c).alias(names[side]) for c, names in columns.items()])
+        pairs = pairs.join(own, end)
+    return pairs.select("a", "b", *[names[side] for names in columns.values() for side in range(2)])
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
-    """Those of the candidate pairs that link, by exact intersection of the whole sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(nodes.join(holders.select("node", "doc_id"), "node").select("doc_id"), "wanted")
+    """Those of the candidate pairs that link: bitmaps first, then exact intersection of the whole sets."""
+    known = materialise(holders.join(_small(_nodes(pairs)), "node", "left_semi").select("node", "doc_id", "n", "wide"), "known")
+    near = materialise(_beside(pairs, known, {"n": ("n", "m"), "wide": ("left", "right")}).mapInArrow(_near, "a long, b long"), "near")
+    wanted = materialise(known.select("node", "doc_id").join(_small(_nodes(near)), "node", "left_semi").select("doc_id"), "wanted")
     texts = docs.join(_small(wanted), "doc_id", "left_semi")
     sets = materialise(texts.select("text").mapInArrow(_sets, "node long, tokens binary"), "sets")
     # A doc_id that several rows have brings rows beyond those wanted; any one row of a node will do.
     one = sets.dropDuplicates(["node"]) if sets.count() > wanted.count() else sets
-    left = pairs.join(one.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
-    both = left.join(one.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long")
+    return _beside(near, one, {"tokens": ("left", "right")}).mapInArrow(_linked, "a long, b long")
 
 
 def _spread(lists: DataFrame, roots: DataFrame, holders: DataFrame) -> DataFrame:
     """The rows of lists that hold texts of several components, with their roots, bitmaps and the root that
     most texts of the list have."""
-    named = lists.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = lists.select("key", "node", "n", "pos").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     return materialise(named.join(main, "key").join(holders.select("node", *_BITMAP), "node"), "spread")
@@ -291,8 +323,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     among 10^9 different texts: about 3 in 100).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = materialise(docs.mapInArrow(_facts, ", ".join(f"{c} long" for c in _FACTS.names)), "facts")
-    rows = facts.where("doc_id is not null or n is not null").select("doc_id", "node", "n", *_BITMAP)
+    facts = materialise(docs.mapInArrow(_facts, ", ".join(f"{c} long" for c in _FACTS.names[:-1]) + ", wide binary"), "facts")
+    rows = facts.where("doc_id is not null or n is not null").select("doc_id", "node", "n")
     counted = facts.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
     top = counted.orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
     tokens, seen = np.asarray(top["token"]).view(U64), np.asarray(top["seen"])
@@ -303,7 +335,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     lists = materialise(listed.repartition(parts, "key").sortWithinPartitions("key", "pos", "node").mapInArrow(_runs, _RUNS), "lists")
 
-    holders = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in _BITMAP])
+    named = facts.where("node is not null").groupBy("node")
+    holders = materialise(named.agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ["n", *_BITMAP, "wide"]]), "holders")
     fits = _possible(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
     met = lists.where((F.col("node") != F.col("pivot")) & fits).groupBy(F.col("node").alias("b"), F.col("pivot").alias("a")).agg(F.count("*").alias("shared"))
     first = materialise(met.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "first")
