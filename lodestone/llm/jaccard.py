@@ -350,5 +350,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         roots = components(edges.union(more))
 
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    groups = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    # Written first: over an aggregate Spark does not split the tasks of a large component.
+    least = materialise(groups.where("size > 1").select("root", "least"), "least")
+    return rows.join(_small(least), "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

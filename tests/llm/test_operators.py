@@ -66,6 +66,26 @@ def test_jaccard_equals_brute_force(spark):
     assert got == _brute(rows)
 
 
+def test_jaccard_bitmaps_of_long_sets(spark):
+    r = random.Random(8)
+    rows, passage = [], " ".join(f"p{k}" for k in range(500))
+    for base in range(3):  # sizes on both sides of a power of two, changes on both sides of the limit
+        own = [f"{base}_{r.randrange(10**6)}" for _ in range(1000 + 20 * base)]
+        for changed in (0, 8, 16, 20, 24, 28, 40):
+            copy = list(own) + [f"e{r.randrange(10**6)}" for _ in range(r.choice([0, 30, 60]))]
+            for at in range(changed):
+                copy[at * 25] = f"c{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), passage + " " + " ".join(own[:700])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_classes(df).collect())
+    assert got == _brute(rows)
+    for n in (1, 500, 512, 513, 5000):
+        tokens = np.frombuffer(r.randbytes(8 * n), dtype=np.uint64)
+        wide = jaccard._bitmap(tokens)
+        assert len(wide) * 64 >= n and jaccard._folded(wide, jaccard.WORDS).sum() == np.packbits((np.bincount((jaccard.mix(tokens) >> np.uint64(32)).astype(np.int64) % 512, minlength=512) & 1).astype(np.uint8)).view(np.int64).sum()
+
+
 def test_jaccard_counts_and_empty(none):
     for n in range(1, 60):
         for m in range(n, 60):
