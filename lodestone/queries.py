@@ -183,7 +183,7 @@ def rebuild_document(s, d):
 
 
 def sentence_counts(s, d):
-    return corpus(s, d).where("not contains(content, '(')").select("doc_id", sentence_count(F.col("content")).alias("sentences"))
+    return corpus(s, d).select("doc_id", sentence_count(F.col("content")).alias("sentences"))
 
 
 def chunk_documents(s, d):

@@ -26,3 +26,10 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sentence_counts_has_every_document(spark, tmp_path):
+    texts = {1: "One. Two.", 2: "See (Gosea. Stanford) here. Then there.", 3: "Open (never. Closed. At all", 4: "A) b. Cd (e (f. G) h. I) j. K.", 5: None, 6: "", 7: " \n "}
+    spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.sentences for r in QUERIES["sentence_counts"](spark, str(tmp_path)).collect()}
+    assert got == {1: 2, 2: 2, 3: 1, 4: 3, 5: 0, 6: 0, 7: 0}
