@@ -2,8 +2,9 @@
 
 Markup is stripped so that each block element gives a line. The text lengths of sliding windows of lines
 surge where an article begins and dive where it ends; what lies between is kept. Lines inside elements
-that are never part of an article (menus, forms, notices and so on) count as empty, and where the page
-marks an article, lines outside it do too.
+that are never part of an article (menus, forms, notices and so on) count as empty. A mark of the page (article,
+main) is a weight only: where a marked element holds at least as much text as the largest stretch outside,
+the others count as empty and marked lines weigh more; else the marks are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3  # lines summed
 SURGE, SHARE = 80, 0.25  # a surge has so many characters, or this share of the page's largest window if less
-LINK_SHARE = 0.5  # outside a marked article a line with more link text than this counts as empty
+LINK_SHARE = 0.5  # outside a trusted mark a line with more link text than this counts as empty
+MARK_WEIGHT = 4  # of characters inside a trusted mark
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -40,14 +42,14 @@ def _named(attributes: str) -> str:
     return " ".join(next(filter(None, m), "") for m in _NAMED.findall(attributes))
 
 
-def lines_of(html: str) -> list[tuple[str, float, bool, bool]]:
-    """Per block its text, share of link text, whether it is never article text, and whether it stands
-    in a marked article."""
-    out: list[tuple[str, float, bool, bool]] = []
+def lines_of(html: str) -> list[tuple[str, float, bool, int]]:
+    """Per block its text, share of link text, whether it is never article text, and the number from 1 on
+    of the outermost marked element that it stands in, 0 if in none."""
+    out: list[tuple[str, float, bool, int]] = []
     parts: list[str] = []
     linked = total = 0
     skip: list[str] = []  # open elements from the outermost skipped one on
-    marked = link = 0
+    marked = link = number = 0
     at, n = 0, len(html)
 
     def end_line() -> None:
@@ -55,7 +57,7 @@ def lines_of(html: str) -> list[tuple[str, float, bool, bool]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, linked / max(1, total), bool(skip), marked > 0))
+                out.append((text, linked / max(1, total), bool(skip), number if marked else 0))
             parts.clear()
             linked = total = 0
 
@@ -99,6 +101,7 @@ def lines_of(html: str) -> list[tuple[str, float, bool, bool]]:
         if name in VOID or m[3].endswith("/"):
             continue
         if name in MARKED:
+            number += not marked
             marked += 1
         if skip:
             if name == skip[0] or name in BLOCK and name not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
@@ -110,14 +113,8 @@ def lines_of(html: str) -> list[tuple[str, float, bool, bool]]:
     return out
 
 
-def main_text(html: str) -> str:
-    """The article's blocks, joined by line breaks; empty if there is none."""
-    lines = lines_of(html)
-    article = any(inside and not never for _, _, never, inside in lines)
-    sizes = [0 if never or (not inside if article else links > LINK_SHARE) else len(text) for text, links, never, inside in lines]
-    if not any(sizes):
-        return ""
-    # Windows look ahead from each line and stop at an empty one, where any article dives.
+def runs_of(sizes: list[int]) -> list[tuple[int, int]]:
+    """Stretches of lines that are not empty."""
     runs, begin = [], None
     for i, size in enumerate([*sizes, 0]):
         if size and begin is None:
@@ -125,9 +122,40 @@ def main_text(html: str) -> str:
         elif not size and begin is not None:
             runs.append((begin, i))
             begin = None
-    peaks = [max(sum(sizes[k : min(k + WINDOW, b)]) for k in range(a, b)) for a, b in runs]
-    least = 0 if article else min(SURGE, SHARE * max(peaks))
-    return "\n".join(lines[k][0] for (a, b), peak in zip(runs, peaks, strict=True) if peak >= least for k in range(a, b))
+    return runs
+
+
+def trusted(lines: list[tuple[str, float, bool, int]], sizes: list[int]) -> bool:
+    """Whether one marked element holds at least as many characters as the largest stretch outside of any."""
+    held: dict[int, int] = {}
+    for text, _, never, mark in lines:
+        if mark and not never:
+            held[mark] = held.get(mark, 0) + len(text)
+    outside = [0 if line[3] else size for line, size in zip(lines, sizes, strict=True)]
+    return bool(held) and max(held.values()) >= max((sum(outside[a:b]) for a, b in runs_of(outside)), default=0)
+
+
+def main_text(html: str) -> str:
+    """The article's blocks, joined by line breaks; empty if there is none."""
+    lines = lines_of(html)
+    sizes = [0 if never or links > LINK_SHARE else len(text) for text, links, never, _ in lines]
+    if trusted(lines, sizes):
+        # What is never article text does not end a marked article, it is cut out of it.
+        lines = [line for line in lines if not (line[2] and line[3])]
+        sizes = [MARK_WEIGHT * len(text) if mark else 0 for text, _, _, mark in lines]
+    if not any(sizes):
+        return ""
+    # A window looks ahead from its line and stops at an empty one, where any article dives.
+    runs = runs_of(sizes)
+    windows = {k: sum(sizes[k : min(k + WINDOW, b)]) for a, b in runs for k in range(a, b)}
+    least = min(SURGE, SHARE * max(windows.values()))
+    out: list[str] = []
+    for a, b in runs:
+        # The text surges at its first window of that size, and dives behind the last one.
+        full = [k for k in range(a, b) if windows[k] >= least]
+        if full:
+            out += [lines[k][0] for k in range(full[0], min(full[-1] + WINDOW, b))]
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:

@@ -172,6 +172,19 @@ def test_html():
     assert html_text.main_text("<p>" * 3000 + "x" + "<!--") == "x"
 
 
+def test_html_windows_decide_on_marked_pages():
+    body = [f"{k} " + "body " * 60 for k in range(5)]
+    cards = "".join(f"<article><h2>Card {k}</h2><p>{'tease ' * 9}</article>" for k in range(12))
+    page = "<body>" + cards + "<hr><div class=ad>Buy</div>" + "".join(f"<div>{x}</div>" for x in body)
+    got = html_text.main_text(page).split("\n")
+    assert all(x.strip() in got for x in body)
+    # inside a mark text begins at the surge and ends at the dive
+    edges = "".join(f"<p>e{k}" for k in range(8))
+    got = html_text.main_text(f"<article>{edges}{''.join(f'<p>{x}' for x in body)}{edges}</article><p>Outside").split("\n")
+    assert got == ["e6", "e7", *(x.strip() for x in body), "e0", "e1"]
+    assert html_text.main_text("<article><p>Only so short.<div class=ad>Buy</div><p>End.</article><p>Out") == "Only so short.\nEnd."
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, None), (2, "<p>x</p>"), (2, "<p>x</p>")], "page_id long, html string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(df, ["page_id"]).orderBy("page_id").collect()] == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
