@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 from .common import materialise, text_blocks, texts_of
 
 COMMON_WORDS = 64  # words of each language's reference histogram
-WORD_BYTES = 6  # common words are short: only words up to this length are counted one by one
 MIN_WORDS, MIN_CHARS = 50, 200  # shorter texts pass the word test, or the character test
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.48
 MAX_LANGUAGES = 64
-FLUSH = 200_000
+FLUSH, FLUSH_BYTES = 200_000, 32 << 20  # words held, or bytes read, until the counts so far are sent on
 
 #: Character classes: 0 lower case, 1 upper case, 2 digit, 3 white space, 4 sentence mark, 5 other ASCII
 #: mark, 6 control, 7 first byte of a longer character; the other bytes of longer characters count nowhere.
@@ -54,10 +53,10 @@ def class_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, word, n) with counts of this partition's short words, and with the words 'class 0' and
+    """Rows (lang, word, n) with counts of this partition's words, and with the words 'class 0' and
     so on and 'all' (with a blank before it, which no word can have) for character classes and all words."""
     words: dict[str, Counter] = {}
-    size = 0
+    read = 0
 
     def flush() -> pa.RecordBatch:
         rows = [(lang, w.decode("utf-8", "replace"), n) for lang, c in words.items() for w, n in c.items()]
@@ -69,13 +68,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text, counts in zip(langs, texts_of(data, offsets), class_counts(data, offsets).tolist(), strict=True):
             own = words.setdefault(lang, Counter())
             words_ = text.lower().split()
-            own.update([w for w in words_ if len(w) <= WORD_BYTES])
+            own.update(words_)
             own[b" all"] += len(words_)
             for k, n in enumerate(counts):
                 own[b" class %d" % k] += n
-        size = sum(map(len, words.values()))
-        if size > FLUSH:
+        read += len(data)
+        if sum(map(len, words.values())) > FLUSH or read > FLUSH_BYTES:
             yield flush()
+            read = 0
     yield flush()
 
 

@@ -231,6 +231,15 @@ def test_rules(spark, odd, none):
     assert rules.distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1.0 and rules.distance(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0.0
 
 
+def test_rules_count_words_of_any_length(spark, monkeypatch):
+    texts = [("internationalisation of the " * 40 + "словосочетание " * 30, "xx")] * 3 + [(" ".join(f"w{k}" for k in range(90)), "xx")]
+    monkeypatch.setattr(rules, "FLUSH_BYTES", 64)  # counts of several flushes add up
+    index, shares = rules.references(spark.createDataFrame(texts, "text string, lang string").coalesce(1)).words["xx"]
+    true = Counter(w.encode() for t, _ in texts for w in t.split())
+    want = sorted(true.items(), key=lambda x: (-x[1], x[0]))[: rules.COMMON_WORDS]
+    assert list(index) == [w for w, _ in want] and np.allclose(shares[:-1] * sum(true.values()), [n for _, n in want])
+
+
 def test_mixing(spark, none):
     rows = [(k, s) for k, s in enumerate(["a"] * 600 + ["b"] * 300 + ["c"] * 150 + [None] * 40)]
     df = spark.createDataFrame([(i, s, 9) for i, s in rows], "doc_id long, source string, slot int")
