@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each over all that the stage before it kept.
 
-Stages one to three drop documents, the fourth orders them, the last turns their texts into piece ids.
+Stages one to three drop documents, the fourth gives each its place in the mix, the last turns their texts into piece ids.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from lodestone.llm import jaccard, langid, mixing, pieces, quality_cnn
 from lodestone.llm.common import materialise, table
 
 BROADCAST_ROWS = 200_000
+PLACE = ["slot", "place_in_block"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +40,13 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Orders the documents so that any prefix follows the target weights of the sources."""
-    return mixing.mixed(docs, mixing.WEIGHTS)
+    """Adds slot and place_in_block: any prefix in their order follows the target weights of the sources."""
+    return mixing.schedule(docs, mixing.WEIGHTS).select(*[c for c in docs.columns if c not in PLACE], *PLACE)
 
 
 def sentencepiece_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_texts(docs, ["doc_id", "lang", "source"])
+    """Piece ids beside the place in the mix, which written files do not keep by their order."""
+    return pieces.encode_texts(docs, ["doc_id", "lang", "source", *[c for c in PLACE if c in docs.columns]])
 
 
 STAGES = [

@@ -264,3 +264,15 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, DATA.replace("0.01", "0.001"))
     rows = got.toPandas()
     assert len(corpus_pipeline.STAGES) == 5 and rows.round_trip.all() and rows.doc_id.is_unique and 100 < len(rows) < 200
+
+
+def test_pipeline_carries_the_mix(spark, tmp_path, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(k, f"text {k}", "en", f"src{k % 4}") for k in range(4 * 640)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas().sort_values(["slot", "place_in_block"])
+    assert len(got) == len(rows) and not got.duplicated(["slot", "place_in_block"]).any()
+    for blocks in range(1, 26):  # src0 has 10 blocks, all sources last for 25 slots
+        seen = Counter(got.source[: blocks * mixing.BLOCK_ROWS])
+        assert all(abs(seen[s] / mixing.BLOCK_ROWS - blocks * w / 15) < 1 for s, w in mixing.WEIGHTS.items())
