@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lodestone.llm import jaccard, langid, mixing, pieces, quality_cnn
 from lodestone.llm.common import materialise, table
 
-BROADCAST_ROWS = 200_000
 PLACE = ["slot", "place_in_block"]
 
 
@@ -29,14 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near duplicates."""
-    classes = materialise(jaccard.jaccard_classes(docs), "classes")
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Keeps one row of each group of near duplicates, that with the least doc_id, and all other rows."""
+    return jaccard.survivors(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -313,15 +313,8 @@ def _left(spread: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> one row per row: doc_id, n_shingles, component_id.
-
-    component_id is the least doc_id reachable over links, the document's own included. Null, empty and
-    blank texts have no shingles and link with nothing; exact copies link with each other; texts under
-    five words are one shingle. Repeated rows give repeated results; further columns are ignored; an empty
-    table gives an empty result. Names of sets and shingles are 64-bit hashes (chance of any false merge
-    among 10^9 different texts: about 3 in 100).
-    """
+def _rooted(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, node, n and root, the name of its component; node and root null without words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = materialise(docs.mapInArrow(_facts, ", ".join(f"{c} long" for c in _FACTS.names[:-1]) + ", wide binary"), "facts")
     rows = facts.where("doc_id is not null or n is not null").select("doc_id", "node", "n")
@@ -349,8 +342,47 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         more = materialise(_verified(pairs, docs, holders), "links")
         roots = components(edges.union(more))
 
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, ...) -> one row per row: doc_id, n_shingles, component_id.
+
+    component_id is the least doc_id reachable over links, the document's own included. Null, empty and
+    blank texts have no shingles and link with nothing; exact copies link with each other; texts under
+    five words are one shingle. Repeated rows give repeated results; further columns are ignored; an empty
+    table gives an empty result. Names of sets and shingles are 64-bit hashes (chance of any false merge
+    among 10^9 different texts: about 3 in 100).
+    """
+    rows = _rooted(docs)
     groups = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
     # Written first: over an aggregate Spark does not split the tasks of a large component.
     least = materialise(groups.where("size > 1").select("root", "least"), "least")
     return rows.join(_small(least), "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, offsets in text_blocks([batch], "text", BLOCK_BYTES):
+            names = [node_of(s) if len(s) else None for s in shingle_sets(data, offsets)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.int64())], names=[*part.schema.names, "_node"])
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near copies: of each component the one row with the least (doc_id, set name),
+    null ids last. Rows without a set or a link stay, whatever other rows have their doc_id."""
+    rows = materialise(_rooted(docs), "rooted").where("root is not null")
+    by = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    groups = rows.groupBy("root").agg(F.min(by).alias("first"), F.count("*").alias("size"))
+    first = materialise(groups.where("size > 1").select("root", "first"), "first")
+    linked = rows.join(_small(first), "root").withColumn("stays", F.col("first.node").eqNullSafe(F.col("node")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
+    pairs = materialise(linked.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_n")).agg(F.first("stays").alias("stays"), F.count("*").alias("size")), "pairs")
+    named = materialise(docs.mapInArrow(_with_nodes, docs.select("*", F.lit(None).cast("long").alias("_node")).schema), "named")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n"))
+    kept = named.join(_small(pairs.where("not stays")), same, "left_anti")
+    twice = pairs.where("stays and size > 1")
+    if twice.limit(1).count():
+        # Of rows equal in id and set one stays.
+        twice = _small(twice)
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_node"]))
+    return kept.select(*docs.columns)

@@ -276,3 +276,16 @@ def test_pipeline_carries_the_mix(spark, tmp_path, monkeypatch):
     for blocks in range(1, 26):  # src0 has 10 blocks, all sources last for 25 slots
         seen = Counter(got.source[: blocks * mixing.BLOCK_ROWS])
         assert all(abs(seen[s] / mixing.BLOCK_ROWS - blocks * w / 15) < 1 for s, w in mixing.WEIGHTS.items())
+
+
+def test_pipeline_join_keeps_rows_by_text(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"w{k}" for k in range(60))
+    near, null_near = long + " end", " ".join(f"n{k}" for k in range(60))
+    rows = [(1, long), (5, near), (5, "unique text under a repeated id that must stay here"), (5, "another unique text of id five for the test")]
+    rows += [(None, "first clean text without any id at all"), (None, "second clean text without any id at all here"), (None, null_near), (None, null_near), (None, None), (None, " ")]
+    rows += [(7, "same row twice with the same id"), (7, "same row twice with the same id"), (8, None), (8, None), (9, "copy of it all in six"), (3, "copy of it all in six")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, df, "").collect())
+    want = Counter(rows) - Counter([(5, near), (None, null_near), (7, rows[10][1]), (9, rows[14][1])])
+    assert got == want
