@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word definition `[^\x20\x09-\x0D]+`.
@@ -16,13 +17,18 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 U64 = np.uint64
+#: A side of a few longs or short strings a row is broadcast up to this count, joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset
-    (tests on one machine) a temporary folder that is then set for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and Spark runs in
+    one process (tests), a temporary folder that is then set for the session; on a cluster RuntimeError, as
+    every machine would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -40,6 +46,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its row count, taken here, is within BROADCAST_ROWS."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,6 +60,12 @@ def fold_of(key: str = "doc_id", folds: int = 5):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
 
 
+def window_of(text: Column, chars: int) -> Column:
+    """The text itself, or of a longer one so many characters from anywhere in it, by a hash of the text."""
+    last = F.greatest(F.length(text) - chars, F.lit(0))
+    return F.substring(text, F.pmod(F.xxhash64(text, F.lit("window")), last + 1).cast("int") + 1, F.lit(chars))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply), element by element."""
     x = np.asarray(x, dtype=U64).copy()
@@ -60,22 +77,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def blocks_of(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut texts into stretches of about max_bytes (one longer text stays whole). Yields begin and end of
+    each, its texts as one byte array and the n+1 offsets into it; null is empty."""
+    ends, raw = offsets_of(texts), texts.buffers()[2]
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + max_bytes, side="right")) - 1)
+        offsets = ends[start : stop + 1]
+        data = np.frombuffer(raw or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        yield start, stop, data, (offsets - offsets[0]).astype(np.int64)
+        start = stop
+    pa.default_memory_pool().release_unused()
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut Arrow batches so that each has about max_bytes of text (one longer text stays whole).
-    Yields the batch, its texts as one byte array and the n+1 offsets into it; null is empty."""
+    """blocks_of a column of Arrow batches, each with its part of the batch."""
     for batch in batches:
-        rows, k = batch.num_rows, batch.schema.get_field_index(column)
-        start = 0
-        while start < rows:
-            texts = batch.column(k).slice(start)
-            ends = offsets_of(texts)
-            stop = max(1, int(np.searchsorted(ends, ends[0] + max_bytes, side="right")) - 1)
-            part = batch.slice(start, stop)
-            offsets = ends[: stop + 1]
-            data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-            yield part, data, (offsets - offsets[0]).astype(np.int64)
-            start += stop
-        pa.default_memory_pool().release_unused()
+        for start, stop, data, offsets in blocks_of(batch.column(batch.schema.get_field_index(column)), max_bytes):
+            yield batch.slice(start, stop - start), data, offsets
+
+
+#: From a block's bytes, its offsets and the texts themselves to the results, one for each text.
+Judge = Callable[[np.ndarray, np.ndarray, pa.Array], pa.Array]
+
+
+def text_column(text: Column, kind: str, start: Callable[[], Judge], max_bytes: int = 2 << 20) -> Column:
+    """A column computed from whole texts by Arrow batches. Only the text goes to Python and only the result
+    comes back; all other columns stay where they are. start is called once in each task."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge = start()
+        for texts in batches:
+            parts = [judge(data, offsets, texts.slice(a, b - a)) for a, b, data, offsets in blocks_of(texts, max_bytes)]
+            yield pa.concat_arrays(parts) if parts else judge(np.zeros(0, np.uint8), np.zeros(1, np.int64), texts)
+
+    return run(text)
+
+
+def struct_array(columns: dict[str, pa.Array]) -> pa.Array:
+    return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+
+
+def beside(rows: DataFrame, keep: list[str], result: Column, kind: str) -> DataFrame:
+    """The columns in keep, then the fields of a struct column of that kind ("name type, ..."). A column in
+    keep that is named like a field, upper and lower case being the same, is replaced by it."""
+    new = {f.split()[0].lower() for f in kind.split(", ")}
+    kept = [F.col(f"`{c}`") for c in dict.fromkeys(keep) if c.lower() not in new]
+    return rows.select(*kept, result.alias("_result")).select(*kept, "_result.*")
 
 
 def offsets_of(texts: pa.Array) -> np.ndarray:

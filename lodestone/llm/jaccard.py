@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, text_blocks
+from .common import U64, materialise, mix, small, text_blocks, text_column
 from .components import components
 from .shingles import node_of, shingle_sets
 
@@ -37,7 +37,6 @@ FREQUENT = 1 << 18  # size of the table of frequent shingles: 2 MB, the same at
 MAX_LIGHT = 16
 SHORT = 16  # lists up to this length lose at once the rows that fit no other of the list
 WORDS = 8  # longs in the parity bitmap that list rows carry
-BROADCAST_ROWS = 200_000  # a side of two longs a row is broadcast up to this count, joined by shuffle beyond
 
 
 def needed(a: int, b: int) -> int:
@@ -264,11 +263,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its row count, taken here, is within BROADCAST_ROWS."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _beside(pairs: DataFrame, by_node: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """The pairs (a, b), with columns of by_node for both nodes under the two names given for each."""
     for side, end in enumerate("ab"):
@@ -283,10 +277,10 @@ def _nodes(pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
     """Those of the candidate pairs that link: bitmaps first, then exact intersection of the whole sets."""
-    known = materialise(holders.join(_small(_nodes(pairs)), "node", "left_semi").select("node", "doc_id", "n", "wide"), "known")
+    known = materialise(holders.join(small(_nodes(pairs)), "node", "left_semi").select("node", "doc_id", "n", "wide"), "known")
     near = materialise(_beside(pairs, known, {"n": ("n", "m"), "wide": ("left", "right")}).mapInArrow(_near, "a long, b long"), "near")
-    wanted = materialise(known.select("node", "doc_id").join(_small(_nodes(near)), "node", "left_semi").select("doc_id"), "wanted")
-    texts = docs.join(_small(wanted), "doc_id", "left_semi")
+    wanted = materialise(known.select("node", "doc_id").join(small(_nodes(near)), "node", "left_semi").select("doc_id"), "wanted")
+    texts = docs.join(small(wanted), "doc_id", "left_semi")
     sets = materialise(texts.select("text").mapInArrow(_sets, "node long, tokens binary"), "sets")
     # A doc_id that several rows have brings rows beyond those wanted; any one row of a node will do.
     one = sets.dropDuplicates(["node"]) if sets.count() > wanted.count() else sets
@@ -296,7 +290,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFram
 def _spread(lists: DataFrame, roots: DataFrame, holders: DataFrame) -> DataFrame:
     """The rows of lists that hold texts of several components, with their roots, bitmaps and the root that
     most texts of the list have."""
-    named = lists.select("key", "node", "n", "pos").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = lists.select("key", "node", "n", "pos").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     return materialise(named.join(main, "key").join(holders.select("node", *_BITMAP), "node"), "spread")
@@ -358,14 +352,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     groups = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
     # Written first: over an aggregate Spark does not split the tasks of a large component.
     least = materialise(groups.where("size > 1").select("root", "least"), "least")
-    return rows.join(_small(least), "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(small(least), "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, offsets in text_blocks([batch], "text", BLOCK_BYTES):
-            names = [node_of(s) if len(s) else None for s in shingle_sets(data, offsets)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.int64())], names=[*part.schema.names, "_node"])
+def _node_column(text: Column) -> Column:
+    """The name of a text's set, null without words."""
+
+    def judge(data: np.ndarray, offsets: np.ndarray, _: pa.Array) -> pa.Array:
+        return pa.array([node_of(s) if len(s) else None for s in shingle_sets(data, offsets)], pa.int64())
+
+    return text_column(text, "long", lambda: judge, BLOCK_BYTES)
 
 
 def survivors(docs: DataFrame) -> DataFrame:
@@ -375,14 +371,14 @@ def survivors(docs: DataFrame) -> DataFrame:
     by = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
     groups = rows.groupBy("root").agg(F.min(by).alias("first"), F.count("*").alias("size"))
     first = materialise(groups.where("size > 1").select("root", "first"), "first")
-    linked = rows.join(_small(first), "root").withColumn("stays", F.col("first.node").eqNullSafe(F.col("node")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
+    linked = rows.join(small(first), "root").withColumn("stays", F.col("first.node").eqNullSafe(F.col("node")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
     pairs = materialise(linked.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_n")).agg(F.first("stays").alias("stays"), F.count("*").alias("size")), "pairs")
-    named = materialise(docs.mapInArrow(_with_nodes, docs.select("*", F.lit(None).cast("long").alias("_node")).schema), "named")
+    named = materialise(docs.withColumn("_node", _node_column(F.col("text"))), "named")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n"))
-    kept = named.join(_small(pairs.where("not stays")), same, "left_anti")
+    kept = named.join(small(pairs.where("not stays")), same, "left_anti")
     twice = pairs.where("stays and size > 1")
     if twice.limit(1).count():
         # Of rows equal in id and set one stays.
-        twice = _small(twice)
+        twice = small(twice)
         kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_node"]))
     return kept.select(*docs.columns)

@@ -6,21 +6,22 @@ with each dictionary; the smallest total names the language, and a narrow margin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_blocks, texts_of
+from .common import beside, fold_of, materialise, small, struct_array, text_column, texts_of, window_of
 
-#: Bounds of what is learned from: dictionary bytes for each language, texts sampled for each language,
-#: bytes that one text may give, and languages (more raise ValueError).
-DICTIONARY_BYTES, SAMPLE_TEXTS, TEXT_BYTES, MAX_LANGUAGES = 98_304, 256, 1536, 64
+#: Bounds of what is learned from: dictionary bytes of a language, its sampled texts, and the characters of
+#: the window that a longer text gives. They hold for up to FULL languages; more languages share what
+#: FULL have together, LEAST_TEXTS for each at least. All languages are learned, however many.
+DICTIONARY_BYTES, SAMPLE_TEXTS, WINDOW_CHARS, FULL, LEAST_TEXTS = 98_304, 256, 1536, 64, 4
 BLOCK = 16_384
+#: Blanks before each block, a few bytes in any language: zstandard stores a block that gains little as it is,
+#: which would make short texts equally long in all languages.
+CARRIER = b" " * 64
 MIN_MARGIN = 0.005  # relative; narrower rejects
-MIN_BYTES = 64  # of normalised text; a shorter text cannot show a margin and is not rejected
 SHARPNESS = 60.0
 
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -38,29 +39,21 @@ def has_letter(text: bytes) -> bool:
 
 
 def fit(docs: DataFrame, lang: str = "lang") -> dict[str, bytes]:
-    """Dictionaries learned from text and lang of the rows outside the held-out fold: for each language
-    up to SAMPLE_TEXTS texts with the least hash, TEXT_BYTES of each, most frequent language first."""
-    known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & (fold_of() != 0)).select(F.col(lang).alias("lang"), "text")
-    counts = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError("more languages than MAX_LANGUAGES")
-    if not counts:
-        return {}
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 2.0 * SAMPLE_TEXTS / r["count"]))).otherwise(share)
-    h = F.xxhash64("text")
-    picked = known.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20)).select("lang", F.substring("text", 1, TEXT_BYTES).alias("text"), h.alias("h")).distinct()
-    rows = picked.orderBy("h", "lang", "text").limit(4 * SAMPLE_TEXTS * len(counts)).collect()
-    out: dict[str, bytes] = {}
-    for r in sorted(counts, key=lambda r: (-r["count"], r.lang)):
-        parts, size = [], 0
-        for row in rows:
-            if row.lang == r.lang and size < DICTIONARY_BYTES and len(parts) < SAMPLE_TEXTS:
-                parts.append(normal(row.text.encode())[:TEXT_BYTES] + b" ")
-                size += len(parts[-1])
-        out[r.lang] = b"".join(parts)[-DICTIONARY_BYTES:]
-    return out
+    """Dictionaries learned from text and lang of the rows outside the held-out fold: for each language up to
+    SAMPLE_TEXTS different texts, those with the least hash, however many copies the language holds. The
+    language with the most different texts comes first."""
+    known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & (fold_of() != 0)).select(F.col(lang).cast("string").alias("lang"), "text", F.xxhash64("text").alias("h"))
+    texts = materialise(known.select("lang", "h").distinct(), "texts")
+    counts = {r.lang: r["count"] for r in texts.groupBy("lang").count().collect()}
+    each = min(SAMPLE_TEXTS, max(LEAST_TEXTS, SAMPLE_TEXTS * FULL // max(1, len(counts))))
+    room = min(DICTIONARY_BYTES, max(1024, DICTIONARY_BYTES * FULL // max(1, len(counts))))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = materialise(texts.withColumn("_place", place).where(F.col("_place") <= each).drop("_place"), "picked")
+    rows = known.join(small(picked), ["lang", "h"]).select("lang", "h", window_of(F.col("text"), WINDOW_CHARS).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    parts: dict[str, list[bytes]] = {}
+    for r in rows.orderBy("h", "lang").collect():
+        parts.setdefault(r.lang, []).append(normal(r.text.encode()) + b" ")
+    return {name: b"".join(parts[name])[-room:] for name in sorted(counts, key=lambda x: (-counts[x], x))}
 
 
 class Languages:
@@ -77,7 +70,7 @@ class Languages:
             self.coders.append(z.ZstdCompressor(compression_params=options, dict_data=content))
 
     def sizes(self, text: bytes) -> np.ndarray:
-        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)] or [b""]
+        blocks = [CARRIER + text[i : i + BLOCK] for i in range(0, len(text), BLOCK)] or [CARRIER]
         return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.coders], float)
 
     def judge(self, text: bytes) -> tuple[str, float, bool]:
@@ -90,20 +83,33 @@ class Languages:
         odds = np.exp(-SHARPNESS * (sizes - sizes[best]) / max(1.0, sizes[best]))
         others = np.delete(sizes, best)
         margin = float((others.min() - sizes[best]) / max(1.0, others.min())) if len(others) else 1.0
-        return self.names[best], float(odds[best] / odds.sum()), len(plain) >= MIN_BYTES and margin < MIN_MARGIN
+        return self.names[best], float(odds[best] / odds.sum()), margin < MIN_MARGIN
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str]) -> DataFrame:
-    """The columns in keep, and for the whole text lang_pred, score (0 to 1) and rejected.
+_FOUND = "lang_pred string, score double, rejected boolean"
 
-    Null, empty and letterless texts are `und` with score 0 and rejected. Equal texts get equal answers.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def language_column(text: Column, dictionaries: dict[str, bytes]) -> Column:
+    """A struct of lang_pred, score and rejected for whole texts."""
+
+    def start():
         languages = Languages(dictionaries)
-        for part, data, offsets in text_blocks(batches, "text", 2 << 20):
-            found = [languages.judge(t) for t in texts_of(data, offsets)]
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+        def judge(data: np.ndarray, offsets: np.ndarray, _: pa.Array) -> pa.Array:
+            names, scores, rejected = zip(*map(languages.judge, texts_of(data, offsets)), strict=True) if len(offsets) > 1 else ((), (), ())
+            return struct_array({"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "rejected": pa.array(rejected, pa.bool_())})
+
+        return judge
+
+    return text_column(text, _FOUND, start)
+
+
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str]) -> DataFrame:
+    """The columns in keep, and for the whole text, however long, lang_pred, score (0 to 1) and rejected.
+
+    Null, empty and letterless texts are `und` with score 0 and rejected, as are all without dictionaries.
+    Where two languages compress a text equally the first in the dictionaries is named and the margin of 0
+    rejects. Equal texts get equal answers, repeated rows one each; an empty table gives an empty result; a
+    column in keep that is named like an added one is replaced.
+    """
+    return beside(docs, keep, language_column(F.col("text"), dictionaries), _FOUND)

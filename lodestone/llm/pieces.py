@@ -10,16 +10,18 @@ models exactly one such path reaches each position, and it is the model's own se
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import U64, mix, text_blocks, texts_of
+from .common import U64, beside, mix, struct_array, text_column, texts_of
 
 BLANK = "▁"
 #: Vocabulary file of a public tokenizer, as an example of the parameter.
@@ -250,6 +252,16 @@ class Pieces:
         return [raw[a + 1 : b] if raw[a : a + 1] == b" " else raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary file with the job, where executors have no such path; returns the model's new name."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def found(model: str) -> str:
+    return model if os.path.isabs(model) else SparkFiles.get(model)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     return Pieces(path)
@@ -323,17 +335,24 @@ class Encoder:
         return rows[back]
 
 
+_ENCODED = "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+
+
 def encode_texts(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
     """The columns in keep, then ids (array<int>), n_tokens, ids_sha256 (of the ids as little-endian
     32-bit numbers), decoded_sha256 and round_trip (the ids decode to the text's own bytes).
 
-    A null text gives null ids, zero tokens and a true round trip; an empty text gives no ids. U+2581
-    in a text means a blank to this kind of model, so it decodes as one and round_trip is false.
+    A null text gives null ids, zero tokens and a true round trip; an empty text gives no ids; a text is
+    encoded whole, however long. U+2581 in a text means a blank to this kind of model, so it decodes as one
+    and round_trip is false. Among pieces of equal score the leftmost merges first. Repeated rows give
+    repeated results; an empty table gives an empty one; a column in keep named like a new one is replaced.
+    The vocabulary file is opened on the executors unless ship() has sent it with the job.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(load(model))
-        for part, data, offsets in text_blocks(batches, "text", 2 << 20):
+    def start():
+        coder = Encoder(load(found(model)))
+
+        def judge(data: np.ndarray, offsets: np.ndarray, whole: pa.Array) -> pa.Array:
             texts = texts_of(data, offsets)
             blank = BLANK.encode()
             if any(blank in t for t in texts):
@@ -341,32 +360,27 @@ def encode_texts(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFr
                 data, offsets = np.frombuffer(b"".join(plain), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in plain])])
             ids, cuts = coder.encode(data, offsets)
             back = coder.pieces.decode(ids, cuts)
-            null = np.asarray(part.column(part.schema.get_field_index("text")).is_null())
             raw = ids.astype("<i4").tobytes()
             digests = [sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids), mask=pa.array(null))
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(part.schema.get_field_index(k)) for k in keep), lists, pa.array(np.diff(cuts)), pa.array(digests), pa.array([sha256(b).hexdigest() for b in back]), pa.array([a == b for a, b in zip(texts, back, strict=True)])],
-                names=[*keep, "ids", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids), mask=pa.array(np.asarray(whole.is_null())))
+            return struct_array({"ids": lists, "n_tokens": pa.array(np.diff(cuts)), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array([sha256(b).hexdigest() for b in back], pa.string()), "round_trip": pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())})
+
+        return judge
 
-    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return beside(docs, keep, text_column(F.col("text"), _ENCODED, start), _ENCODED)
 
 
 def decode_ids(df: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
     """The columns in keep, and text decoded from the column ids; null stays null. Bytes that are no
-    UTF-8 become U+FFFD."""
+    UTF-8 become U+FFFD. A column in keep named text is replaced."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            flat = lists.flatten()
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = load(found(model))
+        for lists in batches:
             sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
             cuts = np.concatenate([[0], np.cumsum(sizes)])
-            texts = pieces.decode(np.asarray(flat, np.int64), cuts)
-            text = [t.decode("utf-8", "replace") if v.is_valid else None for t, v in zip(texts, lists, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(text, pa.string())], names=[*keep, "text"])
+            texts = pieces.decode(np.asarray(lists.flatten(), np.int64), cuts)
+            yield pa.array([t.decode("utf-8", "replace") if v.is_valid else None for t, v in zip(texts, lists, strict=True)], pa.string())
 
-    return df.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, df.select(*keep).schema.add("text", "string"))
+    return beside(df, keep, F.struct(run("ids").alias("text")), "text string")

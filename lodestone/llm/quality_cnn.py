@@ -8,23 +8,23 @@ repeats what stood up to 40 bytes before it. The network is trained here, on a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_blocks
+from .common import beside, fold_of, small, text_column, window_of
 
 DIM, WIDTH, STEP, FILTERS = 8, 16, 4, 24
 HALF = 256  # bytes; chunks are two halves long and start at each half
 LAGS = range(2, 41)
 SEGMENT = 1 << 20
 GROUP_BYTES = 1 << 17
-#: Bounds of the training sample: documents of each label, and the longest one taken.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 700, 16_384
+#: Bounds of the training sample: documents of each label, and the characters of the window that a longer
+#: document is trained on. The window lies anywhere in the text, by a hash of it.
+SAMPLE_PER_LABEL, SAMPLE_CHARS = 700, 16_384
 EPOCHS, BATCH, RATE, SEED = 6, 16, 0.006, 7
 THRESHOLD = 0.3
 
@@ -187,34 +187,40 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
-    """Up to SAMPLE_PER_LABEL texts of each label from rows outside the held-out fold, those with the
-    least hash of their text; longer texts than SAMPLE_BYTES are not trained on (they are scored whole)."""
+    """Up to SAMPLE_PER_LABEL texts of each label from rows outside the held-out fold, those with the least
+    hash of their text. Of a text over SAMPLE_CHARS a window is trained on (it is scored whole)."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold_of() != 0)).select("doc_id", F.col("quality").cast("int").alias("label"))
     counts = dict(known.groupBy("label").count().collect())
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, 3.0 * SAMPLE_PER_LABEL / n))).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    if picked.limit(20_001).count() <= 20_000:
-        picked = F.broadcast(picked)
-    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").join(picked, "doc_id").select("label", "text", F.xxhash64("text").alias("h")).distinct()
+    picked = small(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(picked, "doc_id")
+    rows = texts.select("label", window_of(F.col("text"), SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h")).distinct()
     got = []
     for label in sorted(counts):
         got += rows.where(F.col("label") == label).orderBy("h", "text").limit(SAMPLE_PER_LABEL).select("text", "label").collect()
     return [r.text.encode() for r in got], [r.label for r in got]
 
 
-def score_texts(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
-    """The columns in keep, and score (double, 0 to 1) of the whole text; a null text scores as an empty
-    one, equal texts score alike."""
+def score_column(text: Column, net: Network) -> Column:
+    """The score (double, 0 to 1) of whole texts."""
+
+    def judge(data: np.ndarray, offsets: np.ndarray, _: pa.Array) -> pa.Array:
+        whole = len(data) <= SEGMENT
+        return pa.array(score_many(net, data, offsets) if whole else [score(net, data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.float64())
+
+    return text_column(text, "double", lambda: judge, GROUP_BYTES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_blocks(batches, "text", GROUP_BYTES):
-            found = score_many(net, data, offsets) if len(data) <= SEGMENT else [score(net, data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), pa.array(found, pa.float64())], names=[*keep, "score"])
 
-    schema = docs.select(*keep).schema.add("score", "double")
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+def score_texts(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
+    """The columns in keep, and score (double, 0 to 1) of the whole text, however long.
+
+    Null and empty texts score alike, as a document of nothing; equal texts score alike, ties need no rule.
+    Repeated rows get the same score each; an empty table gives an empty result; a column in keep named
+    score is replaced, other columns are left alone.
+    """
+    return beside(docs, keep, F.struct(score_column(F.col("text"), net).alias("score")), "score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
