@@ -17,14 +17,12 @@ PLACE = ["slot", "place_in_block"]
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the convolutional network does not reject."""
     net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_cnn.score_texts(docs.withColumn("_row", F.struct(*docs.columns)), net, ["_row"])
-    return scored.where(F.col("score") >= quality_cnn.THRESHOLD).select("_row.*")
+    return docs.where(quality_cnn.score_column(F.col("text"), net) >= quality_cnn.THRESHOLD)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a language; those without letters or with a narrow margin go."""
-    found = langid.identify(docs.withColumn("_row", F.struct(*docs.columns)), langid.fit(docs), ["_row"])
-    return found.where(~F.col("rejected")).select("_row.*")
+    return docs.where(~langid.language_column(F.col("text"), langid.fit(docs)).rejected)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
