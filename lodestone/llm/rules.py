@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_blocks, texts_of
+from .common import beside, materialise, struct_array, text_blocks, text_column, texts_of
 
 COMMON_WORDS = 64  # words of each language's reference histogram
 MIN_WORDS, MIN_CHARS = 50, 200  # shorter texts pass the word test, or the character test
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.48
-MAX_LANGUAGES = 64
+DIGITS = 9  # of the distances given
 FLUSH, FLUSH_BYTES = 200_000, 32 << 20  # words held, or bytes read, until the counts so far are sent on
 
 #: Character classes: 0 lower case, 1 upper case, 2 digit, 3 white space, 4 sentence mark, 5 other ASCII
@@ -80,16 +80,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(docs: DataFrame, lang: str = "lang") -> References:
-    """Counts over all documents with a language. What comes to the driver is bounded: COMMON_WORDS words
-    and CLASSES numbers for each of MAX_LANGUAGES languages at most (more raise ValueError)."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).alias("lang"), "text")
+    """Counts over all documents with a language, whatever the number of languages. What comes to the driver
+    is COMMON_WORDS words and CLASSES + 1 numbers a language. Among words of equal count the first in
+    alphabetical order is the more common."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).cast("string").alias("lang"), "text")
     counts = materialise(rows.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    sums = counts.where(F.col("word").startswith(" ")).groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("sums"))
-    got = sums.limit(MAX_LANGUAGES + 1).collect()
-    if len(got) > MAX_LANGUAGES:
-        raise ValueError("more languages than MAX_LANGUAGES")
+    got = counts.where(F.col("word").startswith(" ")).groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("sums")).collect()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.where(~F.col("word").startswith(" ")).withColumn("place", place).where(F.col("place") <= COMMON_WORDS).collect()
+    top: dict[str, list] = {}
+    for w in counts.where(~F.col("word").startswith(" ")).withColumn("place", place).where(F.col("place") <= COMMON_WORDS).collect():
+        top.setdefault(w.lang, []).append(w)
     out = References({}, {})
     for r in sorted(got, key=lambda r: r.lang):
         sums = {s.word: s.n for s in r.sums}
@@ -97,28 +97,42 @@ def references(docs: DataFrame, lang: str = "lang") -> References:
         classes = np.array([sums.get(f" class {k}", 0) for k in range(CLASSES)], float)
         if not total:
             continue
-        words = sorted((w for w in top if w.lang == r.lang), key=lambda w: w.place)
+        words = sorted(top[r.lang], key=lambda w: w.place)
         out.classes[r.lang] = classes / classes.sum()
         shares = np.array([w.n for w in words] + [total - sum(w.n for w in words)], float) / total
         out.words[r.lang] = ({w.word.encode(): k for k, w in enumerate(words)}, shares)
     return out
 
 
-def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two histograms, base 2: 0 for equal ones, 1 for disjoint ones."""
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances of histograms along the last axis, base 2: 0 for equal ones, 1 for disjoint ones."""
     m = (p + q) / 2
-    a, b = p > 0, q > 0
-    s = float((p[a] * np.log2(p[a] / m[a])).sum() + (q[b] * np.log2(q[b] / m[b])).sum()) / 2
-    return float(np.sqrt(max(0.0, s)))
+    part = lambda x: (x * np.log2(np.where(x > 0, x, 1) / np.where(x > 0, m, 1))).sum(axis=-1)
+    return np.sqrt(np.maximum(0.0, (part(p) + part(q)) / 2))
 
 
-def word_distance(counts: Counter, total: int, reference: tuple[dict[bytes, int], np.ndarray]) -> float:
-    index, shares = reference
-    own = np.zeros(len(shares))
-    for w, k in index.items():
-        own[k] = counts.get(w, 0)
-    own[-1] = total - own[:-1].sum()
-    return distance(own / total, shares)
+class Distances:
+    """All languages' histograms as matrices, so that a text meets every language at once."""
+
+    def __init__(self, refs: References):
+        self.classes = np.array(list(refs.classes.values()))
+        self.vocabulary = list(dict.fromkeys(w for index, _ in refs.words.values() for w in index))
+        at = {w: k for k, w in enumerate(self.vocabulary)}
+        # Languages with fewer words than others are filled up with a word that no text has.
+        width = max((len(index) for index, _ in refs.words.values()), default=0)
+        self.places = np.full((len(refs.words), width), len(self.vocabulary))
+        self.shares = np.zeros((len(refs.words), width + 1))
+        for k, (index, shares) in enumerate(refs.words.values()):
+            self.places[k, : len(index)] = [at[w] for w in index]
+            self.shares[k, : len(index)], self.shares[k, -1] = shares[:-1], shares[-1]
+
+    def by_class(self, counts: np.ndarray) -> float:
+        return round(float(distance(counts / counts.sum(), self.classes).min()), DIGITS)
+
+    def by_word(self, counts: Counter, total: int) -> float:
+        own = np.array([*(counts.get(w, 0) for w in self.vocabulary), 0], float)[self.places]
+        own = np.concatenate([own, total - own.sum(axis=1, keepdims=True)], axis=1) / total
+        return round(float(distance(own, self.shares).min()), DIGITS)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -147,16 +161,18 @@ _OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 
 
 def judge(docs: DataFrame, refs: References, keep: list[str]) -> DataFrame:
-    """The columns in keep, and for the whole text: n_words, word_chars, n_symbols, n_dup_lines,
+    """The columns in keep, and for the whole text, however long: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, and the least distances over the languages (null where too short).
 
     Null is judged like the empty text: no words, so base_failed. Without references only the base rules
-    hold. Repeated rows get the same result each.
+    hold. A distance equal to its limit passes. Repeated rows get the same result each; an empty table gives
+    an empty result; a column in keep that is named like an added one is replaced.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _OUT.split(", ")]
-        for part, data, offsets in text_blocks(batches, "text", 2 << 20):
+    def start():
+        near = Distances(refs)
+
+        def run(data: np.ndarray, offsets: np.ndarray, _: pa.Array) -> pa.Array:
             out: list[tuple] = []
             for text, classes in zip(texts_of(data, offsets), class_counts(data, offsets), strict=True):
                 words = text.split()
@@ -167,20 +183,13 @@ def judge(docs: DataFrame, refs: References, keep: list[str]) -> DataFrame:
                 lines = [x for x in text.split(b"\n") if x.strip()]
                 repeated = repeated_words(words)
                 failed = n < MIN_WORDS or 100 * repeated > 50 * n
-                by_class = by_word = None
-                if refs.classes and chars >= MIN_CHARS:
-                    own = classes / classes.sum()
-                    by_class = min(distance(own, c) for c in refs.classes.values())
-                if refs.words and n >= MIN_WORDS:
-                    counts = Counter(text.lower().split())
-                    by_word = min(word_distance(counts, n, r) for r in refs.words.values())
+                by_class = near.by_class(classes) if refs.classes and chars >= MIN_CHARS else None
+                by_word = near.by_word(Counter(text.lower().split()), n) if refs.words and n >= MIN_WORDS else None
                 far = (by_class is not None and by_class > MAX_CLASS_DISTANCE) or (by_word is not None and by_word > MAX_WORD_DISTANCE)
                 out.append((n, chars, symbols, len(lines) - len(set(lines)), repeated, failed, not failed and not far, by_class, by_word))
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), *columns], names=[*keep, *names])
+            return struct_array({f.split()[0]: pa.array([row[k] for row in out], t) for k, (f, t) in enumerate(zip(_OUT.split(", "), types, strict=True))})
+
+        return run
 
-    schema = docs.select(*keep).schema
-    for f in _OUT.split(", "):
-        schema = schema.add(*f.split())
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return beside(docs, keep, text_column(F.col("text"), _OUT, start), _OUT)
