@@ -1,20 +1,25 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element gives a line. The text lengths of sliding windows of lines
-surge where an article begins and dive where it ends; what lies between is kept. Lines inside elements
-that are never part of an article (menus, forms, notices and so on) count as empty. A mark of the page (article,
-main) is a weight only: where a marked element holds at least as much text as the largest stretch outside,
-the others count as empty and marked lines weigh more; else the marks are ignored.
+surge where an article begins and dive where it ends; what lies between is kept, on every page. What elements
+and their names say only takes lines out of the count: menus, page headers and footers and reader comments
+count as empty, so that any article dives there; adverts, notices, forms and other insertions are cut out, so
+that the text around them stands together. A mark of the page (article, main) is a weight: where a marked
+element holds at least as much text as the largest stretch outside, the others count as empty and marked
+lines weigh more; else the marks are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import beside, struct_array, text_column
 
 WINDOW = 3  # lines summed
 SURGE, SHARE = 80, 0.25  # a surge has so many characters, or this share of the page's largest window if less
@@ -26,29 +31,47 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 # Fixed values of HTML: elements without content, with raw content, and that break lines.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select xmp".split())
-BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
-#: Elements that no article text is in; header only outside a marked article.
-ASIDE = frozenset("nav footer aside form button fieldset dialog menu head search".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg canvas select xmp".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that no article text is in: those that an article ends at, and those that may stand within one.
+#: A header inside a marked article is part of it.
+EDGES = frozenset("nav footer header menu head search".split())
+INSERTS = frozenset("aside form button fieldset dialog".split())
 MARKED = frozenset(["article", "main"])
-#: Words of class, id and role that name such parts.
-_PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|footers?|comments?|disqus|replies|reader-comments|discussion|respond|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|widgets?|toolbar|pagination|pager|tags|toc|skip|masthead|site-header|page-header|topbar|complementary|contentinfo|dialog)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of class, id and role, compared whole or by their beginning, that name such parts.
+_EDGE_NAMES = re.compile(r"(?:^|[\s_-])(?:comment(?!ary|ator)\w*|disqus\w*|respond|repl(?:y|ies)|discussion|menus?|nav(?:bar|igation)?|breadcrumbs?|(?:site|page|main)?-?footer|masthead|(?:site|page)-header|topbar|contentinfo|pag(?:ination|er))(?:$|[\s_-])", re.I)
+_INSERT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookie\w*|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|complementary|share|sharing|newsletter\w*|subscri\w+|sign-?up|login|search|widgets?|toolbar|dialog)(?:$|[\s_-])", re.I)
+#: Elements that end where the next one of a kind begins, or where their parent ends.
+_SHORT = frozenset("p li dt dd tr td th option".split())
+NOT, CUT, EDGE = 0, 1, 2  # article text may be here; never, and text around it stands together; never, and an article ends here
 
 
 def _named(attributes: str) -> str:
     return " ".join(next(filter(None, m), "") for m in _NAMED.findall(attributes))
 
 
-def lines_of(html: str) -> list[tuple[str, float, bool, int]]:
-    """Per block its text, share of link text, whether it is never article text, and the number from 1 on
-    of the outermost marked element that it stands in, 0 if in none."""
-    out: list[tuple[str, float, bool, int]] = []
+def _part(name: str, attributes: str, marked: int) -> int:
+    if name in EDGES:
+        return NOT if name == "header" and marked else EDGE
+    if name in INSERTS:
+        return CUT
+    if not attributes or name in ("html", "body", "a", "img") or name in MARKED:
+        return NOT
+    words = _named(attributes)
+    if words and _EDGE_NAMES.search(words):
+        return EDGE
+    return CUT if _HIDDEN.search(attributes) or words and _INSERT_NAMES.search(words) else NOT
+
+
+def lines_of(html: str) -> list[tuple[str, float, int, int]]:
+    """Per block its text, share of link text, NOT, CUT or EDGE, and the number from 1 on of the outermost
+    marked element that it stands in, 0 if in none."""
+    out: list[tuple[str, float, int, int]] = []
     parts: list[str] = []
     linked = total = 0
+    opened: list[str] = []  # open blocks outside of skipped ones
     skip: list[str] = []  # open elements from the outermost skipped one on
+    kind = since = 0  # what the skipped element is, and the number of lines before it
     marked = link = number = 0
     at, n = 0, len(html)
 
@@ -57,7 +80,7 @@ def lines_of(html: str) -> list[tuple[str, float, bool, int]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, linked / max(1, total), bool(skip), number if marked else 0))
+                out.append((text, linked / max(1, total), kind if skip else NOT, number if marked else 0))
             parts.clear()
             linked = total = 0
 
@@ -85,30 +108,44 @@ def lines_of(html: str) -> list[tuple[str, float, bool, int]]:
         if name == "a":
             link = 0 if closing else 1
         if closing:
-            if skip:
-                if name in skip:
-                    while skip.pop() != name:
-                        pass
-            if name in MARKED:
-                marked = max(0, marked - 1)
-                skip.clear()
+            if name in skip:
+                while skip.pop() != name:
+                    pass
+            elif name in opened:
+                if skip:
+                    if skip[0] not in _SHORT:
+                        # Its own end never came, so only its first line is known to be part of it.
+                        out[since + 1 :] = [(text, links, NOT, mark) for text, links, _, mark in out[since + 1 :]]
+                    skip.clear()
+                while (last := opened.pop()) != name:
+                    marked -= last in MARKED
+                marked -= name in MARKED
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at) if not m[3].endswith("/") else m
             at = end.end() if end else n
             parts.append(" ")
             continue
+        if name == "br":
+            parts.append(" ")
         if name in VOID or m[3].endswith("/"):
             continue
-        if name in MARKED:
-            number += not marked
-            marked += 1
+        if skip and len(skip) == 1 and (skip[0] == "p" and name in BLOCK or skip[0] in _SHORT and name == skip[0]):
+            skip.clear()
         if skip:
-            if name == skip[0] or name in BLOCK and name not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
+            if name == skip[0] or name in BLOCK and name not in _SHORT:
                 skip.append(name)
-        elif name in ASIDE or name == "header" and not marked or name not in ("html", "body", *MARKED) and m[3] and (_HIDDEN.search(m[3]) or _PARTS.search(_named(m[3]))):
+            continue
+        if part := _part(name, m[3], marked):
             end_line()
             skip.append(name)
+            kind, since = part, len(out)
+            continue
+        if name in BLOCK and name not in _SHORT:
+            opened.append(name)
+        if name in MARKED:
+            number += not marked
+            marked += 1
     end_line()
     return out
 
@@ -125,7 +162,7 @@ def runs_of(sizes: list[int]) -> list[tuple[int, int]]:
     return runs
 
 
-def trusted(lines: list[tuple[str, float, bool, int]], sizes: list[int]) -> bool:
+def trusted(lines: list[tuple[str, float, int, int]], sizes: list[int]) -> bool:
     """Whether one marked element holds at least as many characters as the largest stretch outside of any."""
     held: dict[int, int] = {}
     for text, _, never, mark in lines:
@@ -137,7 +174,7 @@ def trusted(lines: list[tuple[str, float, bool, int]], sizes: list[int]) -> bool
 
 def main_text(html: str) -> str:
     """The article's blocks, joined by line breaks; empty if there is none."""
-    lines = lines_of(html)
+    lines = [line for line in lines_of(html) if line[2] != CUT]
     sizes = [0 if never or links > LINK_SHARE else len(text) for text, links, never, _ in lines]
     if trusted(lines, sizes):
         # What is never article text does not end a marked article, it is cut out of it.
@@ -158,15 +195,17 @@ def main_text(html: str) -> str:
     return "\n".join(out)
 
 
+_EXTRACTED = "text string, n_chars long"
+
+
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """The columns in keep, text (empty if none) and n_chars, its code points. Null html is empty; markup
-    cut short is closed at the end; repeated rows give repeated results."""
+    """The columns in keep, text (empty if none) and n_chars, its code points. Null html is empty; a very
+    long page is read whole, in one pass; markup cut short is closed at the end; windows of equal size count
+    alike. Repeated rows give repeated results; an empty table gives an empty one; a column in keep that is
+    named like an added one is replaced."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            source = batch.column(batch.schema.get_field_index(html))
-            texts = [main_text(v.as_py() or "") for v in source]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+    def judge(_: np.ndarray, __: np.ndarray, pages: pa.Array) -> pa.Array:
+        texts = [main_text(v.as_py() or "") for v in pages]
+        return struct_array({"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
-    return pages.select(*dict.fromkeys([*keep, html])).mapInArrow(run, schema)
+    return beside(pages, keep, text_column(F.col(html), _EXTRACTED, lambda: judge), _EXTRACTED)
