@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -17,6 +18,14 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 U64 = np.uint64
+
+try:
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim, _LIBC.mallopt  # noqa: B018
+except (AttributeError, OSError):  # another C library
+    _LIBC = None
+# Parameters of mallopt: freed memory over so many bytes goes back at the end of the heap; larger arrays are mapped alone.
+_M_TRIM, _M_MMAP = (-1, 2 << 20), (-3, 1 << 20)
 #: A side of a few longs or short strings a row is broadcast up to this count, joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 
@@ -34,6 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of whole texts are large, so what readers, writers and Arrow hold at once is counted in fewer of them.
+#: With Spark's own settings an executor's heap fills up with such buffers, whatever its size.
+LEAN = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "parquet.block.size": 16 << 20}
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Set LEAN for the session; smaller values that it has already stay."""
+    for name, most in LEAN.items():
+        now = re.sub(r"\D", "", str(spark.conf.get(name, None) or ""))
+        if not now or int(now) > most:
+            spark.conf.set(name, str(most))
+    return spark
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, and what was
     written survives the loss of any executor. The files go when the session's file system closes."""
@@ -52,7 +75,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lean(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold_of(key: str = "doc_id", folds: int = 5):
@@ -77,6 +100,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system. Workers live on from task to task and would keep the most that
+    any block ever took."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.mallopt(*_M_TRIM)
+        _LIBC.mallopt(*_M_MMAP)
+        _LIBC.malloc_trim(0)
+
+
 def blocks_of(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut texts into stretches of about max_bytes (one longer text stays whole). Yields begin and end of
     each, its texts as one byte array and the n+1 offsets into it; null is empty."""
@@ -88,7 +121,7 @@ def blocks_of(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, int, np.nd
         data = np.frombuffer(raw or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
         yield start, stop, data, (offsets - offsets[0]).astype(np.int64)
         start = stop
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

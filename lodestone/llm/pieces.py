@@ -26,9 +26,10 @@ from .common import U64, beside, mix, struct_array, text_column, texts_of
 BLANK = "▁"
 #: Vocabulary file of a public tokenizer, as an example of the parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEGMENTS_KEPT = 1_000_000  # segmentations remembered by a worker: about 40 MB
-PAIRS_KEPT = 1_000_000
+SEGMENTS_KEPT = 600_000  # segmentations remembered by a worker: about 25 MB
+PAIRS_KEPT = 250_000
 LONG = 64  # bytes; longer segments are relaxed one by one
+BLOCK_BYTES = 1 << 18  # text whose new segments are indexed together; the index takes some hundred times its bytes
 _SEP = 0xFF
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x8CB92BA72F3D8DD7))
@@ -367,7 +368,7 @@ def encode_texts(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFr
 
         return judge
 
-    return beside(docs, keep, text_column(F.col("text"), _ENCODED, start), _ENCODED)
+    return beside(docs, keep, text_column(F.col("text"), _ENCODED, start, BLOCK_BYTES), _ENCODED)
 
 
 def decode_ids(df: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
