@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, query_tokens
@@ -39,6 +39,11 @@ def bm25_scores(chunks: DataFrame, query: str, id: str = "chunk_id", text: str =
     rows = chunks.select(id, folded.alias("_t"), name.alias("_i"), trigrams.alias("dl")).select(id, "dl", *[c.alias(f"tf{k}") for k, c in enumerate(counts)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))])
     hit = F.greatest(*[F.col(f"tf{k}") for k in range(len(distinct))], F.lit(0)) > 0
+    return scored_by_bm25(rows.where(hit), stats, repeats, id)
+
+
+def scored_by_bm25(rows: DataFrame, stats: DataFrame, repeats: list[int], id: str) -> DataFrame:
+    """(id, score) of rows with dl and tf0, tf1, ... by the one row of stats: n, avgdl and df0, df1, ..."""
 
     def part(k: int) -> Column:
         tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
@@ -47,9 +52,9 @@ def bm25_scores(chunks: DataFrame, query: str, id: str = "chunk_id", text: str =
         return repeats[k] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
     total = part(0)
-    for k in range(1, len(distinct)):
+    for k in range(1, len(repeats)):
         total = total + part(k)
-    return rows.where(hit).crossJoin(F.broadcast(stats)).select(id, total.alias("score"))  # stats is one row
+    return rows.crossJoin(F.broadcast(stats)).select(id, total.alias("score"))  # stats is one row
 
 
 def top(scored: DataFrame, k: int, id: str = "chunk_id") -> DataFrame:
@@ -75,9 +80,10 @@ def knn_topk(vectors: DataFrame, query: list[float], k: int = TOP_K, threshold:
 
 
 def rrf(lists: list[DataFrame], k: int, id: str = "chunk_id", constant: int = RRF_K) -> DataFrame:
-    """Fused (id, score, rank) of ranked lists (id, rank from 0); ties in the order of first appearance."""
+    """Fused (id, score, rank) of ranked lists (id, rank from 0); ties in the order of first appearance. No
+    lists, or no places, give no rows."""
     if not lists:
-        raise ValueError("rrf needs at least one list")
+        return SparkSession.active().createDataFrame([], f"{id} string, score double, rank int")
     rows = [x.select(id, "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)]
     both = rows[0]
     for x in rows[1:]:
@@ -97,13 +103,17 @@ def with_siblings(chunks: DataFrame, path: str = "source_path") -> DataFrame:
     return both.withColumn("has_previous", index > 0).withColumn("has_next", (F.col("total_chunks") > 0) & (index < F.col("total_chunks") - 1))
 
 
+def materialised(few: DataFrame) -> DataFrame:
+    """A result of a few rows (a top-k list), computed now and held as a local table."""
+    rows = few.collect()
+    return few.sparkSession.createDataFrame([tuple(r) for r in rows], few.schema)
+
+
 def hydrate(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ranked ids with their chunks, in rank order; unknown ids go. ranked is a top-k result, so it is
-    broadcast, and siblings are counted for its files only."""
-    few = F.broadcast(ranked)
-    own = chunks.join(few, chunks.id == few.chunk_id).select(chunks["*"], "chunk_id", "score", "rank")
-    paths = F.broadcast(own.select("source_path").distinct())
-    totals = chunks.join(paths, "source_path", "left_semi").groupBy("source_path").agg(F.count("*").alias("total_chunks"))
+    """Ranked ids with their chunks, in rank order; unknown ids go. Siblings are counted for their files only.
+    How the joins run is left to the sizes that Spark finds, as ranked may be a top-k list or all ids."""
+    own = chunks.join(ranked, chunks.id == ranked.chunk_id).select(chunks["*"], "chunk_id", "score", "rank")
+    totals = chunks.select("source_path").join(own.select("source_path").distinct(), "source_path", "left_semi").groupBy("source_path").agg(F.count("*").alias("total_chunks"))
     out = own.join(totals, "source_path")
     return out.select("chunk_id", "source_path", "chunk_index", "total_chunks", "content", F.col("score").cast("float").alias("score"), (F.col("chunk_index") > 0).alias("has_previous"), (F.col("chunk_index") < F.col("total_chunks") - 1).alias("has_next"), "rank").orderBy("rank")
 
@@ -116,34 +126,37 @@ def mode_of(requested: str | None, has_embedder: bool) -> str | None:
     return "bm25" if asked == "auto" and not has_embedder else asked
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, k: int = TOP_K, threshold: float = THRESHOLD, mode: str | None = None, model: str | None = None) -> DataFrame:
-    """(chunk_id, score, rank, search_mode). chunks has id, content and enriched; the latter is searched.
+def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, k: int = TOP_K, threshold: float = THRESHOLD, mode: str | None = None, model: str | None = None, words: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, score, rank, search_mode). chunks has id, content and enriched; the latter is searched, unless
+    words has its scores (chunk_id, score) already, from an index.
 
-    Fusion of one list keeps its order, so whether BM25 found anything changes only the scale of scores and
-    the mode's name; a flag of one row decides that inside the plan, without a second action.
+    Both lists have CANDIDATES * k rows at most. They are computed once, before the fusion looks at them
+    several times.
     """
     decided = mode_of(mode, query_vector is not None and vectors is not None)
-    text = chunks.select(F.col("id").alias("chunk_id"), F.coalesce("enriched", "content").alias("content"))
+    if words is None and decided != "vector":
+        words = bm25_scores(chunks.select(F.col("id").alias("chunk_id"), F.coalesce("enriched", "content").alias("content")), query)
     if decided == "bm25":
-        return top(bm25_scores(text, query), k).withColumn("search_mode", F.lit("bm25_only"))
+        return top(words, k).withColumn("search_mode", F.lit("bm25_only"))
     if decided == "vector":
         return top(knn_scores(vectors, query_vector, threshold, model=model), k).withColumn("search_mode", F.lit("vector_only"))
     wide = CANDIDATES * k
-    words = top(bm25_scores(text, query), wide)
-    near = top(knn_scores(vectors, query_vector, threshold, model=model), wide)
-    flag = words.agg((F.count("*") > 0).alias("found"))
-    fused = rrf([words, near], k).join(F.broadcast(near.select("chunk_id", F.col("score").alias("cosine"))), "chunk_id", "left").crossJoin(F.broadcast(flag))
-    return fused.select("chunk_id", F.when(F.col("found"), F.col("score")).otherwise(F.col("cosine")).alias("score"), "rank", F.when(F.col("found"), "hybrid").otherwise("vector_only").alias("search_mode"))
+    listed = materialised(top(words, wide))
+    near = materialised(top(knn_scores(vectors, query_vector, threshold, model=model), wide))
+    if listed.isEmpty():
+        return near.where(F.col("rank") < k).withColumn("search_mode", F.lit("vector_only"))
+    return rrf([listed, near], k).withColumn("search_mode", F.lit("hybrid"))
 
 
 def postings(chunks: DataFrame, id: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(trigram, id, tf): the inverted index to persist, bucketed by trigram, for large corpora."""
+    """(trigram, id, tf): counts of trigrams; textindex.py has the index that searches read."""
     grams = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
     return chunks.select(id, F.explode(grams).alias("trigram")).groupBy("trigram", id).agg(F.count("*").alias("tf"))
 
 
 def candidates(index: DataFrame, query: str, id: str = "chunk_id") -> DataFrame:
-    """Ids that hold all trigrams of some token, from the inverted index; the text still has to be looked at."""
+    """Ids that hold all trigrams of some token, from postings without positions; the text still has to be
+    looked at."""
     out = None
     for token in dict.fromkeys(t.lower() for t in query_tokens(query)):
         grams = {token[i : i + 3] for i in range(len(token) - 2)}

@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+import json
 import shutil
 import time
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_PROMPT
 from ..operators import changes as J
 from ..operators import stats
-from ..operators.search import TOP_K, hybrid, hydrate, with_siblings
+from ..operators.search import TOP_K, hybrid, hydrate, materialised, with_siblings
+from ..operators.textindex import bm25_indexed
 from ..schema import SCHEMA_VERSION
-from ..sources.files import read_config, read_json, scan
+from ..sources.files import Config, read_config, scan
 from . import queue
-from .providers import Embedder
-from .store import Store, metadata
+from .clients import embedder_of
+from .keys import Keys, missing
+from .lock import IndexLock
+from .providers import AuthError, Embedder
+from .store import Store, index_is_current, metadata
+from .workflow import prompt_hash
 
 GRACE_SECONDS = 5
+PATHS_TOLD = 10_000  # of each kind of change in one answer; counts are of all, changes_frame() has every path
 
 
-def classify(folder: Path, require_guid: bool = False) -> str:
-    import uuid
+def _iso(t) -> str | None:
+    return t.isoformat() if t else None
+
 
+def classify(folder: Path, require_guid: bool = False) -> str:
     name = folder.name
     if name[:1] in "._" or "-backup-" in name.lower():
         return "Protected"
@@ -37,8 +47,12 @@ def classify(folder: Path, require_guid: bool = False) -> str:
 
 
 class KnowledgeBases:
-    def __init__(self, spark: SparkSession, base: str, embedder: Embedder | None = None):
-        self.spark, self.base, self.embedder = spark, Path(base), embedder
+    """embedder, if given, serves all bases; else each base's own is made from its configuration, with a key
+    from keys."""
+
+    def __init__(self, spark: SparkSession, base: str, embedder: Embedder | None = None, keys: Keys | None = None):
+        self.spark, self.base, self.embedder, self.keys = spark, Path(base), embedder, keys or Keys()
+        self.stores: dict[str, Store] = {}
 
     def _live(self, kb_id: str) -> Path | None:
         folder = self.base / kb_id
@@ -47,46 +61,95 @@ class KnowledgeBases:
     def _missing(self, kb_id: str) -> dict:
         return {"status": "error", "error": f"Knowledge base '{kb_id}' not found."}
 
-    def list_knowledge_bases(self) -> list[dict]:
+    def _store(self, folder: Path) -> Store:
+        """The base's store at its current version; opened once."""
+        store = self.stores.get(folder.name)
+        if store is None:
+            store = self.stores[folder.name] = Store(self.spark, str(folder / "store"), read_only=True)
+        store.refresh()
+        return store
+
+    def evict(self) -> list[str]:
+        """Let go of bases whose folder has gone."""
+        gone = [k for k in self.stores if self._live(k) is None]
+        for k in gone:
+            del self.stores[k]
+        return gone
+
+    def _listed(self) -> list[tuple[Path, Config]]:
         """Live folders whose config parses and whose name is its id."""
         out = []
         for folder in sorted(p for p in self.base.iterdir() if p.is_dir()):
-            if classify(folder) != "LiveKb":
-                continue
-            try:
-                config = read_config(folder / "config.json")
-            except (OSError, ValueError, TypeError):
-                continue
-            if config.id.lower() != folder.name.lower():
-                continue
-            store = Store(self.spark, str(folder / "store"), read_only=True)
-            facts = stats.context_stats(store.table("file_index")).first()
-            out.append({"kb_id": config.id, "name": config.name, "total_files": store.table("file_index").count(), "total_chunks": store.table("chunks").count(), "is_contextualization_degraded": facts.degraded_files > 0})
+            if classify(folder) == "LiveKb":
+                try:
+                    config = read_config(folder / "config.json")
+                except (OSError, ValueError, TypeError):
+                    continue
+                if config.id.lower() == folder.name.lower():
+                    out.append((folder, config))
         return out
 
+    def list_knowledge_bases(self) -> list[dict]:
+        """All bases, counted by one job."""
+        self.evict()
+        found = self._listed()
+        if not found:
+            return []
+        tables = {"chunks": None, "file_index": None}
+        for folder, config in found:
+            for name in tables:
+                own = self._store(folder).table(name).withColumn("kb_id", F.lit(config.id))
+                tables[name] = own if tables[name] is None else tables[name].unionByName(own)
+        bases = self.spark.createDataFrame([(config.id,) for _, config in found], "kb_id string")
+        counts = {r.kb_id: r for r in stats.kb_summary(bases, tables["chunks"], tables["file_index"]).collect()}
+        return [{"kb_id": c.id, "name": c.name, "total_files": counts[c.id].files, "total_chunks": counts[c.id].chunks, "last_indexed_at": _iso(counts[c.id].last_indexed_at), "is_contextualization_degraded": counts[c.id].degraded_files > 0, "is_indexing": IndexLock(f).info() is not None} for f, c in found]
+
+    def _embedder(self, config: Config) -> tuple[Embedder | None, str | None]:
+        """The embedder to search with and the variable of its key; None where a key is needed and missing."""
+        if self.embedder is not None:
+            return self.embedder, None
+        if not config.embedding.model.strip():
+            return None, None
+        variable, key = self.keys.of(config.embedding)
+        return (None if variable and not key else embedder_of(config.embedding, key or "")), variable
+
     def search_documents(self, kb_id: str, query: str, top_k: int = TOP_K, threshold: float = 0.3, search_mode: str | None = None) -> dict:
+        """A refused key is forgotten and asked for again once."""
         if not query or not query.strip():
             return {"error": "Query is empty."}
         folder = self._live(kb_id)
         if folder is None:
             return {"error": f"Knowledge base '{kb_id}' not found."}
-        store = Store(self.spark, str(folder / "store"), read_only=True)
-        chunks, vector = store.table("chunks"), None
+        store = self._store(folder)
         try:
-            if self.embedder is not None:
-                vector = self.embedder.embed_query(query) or None
-            ranked = hybrid(chunks, store.table("embeddings") if vector else None, query, vector, top_k, threshold, search_mode, self.embedder.model if vector else None)
-        except Exception as e:
+            config = read_config(folder / "config.json")
+            for last in (False, True):
+                embedder, variable = self._embedder(config)
+                if embedder is None and variable and (search_mode or "").lower() == "vector":
+                    return {"error": missing(variable)}
+                try:
+                    return self._searched(store, kb_id, embedder, query, top_k, threshold, search_mode)
+                except AuthError as e:
+                    if last or variable is None:
+                        return {"error": f"The embedding provider refused the key: {e}"}
+                    self.keys.refuse(variable)
+        except Exception as e:  # the caller is a program on the other end of a pipe
             return {"error": f"{type(e).__name__}: {e}"}
+
+    def _searched(self, store: Store, kb_id: str, embedder: Embedder | None, query: str, top_k: int, threshold: float, mode: str | None) -> dict:
+        chunks = store.table("chunks")
+        vector = (embedder.embed_query(query) or None) if embedder is not None and (mode or "").lower() != "bm25" else None
+        words = bm25_indexed(store.table("postings"), store.table("indexed"), query) if index_is_current(store) else None
+        ranked = materialised(hybrid(chunks, store.table("embeddings") if vector else None, query, vector, top_k, threshold, mode, embedder.model if vector else None, words))
         rows = hydrate(ranked.drop("search_mode"), chunks).collect()
-        mode = ranked.select("search_mode").first()
-        return {"kb_id": kb_id, "results": [{k: v for k, v in r.asDict().items() if k != "rank"} for r in rows], "query": query, "search_mode": mode.search_mode if mode else "bm25_only", "total_chunks_searched": chunks.count()}
+        said = ranked.select("search_mode").first()
+        return {"kb_id": kb_id, "results": [{k: v for k, v in r.asDict().items() if k != "rank"} for r in rows], "query": query, "search_mode": said.search_mode if said else "vector_only" if vector else "bm25_only", "total_chunks_searched": stats.chunk_count(chunks).first().total_chunks}
 
     def get_document_chunk(self, kb_id: str, chunk_id: str) -> dict:
         folder = self._live(kb_id)
         if folder is None:
             return {"error": f"Knowledge base '{kb_id}' not found."}
-        chunks = Store(self.spark, str(folder / "store"), read_only=True).table("chunks")
+        chunks = self._store(folder).table("chunks")
         own = chunks.where(F.col("id") == chunk_id)
         found = own.first()
         if found is None:
@@ -94,55 +157,71 @@ class KnowledgeBases:
         row = with_siblings(chunks.where(F.col("source_path") == found.source_path)).where(F.col("id") == chunk_id).first()
         return {"chunk_id": row.id, "source_path": row.source_path, "chunk_index": row.chunk_index, "total_chunks": row.total_chunks, "content": row.content, "char_offset": row.char_offset, "metadata": row.metadata, "has_previous": row.has_previous, "has_next": row.has_next}
 
-    def check_changes(self, kb_id: str) -> dict:
+    def changes_frame(self, kb_id: str) -> DataFrame:
+        """(source_path, change) of every file that changed."""
+        folder = self.base / kb_id
+        store, config = self._store(folder), read_config(folder / "config.json")
+        failed = self.spark.createDataFrame([(p,) for p in json.loads(metadata(store).get("last_failed_files", "[]"))], "source_path string")
+        return J.changes(scan(self.spark, config.sourcePaths).select("source_path", "file_hash"), store.table("file_index"), failed).where("change <> 'unchanged'")
+
+    def check_changes(self, kb_id: str, limit: int = PATHS_TOLD) -> dict:
+        """Counts of all changes, up to `limit` paths of each kind, and whether the index is stale."""
         folder = self._live(kb_id)
         if folder is None:
             return self._missing(kb_id)
-        config = read_config(folder / "config.json")
-        store = Store(self.spark, str(folder / "store"), read_only=True)
+        store, config = self._store(folder), read_config(folder / "config.json")
         facts = metadata(store)
-        import json
-
-        failed = self.spark.createDataFrame([(p,) for p in json.loads(facts.get("last_failed_files", "[]"))], "source_path string")
-        found = J.changes(scan(self.spark, config.sourcePaths).select("source_path", "file_hash"), store.table("file_index"), failed).where("change <> 'unchanged'").collect()
-        by = {k: sorted(r.source_path for r in found if r.change == k) for k in ("added", "modified", "deleted", "known_failed")}
+        found = self.changes_frame(kb_id).persist()
+        kinds = ("added", "modified", "deleted", "known_failed")
+        counts = {r.change: r["count"] for r in found.groupBy("change").count().collect()}
+        paths = {k: [r.source_path for r in found.where(F.col("change") == k).orderBy("source_path").limit(limit).collect()] if counts.get(k) else [] for k in kinds}
+        found.unpersist()
         degraded = stats.context_stats(store.table("file_index")).first().degraded_files
-        from hashlib import sha256
-
-        default = sha256(DEFAULT_PROMPT.encode()).hexdigest()[:16]
         version = int(facts.get("schema_version", SCHEMA_VERSION))
-        return {"kb_id": kb_id, **by, **J.flags({k: len(v) for k, v in by.items()}, facts.get("prompt_hash"), default, bool(config.systemPrompt), version, SCHEMA_VERSION, degraded)}
+        flags = J.flags(counts, facts.get("effective_prompt_hash"), prompt_hash(DEFAULT_PROMPT), bool(facts.get("system_prompt")), version, SCHEMA_VERSION, degraded)
+        return {"kb_id": kb_id, **paths, **{f"{k}_count": counts.get(k, 0) for k in kinds}, **flags}
 
     def get_index_info(self, kb_id: str) -> dict:
         folder = self._live(kb_id)
         if folder is None:
             return self._missing(kb_id)
-        store = Store(self.spark, str(folder / "store"), read_only=True)
+        store, config = self._store(folder), read_config(folder / "config.json")
         entries = queue.load(str(self.base)) or []
         entry = next((e for e in entries if e["kb_id"] == kb_id), None)
-        lock = read_json(folder / "lock.json")
-        status = "indexing" if lock or (entry and queue.running(entry)) else "failed" if entry and entry.get("last_error") else "queued" if entry else "ready"
-        info = {"kb_id": kb_id, "status": status, "total_chunks": store.table("chunks").count(), "total_files": store.table("file_index").count()}
-        info |= stats.file_counters(store.table("file_index")).first().asDict() | stats.pending_counts(store.table("chunks")).first().asDict()
-        last = stats.last_indexed(store.table("file_index")).first().last_indexed_at
-        info |= {"last_indexed_at": last.isoformat() if last else None, "metadata": metadata(store)}
+        lock = IndexLock(folder).info()
+        status = "indexing" if lock or (entry and queue.running(entry) and self._alive(None)) else "failed" if entry and entry.get("last_error") else "queued" if entry else "ready"
+        files, chunks, facts = store.table("file_index"), store.table("chunks"), metadata(store)
+        info = {"kb_id": kb_id, "kb_name": config.name, "folder": str(folder), "status": status, "is_indexing": lock is not None, "indexing_progress": {k: lock.get(k) for k in ("current", "total", "pid", "current_stage")} if lock else None}
+        info |= {"total_chunks": stats.chunk_count(chunks).first().total_chunks, "total_files": files.count(), "last_indexed_at": _iso(stats.last_indexed(files).first().last_indexed_at)}
+        info |= stats.file_counters(files).first().asDict() | stats.pending_counts(chunks).first().asDict()
+        context = stats.context_stats(files).first()
+        info |= {"total_chunks_contextualized": context.chunks_contextualized, "total_chunks_raw": context.chunks_raw, "files_contextualization_degraded": context.degraded_files}
+        stored, default = facts.get("effective_prompt_hash"), prompt_hash(DEFAULT_PROMPT)
+        info |= {"system_prompt": facts.get("system_prompt"), "effective_prompt_hash": stored, "default_prompt_hash": default, "is_prompt_stale": stored is not None and stored != default and not facts.get("system_prompt")}
+        for name in ("last_failed_count", "last_indexed_count", "last_skipped_count", "last_degraded_count", "last_partially_deferred_count", "last_run_duration_ms", "last_provider_health"):
+            info[name] = int(facts[name]) if name in facts else None
+        info |= {"last_run_completed_utc": facts.get("last_run_completed_utc"), "last_failed_files": json.loads(facts.get("last_failed_files", "[]")), "last_failed_reasons": json.loads(facts.get("last_failed_reasons", "[]"))}
         if entry:
-            info["queue"] = {"position": queue.position(entries, kb_id), "deferred": entry.get("deferred"), "partial_mode": entry.get("partial_mode"), "last_error": entry.get("last_error")}
+            info["queue"] = {"position": queue.position(entries, kb_id), "scheduled_at": entry.get("scheduled_at"), "deferred": entry.get("deferred"), "partial_mode": entry.get("partial_mode"), "last_error": entry.get("last_error")}
         return info
 
-    def start_reindex(self, kb_id: str, partial_mode: str | None = None, force: bool = False, deferred: bool = False, alive: bool = True) -> dict:
+    def _alive(self, said: bool | None) -> bool:
+        """Whether a process works through the queue: looked up, unless the caller knows."""
+        return queue.orchestrator(str(self.base)).info() is not None if said is None else said
+
+    def start_reindex(self, kb_id: str, partial_mode: str | None = None, force: bool = False, deferred: bool = False, alive: bool | None = None) -> dict:
         if self._live(kb_id) is None:
             return {"status": "not_found", "kb_id": kb_id, "queue_position": 0}
         entries = queue.load(str(self.base)) or []
-        if not alive:
+        if not self._alive(alive):
             queue.recover(entries)
         status = queue.merge(entries, kb_id, partial_mode, force, deferred)
         queue.save(str(self.base), entries)
         return {"status": status, "kb_id": kb_id, "queue_position": queue.position(entries, kb_id)}
 
-    def cancel_reindex(self, kb_id: str, alive: bool = True) -> dict:
+    def cancel_reindex(self, kb_id: str, alive: bool | None = None) -> dict:
         entries = queue.load(str(self.base))
-        if entries and not alive:
+        if entries and not self._alive(alive):
             queue.recover(entries)
         out = queue.cancel(entries, kb_id)
         if out["cancelled"]:

@@ -1,10 +1,11 @@
 """Embedding and contextualizing behind two small protocols, and binary-split isolation of bad inputs.
 
-No network client is shipped: a provider is any object with these methods that can be sent to executors.
+A provider is any object with these methods that can be sent to executors; clients.py has those of services.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
@@ -68,6 +69,14 @@ class NullContextualizer:
         return ""
 
 
+class KeywordContextualizer:
+    """A deterministic contextualizer for tests: the source line as context, the longest words as keywords."""
+
+    def enrich(self, prompt):
+        words = sorted(set(re.findall(r"\w{4,}", prompt.rsplit("<chunk>", 1)[-1].lower())), key=lambda w: (-len(w), w))
+        return f"CONTEXT: {prompt.splitlines()[0]}\nKEYWORDS: {', '.join(words[:5])}"
+
+
 @dataclass
 class SplitResult:
     vectors: dict[str, list[float]] = field(default_factory=dict)
@@ -115,24 +124,47 @@ def embed_isolating(ids: list[str], texts: list[str], provider: Embedder, batch:
     return out
 
 
+def _files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames sorted by source_path -> one frame a file, whatever the frames' borders."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for path, own in frame.groupby("source_path", sort=False):
+            if held and held[0]["source_path"].iat[0] != path:
+                yield pd.concat(held)
+                held = []
+            held.append(own)
+    if held:
+        yield pd.concat(held)
+
+
 def embed_chunks(chunks: DataFrame, provider: Embedder, batch: int) -> DataFrame:
-    """(chunk_id, source_path, embedding, error, deferred). Windows are cut within partitions, and files
-    within windows decide about deferral together."""
+    """(chunk_id, source_path, embedding, error, deferred, refused). A file's chunks decide about deferral
+    together. Once the provider refuses the key, this task's other files are deferred without a call."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, own in frame.groupby("source_path", sort=False):
-                got = embed_isolating(own["id"].tolist(), own["text"].tolist(), provider, batch)
-                rows += [(i, path, got.vectors.get(i), got.failed.get(i), got.deferred) for i in own["id"]]
-            yield pd.DataFrame(rows, columns=["chunk_id", "source_path", "embedding", "error", "deferred"])
+        refused = False
+        for own in _files(frames):
+            path, ids = own["source_path"].iat[0], own["id"].tolist()
+            got = SplitResult(deferred=True)
+            if not refused:
+                try:
+                    got = embed_isolating(ids, own["text"].tolist(), provider, batch)
+                except AuthError:
+                    refused = True
+            rows = [(i, path, got.vectors.get(i), got.failed.get(i), got.deferred, refused) for i in ids]
+            yield pd.DataFrame(rows, columns=["chunk_id", "source_path", "embedding", "error", "deferred", "refused"])
 
-    rows = chunks.select("id", "source_path", F.coalesce("enriched", "content").alias("text"))
-    return rows.repartition("source_path").sortWithinPartitions("source_path", "id").mapInPandas(run, "chunk_id string, source_path string, embedding array<float>, error string, deferred boolean")
+    text = F.coalesce("enriched", "content")
+    longest = getattr(provider, "input_chars", 0)
+    rows = chunks.select("id", "source_path", "chunk_index", (F.substring(text, 1, longest) if longest else text).alias("text"))
+    return rows.repartition("source_path").sortWithinPartitions("source_path", "chunk_index").mapInPandas(run, "chunk_id string, source_path string, embedding array<float>, error string, deferred boolean, refused boolean")
 
 
 def contextualize(chunks: DataFrame, provider: Contextualizer, parallel: int = 4) -> DataFrame:
-    """chunks with a column prompt -> enriched and is_contextualized; a call that fails leaves raw text."""
+    """chunks with a column prompt -> enriched and is_contextualized; a call that fails leaves raw text that is
+    not contextualized. Without a provider all text counts as contextualized as it is."""
+    if isinstance(provider, NullContextualizer):
+        return chunks.withColumn("enriched", F.col("content")).withColumn("is_contextualized", F.lit(True)).drop("prompt")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -140,13 +172,11 @@ def contextualize(chunks: DataFrame, provider: Contextualizer, parallel: int = 4
             for prompt in frame["prompt"]:
                 try:
                     answers.append(provider.enrich(prompt))
-                except AuthError:
-                    raise
                 except Exception:
-                    answers.append("")
-            yield pd.DataFrame({"id": frame["id"], "answer": answers})
+                    answers.append(None)
+            yield pd.DataFrame({"id": frame["id"], "answer": pd.Series(answers, index=frame.index, dtype=object)})
 
     answers = chunks.select("id", "prompt").repartition(parallel).mapInPandas(run, "id string, answer string")
     both = chunks.join(answers, "id", "left")
     text = enriched_of(F.coalesce("answer", F.lit("")), F.col("content"))
-    return both.withColumn("is_contextualized", text != F.col("content")).withColumn("enriched", text).drop("answer", "prompt")
+    return both.withColumn("is_contextualized", F.col("answer").isNotNull()).withColumn("enriched", text).drop("answer", "prompt")

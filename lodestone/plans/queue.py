@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 from ..sources.files import read_json, write_json
+from .lock import IndexLock
 
 FILE = "queue.json"
 DIED = "orchestrator_died_or_killed"
@@ -86,9 +87,25 @@ def position(entries: list[Entry], kb_id: str) -> int:
     return waiting.index(kb_id) + 1 if kb_id in waiting else 0
 
 
+def orchestrator(base: str) -> IndexLock:
+    """The lock of the process that works through a base's queue; it lies beside the queue."""
+    return IndexLock(Path(base, ".orchestrator"))
+
+
 def drain(base: str, work: Callable[[Entry], int], sweep_all: bool = False) -> int:
     """Run waiting entries, first come first served, deferred ones only in a sweep. A run that raises or
-    ends with 1 leaves its message; only the finished entry goes. Returns the number of runs."""
+    ends with 1 leaves its message; only the finished entry goes. Returns the number of runs, -1 if another
+    process is at it."""
+    lock = orchestrator(base)
+    if not lock.acquire():
+        return -1
+    try:
+        return _drained(base, work, sweep_all)
+    finally:
+        lock.release()
+
+
+def _drained(base: str, work: Callable[[Entry], int], sweep_all: bool) -> int:
     entries, runs = load(base) or [], 0
     if recover(entries):
         save(base, entries)

@@ -1,21 +1,26 @@
 """Versioned Parquet snapshots of a knowledge base and the state transitions over them.
 
-A commit writes the tables that change into a new version folder and then moves a pointer file; readers
-stay on the version they opened. Tables that do not change are referred to where they are.
+A commit writes the tables that change into a new folder and then creates the next version file, which must
+not exist yet; the greatest whole version file is current. Nothing is ever deleted or replaced by a commit, so
+readers stay on the version they opened and a crash leaves the last one. Tables that do not change are referred
+to where they are.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import textindex as T
 from ..schema import TABLES, migrate
 
-POINTER = "current.json"
+VERSIONS = "versions"
+INDEX_OF = "text_index_of"  # metadata: the folder of the chunks that the text index holds for
 
 
 class Store:
@@ -24,15 +29,32 @@ class Store:
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.places: dict[str, str] = {}
         self.version = 0
-        if self._fs.exists(self._path(POINTER)):
-            self.refresh()
+        self.refresh()
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _numbers(self) -> list[int]:
+        """Version numbers that have a file, greatest first."""
+        folder = self._path(VERSIONS)
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted((int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)\.json", n))), reverse=True)
+
+    def _read(self, number: int) -> dict | None:
+        """A version file; None while its writer is at it, or if the writer died there."""
+        stream = self._fs.open(self._path(f"{VERSIONS}/v{number}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
     def refresh(self) -> None:
-        raw = json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/{POINTER}", wholetext=True).collect()))
-        self.places, self.version = raw["tables"], raw["version"]
+        for number in self._numbers():
+            if found := self._read(number):
+                self.places, self.version = found["tables"], number
+                return
 
     def table(self, name: str) -> DataFrame:
         """The table as of this version, in the current layout."""
@@ -41,41 +63,33 @@ class Store:
         return migrate(self.spark.read.parquet(f"{self.root}/{self.places[name]}"), name)
 
     def commit(self, **tables: DataFrame) -> int:
-        """Replace tables together. The pointer moves last and by a rename, so that a failure before it
-        leaves the old version; a commit over a version that is no longer current is refused."""
+        """Replace tables together. A commit over a version that is no longer current is refused: creating a
+        file that must not exist decides between two writers."""
         if self.read_only:
             raise PermissionError("the store was opened for reading")
         places = dict(self.places)
         for name, df in tables.items():
             places[name] = f"v{self.version + 1}-{uuid.uuid4().hex[:8]}/{name}"
             migrate(df, name).write.parquet(f"{self.root}/{places[name]}")
-        pointer = self._path(POINTER)
-        if self._fs.exists(pointer):
-            seen = Store(self.spark, self.root, read_only=True).version
-            if seen != self.version:
-                raise RuntimeError(f"version {seen} was committed meanwhile")
-        new = self._path(f"{POINTER}.{uuid.uuid4().hex}")
-        out = self._fs.create(new)
-        out.write(bytearray(json.dumps({"version": self.version + 1, "tables": places}).encode()))
+        numbers = self._numbers()
+        seen = next((n for n in numbers if self._read(n)), 0)
+        if seen != self.version:
+            raise RuntimeError(f"version {seen} was committed meanwhile")
+        number = max([*numbers[:1], self.version]) + 1  # beyond a file that a dead writer left
+        try:
+            out = self._fs.create(self._path(f"{VERSIONS}/v{number}.json"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {number} was committed meanwhile") from e
+        out.write(bytearray(json.dumps({"version": number, "tables": places}).encode()))
         out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        if not self._fs.rename(new, pointer):
-            raise RuntimeError("the pointer could not be moved")
-        self.places, self.version = places, self.version + 1
-        return self.version
+        self.places, self.version = places, number
+        return number
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
 
 
-def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """One row a key, the one with the greatest `by`."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by)))
-    return rows.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
-
-
 def delete_paths(store: Store, paths: DataFrame) -> int:
     """Purge files: their chunks, vectors and state."""
     paths = paths.select("source_path").distinct()
@@ -105,9 +119,21 @@ def persist_pending(store: Store, chunks: DataFrame, hashes: DataFrame) -> int:
     return store.commit(chunks=old.join(paths, "source_path", "left_anti").select(*new.columns).unionByName(new), embeddings=store.table("embeddings").join(gone, "chunk_id", "left_anti"), file_index=upsert(store.table("file_index"), migrate(files, "file_index"), "source_path"))
 
 
+def _settled(files: DataFrame, chunks: DataFrame, touched: DataFrame) -> DataFrame:
+    """files with the state that their chunks say: ready, degraded if a chunk is raw or failed, failed if all
+    are, deferred while some still wait. Only files of touched (source_path) change."""
+    state = chunks.join(touched, "source_path", "left_semi").groupBy("source_path").agg(F.count("*").alias("_n"), F.count_if(F.col("status") == 4).alias("_failed"), F.count_if(F.col("status").isin(2, 5)).cast("int").alias("_wait"), F.count_if(~F.col("is_contextualized")).alias("_raw"))
+    status = F.when(F.col("_wait") > 0, 2).when(F.col("_failed") == F.col("_n"), 4).when((F.col("_failed") > 0) | (F.col("_raw") > 0), 1).otherwise(0)
+    new = files.join(state.withColumn("_status", status), "source_path", "left")
+    lost = F.col("_status") == 4
+    error = F.when(F.col("_status") == 0, F.lit(None)).when(lost, F.concat(F.lit("all "), F.col("_failed").cast("string"), F.lit(" chunks failed"))).otherwise(F.col("last_error"))
+    stage = F.when(F.col("_status") == 0, F.lit(None)).when(lost, F.lit("embed")).otherwise(F.col("last_error_stage"))
+    return new.withColumn("status", F.coalesce("_status", "status")).withColumn("chunks_pending", F.coalesce("_wait", "chunks_pending")).withColumn("last_error", error).withColumn("last_error_stage", stage).select(*files.columns)
+
+
 def promote(store: Store, vectors: DataFrame, failed: DataFrame | None = None) -> int:
-    """Second commit: chunks with a vector become indexed, those in failed (chunk_id, error) fail; files
-    are ready, degraded if a chunk is raw or failed, failed if all are, deferred while some still wait."""
+    """Second commit: chunks with a vector become indexed, those in failed (chunk_id, error) fail, and their
+    files follow."""
     chunks = store.table("chunks")
     bad = failed if failed is not None else store.spark.createDataFrame([], "chunk_id string, error string")
     done = vectors.select(F.col("chunk_id").alias("id")).distinct().withColumn("_done", F.lit(True))
@@ -116,23 +142,32 @@ def promote(store: Store, vectors: DataFrame, failed: DataFrame | None = None) -
     out = marked.withColumn("status", F.when(good, 0).when(wrong, 4).otherwise(F.col("status"))).withColumn("retry_count", F.when(good, 0).otherwise(F.col("retry_count"))).withColumn("last_error", F.when(good, F.lit(None)).when(wrong, F.col("_error")).otherwise(F.col("last_error")))
     touched = marked.where(good | wrong).select("source_path").distinct()
     out = out.select(*chunks.columns)
-    state = out.join(touched, "source_path", "left_semi").groupBy("source_path").agg(F.count("*").alias("_n"), F.count_if(F.col("status") == 4).alias("_failed"), F.count_if(F.col("status").isin(2, 5)).cast("int").alias("_wait"), F.count_if(~F.col("is_contextualized")).alias("_raw"))
-    status = F.when(F.col("_wait") > 0, 2).when(F.col("_failed") == F.col("_n"), 4).when((F.col("_failed") > 0) | (F.col("_raw") > 0), 1).otherwise(0)
-    files = store.table("file_index")
-    new = files.join(state.withColumn("_status", status), "source_path", "left")
-    new = new.withColumn("status", F.coalesce("_status", "status")).withColumn("chunks_pending", F.coalesce("_wait", "chunks_pending")).withColumn("last_error", F.when(F.col("_status") == 0, F.lit(None)).otherwise(F.col("last_error"))).select(*files.columns)
     old = store.table("embeddings").join(vectors.select("chunk_id"), "chunk_id", "left_anti")
-    return store.commit(chunks=out, embeddings=old.unionByName(vectors.select(*old.columns)), file_index=new)
+    return store.commit(chunks=out, embeddings=old.unionByName(vectors.select(*old.columns)), file_index=_settled(store.table("file_index"), out, touched))
+
 
+def settle(store: Store, ids: DataFrame | None = None) -> int:
+    """Files of the chunks in ids (id) follow their chunks. Without ids all chunks that wait for vectors are
+    indexed as they are, as there is nothing that embeds them."""
+    chunks, files = store.table("chunks"), store.table("file_index")
+    if ids is not None:
+        return store.commit(file_index=_settled(files, chunks, chunks.join(ids, "id", "left_semi").select("source_path").distinct()))
+    touched = chunks.where("status = 2").select("source_path").distinct()
+    new = chunks.withColumn("status", F.when(F.col("status") == 2, 0).otherwise(F.col("status")))
+    return store.commit(chunks=new, file_index=_settled(files, new, touched))
 
-def mark_file_failed(store: Store, path: str, error: str, stage: str, status: int = 3) -> bool:
-    """False, and no change, if the file is not in the index."""
+
+def mark_files_failed(store: Store, failed: DataFrame, stage: str, status: int = 3) -> int:
+    """Files of failed (source_path, error) get that status; those not in the index change nothing. Returns the
+    number of files marked."""
     files = store.table("file_index")
-    own = F.col("source_path") == path
-    if files.where(own).isEmpty():
-        return False
-    store.commit(file_index=files.withColumn("status", F.when(own, status).otherwise(F.col("status"))).withColumn("last_error", F.when(own, F.lit(error)).otherwise(F.col("last_error"))).withColumn("last_error_stage", F.when(own, F.lit(stage)).otherwise(F.col("last_error_stage"))))
-    return True
+    hits = files.select("source_path").join(failed, "source_path").groupBy("source_path").agg(F.min("error").alias("_error"))
+    n = hits.count()
+    if n:
+        own = F.col("_error").isNotNull()
+        new = files.join(hits, "source_path", "left").withColumn("status", F.when(own, status).otherwise(F.col("status"))).withColumn("last_error", F.coalesce("_error", "last_error")).withColumn("last_error_stage", F.when(own, F.lit(stage)).otherwise(F.col("last_error_stage")))
+        store.commit(file_index=new.select(*files.columns))
+    return n
 
 
 def update_chunks(store: Store, ids: DataFrame, status: int, error: str | None = None) -> int:
@@ -154,6 +189,31 @@ def prepare_partial(store: Store, kind: str) -> int:
     return store.commit(chunks=new, embeddings=store.table("embeddings").limit(0), file_index=files.withColumn("status", F.lit(2)))
 
 
+def contextualized(store: Store, done: DataFrame) -> int:
+    """Chunks with new enriched text (rows of the table chunks) replace the old ones and wait for vectors; the
+    counters of their files are taken again."""
+    chunks, files = store.table("chunks"), store.table("file_index")
+    counted = done.groupBy("source_path").agg(F.count_if(~F.col("is_contextualized")).cast("int").alias("_raw"), F.count_if("is_contextualized").cast("int").alias("_context"), F.count("*").cast("int").alias("_wait"))
+    new = files.join(counted, "source_path", "left").withColumn("chunks_raw", F.coalesce("_raw", "chunks_raw")).withColumn("chunks_contextualized", F.coalesce("_context", "chunks_contextualized")).withColumn("chunks_pending", F.coalesce("_wait", "chunks_pending"))
+    return store.commit(chunks=upsert(chunks, done, "id"), file_index=new.select(*files.columns))
+
+
+def refresh_index(store: Store) -> int:
+    """Bring the text index up to the chunks: postings of chunks that are new or changed replace the old ones,
+    all others stay. Which chunks table it holds for is written with it."""
+    chunks = store.table("chunks")
+    rows = T.indexed_rows(chunks.select(F.col("id").alias("chunk_id"), F.coalesce("enriched", "content").alias("content")))
+    fresh, stale = T.changed(rows, store.table("indexed"))
+    kept = store.table("postings").join(stale, "chunk_id", "left_anti")
+    facts = store.table("index_metadata").where(F.col("key") != INDEX_OF).unionByName(store.spark.createDataFrame([(INDEX_OF, store.places.get("chunks"))], "key string, value string"))
+    return store.commit(postings=T.laid_out(kept.unionByName(T.positions(fresh))), indexed=rows.select("chunk_id", "dl", "h"), index_metadata=facts)
+
+
+def index_is_current(store: Store) -> bool:
+    found = store.table("index_metadata").where(F.col("key") == INDEX_OF).first() if "postings" in store.places else None
+    return found is not None and found.value == store.places.get("chunks")
+
+
 def set_metadata(store: Store, values: dict[str, str | None]) -> int:
     """Upsert; None deletes a key."""
     old = store.table("index_metadata").where(~F.col("key").isin(*values)) if values else store.table("index_metadata")
@@ -163,9 +223,3 @@ def set_metadata(store: Store, values: dict[str, str | None]) -> int:
 
 def metadata(store: Store) -> dict[str, str]:
     return {r.key: r.value for r in store.table("index_metadata").collect()}
-
-
-def cached(store: Store, *names: str) -> Callable[[], None]:
-    """Keep tables of a much-searched base in memory; returns what lets them go."""
-    held = [store.table(n).persist() for n in names]
-    return lambda: [h.unpersist() for h in held] and None

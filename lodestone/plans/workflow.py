@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import json
+import logging
+import time
+import uuid
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
+from hashlib import sha256
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunker import chunked
-from ..functions.text import chunk_id, context_of, prompt_of, trimmed
+from ..functions.text import DEFAULT_BATCH, DEFAULT_PROMPT, batch_size, chunk_id, context_of, prompt_of, trimmed
+from ..operators import stats
 from ..operators.changes import orphans, work_set
-from ..schema import migrate
-from ..sources.files import Config, parse, scan
+from ..schema import SCHEMA_VERSION, ProviderHealth, migrate
+from ..sources.files import Config, contents, parse, scan
+from .lock import IndexLock
 from .providers import Contextualizer, Embedder, NullContextualizer, NullEmbedder, contextualize, embed_chunks
-from .store import Store, delete_paths, persist_pending, prepare_partial, promote, set_metadata, update_chunks
+from .store import Store, contextualized, delete_paths, index_is_current, mark_files_failed, persist_pending, prepare_partial, promote, refresh_index, set_metadata, settle, update_chunks
 
 RETRIES = 3
+FAILURES_TOLD = 1000  # of a run, in its result and metadata; the counters hold all
+LOG = logging.getLogger("lodestone")
 
 
 @dataclass
@@ -24,100 +34,241 @@ class RunResult:
     indexed: int = 0
     skipped: int = 0
     failed: dict[str, str] = field(default_factory=dict)
+    failed_files: int = 0
     deferred: int = 0
+    degraded: int = 0
+    needs_action: int = 0
     cancelled: bool = False
+    busy: bool = False
+    health: ProviderHealth = ProviderHealth.OK
 
     @property
     def exit_code(self) -> int:
-        return 2 if self.cancelled else int(bool(self.failed) and not self.indexed)
+        if self.busy:
+            return 1
+        return 2 if self.cancelled else int(self.failed_files > 0 and not self.indexed)
 
 
-def build_chunks(texts: DataFrame, provider: Contextualizer, max_chars: int = 0) -> DataFrame:
-    """(source_path, text) -> rows of the table chunks, enriched where the provider answers."""
-    rows = chunked(texts.select("source_path", context_of(F.col("text")).alias("context"), "text"), max_chars=max_chars)
+class _Run:
+    """What one run needs at every step: its store, its own scratch folder, its lock and the timing log."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.began = spark, root, time.monotonic()
+        self.lock = IndexLock(Path(root).parent)
+        self.scratch = f"{root}/scratch/{uuid.uuid4().hex}"
+        self.log = Path(root).parent / "timing.log"
+
+    def held(self) -> bool:
+        if not self.lock.acquire():
+            LOG.error("another process is indexing %s", self.root)
+            return False
+        self.store = Store(self.spark, self.root)
+        return True
+
+    def told(self, stage: str, **facts) -> None:
+        line = f"{datetime.now(UTC).isoformat()} {stage} {time.monotonic() - self.began:.3f}s " + " ".join(f"{k}={v}" for k, v in facts.items())
+        LOG.info(line)
+        with self.log.open("a", encoding="utf-8") as f:
+            f.write(line.rstrip() + "\n")
+        self.lock.update(facts.get("current", 0), facts.get("total", 0), current_stage=stage, failed_count=facts.get("failed"), provider_health=facts.get("health"))
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.scratch}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.scratch}/{name}")
+
+    def cancelled(self) -> bool:
+        return Path(self.root, "cancel").exists() or (Path(self.root).parent / "cancel").exists()
+
+    def close(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.scratch)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.lock.release()
+
+
+def prompt_hash(prompt: str) -> str:
+    return sha256(prompt.encode()).hexdigest()[:16]
+
+
+def _prompted(rows: DataFrame) -> DataFrame:
+    """Adds prompt to chunks with the column context."""
     total = rows.groupBy("source_path").agg(F.count("*").alias("total"))
-    rows = rows.join(total, "source_path").withColumn("id", chunk_id(F.col("source_path"), F.col("chunk_index")))
-    rows = rows.withColumn("prompt", prompt_of(F.col("content"), F.col("context"), F.element_at(F.split("source_path", "/"), -1), F.col("chunk_index"), F.col("total")))
-    return migrate(contextualize(rows, provider), "chunks")
+    name = F.element_at(F.split("source_path", "/"), -1)
+    return rows.join(total, "source_path").withColumn("prompt", prompt_of(F.col("content"), F.col("context"), name, F.col("chunk_index"), F.col("total")))
+
+
+def build_chunks(texts: DataFrame, provider: Contextualizer, max_chars: int = 0) -> DataFrame:
+    """(source_path, text, metadata) -> rows of the table chunks, enriched where the provider answers."""
+    texts = texts if "metadata" in texts.columns else texts.withColumn("metadata", F.lit("{}"))
+    rows = chunked(texts.select("source_path", "metadata", context_of(F.col("text")).alias("context"), "text"), max_chars=max_chars)
+    rows = rows.withColumn("id", chunk_id(F.col("source_path"), F.col("chunk_index")))
+    return migrate(contextualize(_prompted(rows), provider), "chunks")
 
 
-def _embed(store: Store, waiting: DataFrame, provider: Embedder, batch: int, scratch: str) -> int:
+def _embed(run: _Run, waiting: DataFrame, provider: Embedder, batch: int) -> tuple[int, ProviderHealth]:
     """Embed waiting chunks. What the provider answers is written once before it is used, so that a later
-    retry of a task calls nothing again. Returns the number of deferred chunks."""
+    retry of a task calls nothing again. Returns the number of deferred chunks and the provider's health."""
+    store = run.store
     if isinstance(provider, NullEmbedder):
-        promote(store, store.spark.createDataFrame([], "chunk_id string, model string, embedding array<float>"))
-        chunks = store.table("chunks")
-        store.commit(chunks=chunks.withColumn("status", F.when(F.col("status") == 2, 0).otherwise(F.col("status"))), file_index=store.table("file_index").withColumn("chunks_pending", F.lit(0)).withColumn("status", F.when(F.col("chunks_raw") > 0, 1).otherwise(0)))
-        return 0
-    embed_chunks(waiting, provider, batch).write.mode("overwrite").parquet(scratch)
-    got = store.spark.read.parquet(scratch)
+        settle(store)
+        return 0, ProviderHealth.OK
+    got = run.written(embed_chunks(waiting, provider, batch), f"vectors-{uuid.uuid4().hex[:6]}")
     vectors = got.where(F.col("embedding").isNotNull()).select("chunk_id", F.lit(provider.model).alias("model"), "embedding")
     promote(store, vectors, got.where(F.col("error").isNotNull()).select("chunk_id", "error"))
-    late = got.where("deferred").select(F.col("chunk_id").alias("id"))
-    n = late.count()
-    if n:
+    n = got.agg(F.count_if("deferred").alias("late"), F.count_if("refused").alias("refused")).first()
+    # A refused key is no fault of the chunks, so it costs them no try.
+    late = got.where("deferred and not refused").select(F.col("chunk_id").alias("id"))
+    if n.late > n.refused:
         update_chunks(store, late, 2, "deferred")
-    return n
+    return n.late, ProviderHealth.EMBEDDING_UNAVAILABLE if n.refused else ProviderHealth.OK
+
+
+def _retry(run: _Run, provider: Embedder, batch: int) -> tuple[int, ProviderHealth]:
+    """All waiting chunks: those out of tries fail, and with them files that wait for nothing else."""
+    store = run.store
+    chunks = store.table("chunks").where("status = 2")
+    worn = chunks.where(F.col("retry_count") >= RETRIES).select("id")
+    if not worn.isEmpty():
+        update_chunks(store, worn, 4, f"retry budget exhausted ({RETRIES})")
+        settle(store, worn)
+    waiting = store.table("chunks").where("status = 2")
+    if waiting.isEmpty():
+        return 0, ProviderHealth.OK
+    return _embed(run, waiting, provider, batch)
 
 
-def index(spark: SparkSession, root: str, config: Config, embedder: Embedder | None = None, contextualizer: Contextualizer | None = None, force: bool = False, batch: int = 256) -> RunResult:
+def _finished(run: _Run, result: RunResult, config: Config) -> None:
+    """Counters of the state after the run, and the run's metadata."""
+    if not index_is_current(run.store):
+        refresh_index(run.store)
+        run.told("text index")
+    state = stats.file_counters(run.store.table("file_index")).first()
+    result.degraded, result.needs_action = state.degraded, state.needs_action
+    told = dict(sorted(result.failed.items()))
+    facts = {"last_indexed_count": result.indexed, "last_skipped_count": result.skipped, "last_failed_count": state.failed, "last_degraded_count": state.degraded, "last_partially_deferred_count": state.partially_deferred, "last_run_duration_ms": int(1000 * (time.monotonic() - run.began)), "last_run_completed_utc": datetime.now(UTC).isoformat(), "last_provider_health": int(result.health), "last_failed_files": _json(list(told)), "last_failed_reasons": _json(list(told.values()))}
+    set_metadata(run.store, {k: str(v) for k, v in facts.items()})
+    run.told("run", indexed=result.indexed, skipped=result.skipped, failed=result.failed_files, deferred=result.deferred, health=int(result.health))
+
+
+def _opened(run: _Run, config: Config) -> None:
+    """The facts that staleness is judged by."""
+    prompt = config.systemPrompt or DEFAULT_PROMPT
+    set_metadata(run.store, {"effective_prompt_hash": prompt_hash(prompt), "system_prompt": config.systemPrompt or None, "schema_version": str(SCHEMA_VERSION)})
+
+
+def _batch(config: Config, batch: int) -> int:
+    return batch or config.embedding.batchSize or batch_size(config.embedding.provider, config.embedding.model) or DEFAULT_BATCH
+
+
+def index(spark: SparkSession, root: str, config: Config, embedder: Embedder | None = None, contextualizer: Contextualizer | None = None, force: bool = False, batch: int = 0) -> RunResult:
     """One run over the configured folders. Files whose hash is known are skipped; an emptied folder loses
-    its entries; a blank file keeps its old chunks and hash."""
-    store, result = Store(spark, root), RunResult()
-    files = scan(spark, config.sourcePaths)
-    listed = files.select("source_path", "file_hash")
-    gone = orphans(listed, store.table("file_index"))
-    if not gone.isEmpty():
-        delete_paths(store, gone)
-    if Path(root, "cancel").exists():
-        result.cancelled = True
+    its entries; a blank file keeps its old chunks and hash; a file that cannot be read keeps its chunks and
+    needs action. While another run holds the lock nothing is done (busy, exit code 1)."""
+    run, result = _Run(spark, root), RunResult()
+    if not run.held():
+        result.busy = True
         return result
-    work = work_set(files, store.table("file_index"), force)
-    parsed = parse(work)
-    wide = f"{root}/scratch/parsed"
-    parsed.write.mode("overwrite").parquet(wide)
-    parsed = spark.read.parquet(wide)
-    result.failed = {r.source_path: r.error for r in parsed.where("error is not null").select("source_path", "error").collect()}
-    ready = parsed.where(F.col("error").isNull() & (F.length(trimmed(F.col("text"))) > 0))
-    result.indexed = ready.count()
-    result.skipped = listed.count() - parsed.count()
-    if result.indexed:
-        chunks = build_chunks(ready, contextualizer or NullContextualizer(), config.embedding.maxChunkChars)
-        chunks.write.mode("overwrite").parquet(f"{root}/scratch/chunks")
-        persist_pending(store, spark.read.parquet(f"{root}/scratch/chunks"), ready)
-    waiting = store.table("chunks").where((F.col("status") == 2) & (F.col("retry_count") < RETRIES))
-    if not waiting.isEmpty():
-        result.deferred = _embed(store, waiting, embedder or NullEmbedder(), config.embedding.batchSize or batch, f"{root}/scratch/vectors")
-    worn = store.table("chunks").where((F.col("status") == 2) & (F.col("retry_count") >= RETRIES)).select("id")
-    if not worn.isEmpty():
-        update_chunks(store, worn, 4, "retries exhausted")
-    set_metadata(store, {"last_indexed_count": str(result.indexed), "last_skipped_count": str(result.skipped), "last_failed_count": str(len(result.failed)), "last_failed_files": _json(sorted(result.failed)), "last_failed_reasons": _json(result.failed), "last_partially_deferred_count": str(result.deferred)})
-    return result
+    try:
+        store = run.store
+        if not force and store.version and _unchanged(run, config, result):
+            return result
+        _opened(run, config)
+        listed = run.written(scan(spark, config.sourcePaths), "listed")
+        gone = orphans(listed, store.table("file_index"))
+        if not gone.isEmpty():
+            delete_paths(store, gone)
+        if run.cancelled():
+            result.cancelled = True
+            return result
+        work = run.written(work_set(listed, store.table("file_index"), force), "work")
+        total = work.count()
+        result.skipped = listed.count() - total
+        run.told("scanned", total=total)
+        done = 0
+        for part in contents(spark, work):
+            if run.cancelled():
+                result.cancelled = True
+                break
+            done += 1
+            _index_part(run, result, parse(part), config, contextualizer or NullContextualizer(), f"part{done}")
+            run.told("chunked", current=result.indexed + result.failed_files, total=total, failed=result.failed_files)
+        result.deferred, result.health = _retry(run, embedder or NullEmbedder(), _batch(config, batch))
+        _finished(run, result, config)
+        return result
+    finally:
+        run.close()
+
 
+def _unchanged(run: _Run, config: Config, result: RunResult) -> bool:
+    """A run over folders in which nothing has changed, with no chunk waiting, is one job and writes nothing
+    but its metadata."""
+    store = run.store
+    facts = {r.key: r.value for r in store.table("index_metadata").collect()}
+    if facts.get("effective_prompt_hash") != prompt_hash(config.systemPrompt or DEFAULT_PROMPT) or run.cancelled():
+        return False
+    listed = scan(run.spark, config.sourcePaths).select("source_path", "file_hash")
+    files = store.table("file_index").select("source_path", F.col("file_hash").alias("old"), "status")
+    both = listed.join(files, "source_path", "full_outer")
+    odd = F.coalesce(F.col("file_hash") != F.col("old"), F.lit(True)) | (F.col("status") == 2)
+    n = both.agg(F.count("*").alias("n"), F.count_if(odd).alias("odd")).first()
+    if n.odd:
+        return False
+    result.skipped = n.n
+    _finished(run, result, config)
+    return True
 
-def partial(spark: SparkSession, root: str, config: Config, kind: str, embedder: Embedder, contextualizer: Contextualizer | None = None, force: bool = False, batch: int = 256) -> int:
+
+def _index_part(run: _Run, result: RunResult, parsed: DataFrame, config: Config, provider: Contextualizer, name: str) -> None:
+    """Texts of some files to waiting chunks, with one commit; files that cannot be read are marked."""
+    parsed = run.written(parsed, f"{name}-parsed")
+    bad = parsed.where("error is not null").select("source_path", "error")
+    counts = parsed.agg(F.count_if(F.col("error").isNotNull()).alias("bad"), F.count_if(F.length(trimmed(F.col("text"))) > 0).alias("good")).first()
+    if counts.bad:
+        result.failed |= {r.source_path: r.error for r in bad.orderBy("source_path").limit(max(0, FAILURES_TOLD - len(result.failed))).collect()}
+        mark_files_failed(run.store, bad, "extract")
+    result.failed_files += counts.bad
+    result.indexed += counts.good
+    if counts.good:
+        ready = parsed.where(F.col("error").isNull() & (F.length(trimmed(F.col("text"))) > 0))
+        chunks = run.written(build_chunks(ready, provider, config.embedding.maxChunkChars), f"{name}-chunks")
+        persist_pending(run.store, chunks, ready)
+
+
+def partial(spark: SparkSession, root: str, config: Config, kind: str, embedder: Embedder | None = None, contextualizer: Contextualizer | None = None, force: bool = False, batch: int = 0) -> int:
+    """partial_run, for its number of deferred chunks."""
+    return partial_run(spark, root, config, kind, embedder, contextualizer, force, batch).deferred
+
+
+def partial_run(spark: SparkSession, root: str, config: Config, kind: str, embedder: Embedder | None = None, contextualizer: Contextualizer | None = None, force: bool = False, batch: int = 0) -> RunResult:
     """Embed, or contextualize and embed, all chunks again; resumes what an earlier run of the same kind
-    left, and refuses over one of the other kind unless forced. Returns the number of deferred chunks."""
-    store = Store(spark, root)
-    n = store.table("chunks").agg(F.count_if(F.col("status") == 2).alias("e"), F.count_if(F.col("status") == 5).alias("c")).first()
-    resume = n.c > 0 if kind == "contextualization" else n.e > 0 and n.c == 0
-    if not resume and (n.e or n.c) and not force:
-        raise RuntimeError("another partial run is not finished")
-    if not resume or force:
-        prepare_partial(store, kind)
-    if kind == "contextualization":
-        chunks = store.table("chunks")
-        own = chunks.where("status = 5")
-        total = chunks.groupBy("source_path").agg(F.count("*").alias("total"))
-        rows = own.join(total, "source_path").withColumn("prompt", prompt_of(F.col("content"), F.lit(None).cast("string"), F.element_at(F.split("source_path", "/"), -1), F.col("chunk_index"), F.col("total")))
-        done = migrate(contextualize(rows, contextualizer or NullContextualizer()).withColumn("status", F.lit(2)), "chunks")
-        done.write.mode("overwrite").parquet(f"{root}/scratch/context")
-        done = spark.read.parquet(f"{root}/scratch/context")
-        store.commit(chunks=chunks.where("status <> 5").unionByName(done))
-    return _embed(store, store.table("chunks").where("status = 2"), embedder, batch, f"{root}/scratch/vectors")
+    left, and refuses over one of the other kind unless forced."""
+    if kind not in ("contextualization", "embedding"):
+        raise ValueError(f"unknown kind of partial run '{kind}'")
+    run, result = _Run(spark, root), RunResult()
+    if not run.held():
+        result.busy = True
+        return result
+    try:
+        store = run.store
+        n = stats.pending_counts(store.table("chunks")).first()
+        resume = n.pending_contextualization > 0 if kind == "contextualization" else n.pending_embedding > 0 and n.pending_contextualization == 0
+        if not resume and (n.pending_embedding or n.pending_contextualization) and not force:
+            raise RuntimeError("another partial run is not finished")
+        _opened(run, config)
+        if not resume:
+            prepare_partial(store, kind)
+        if kind == "contextualization":
+            own = store.table("chunks").where("status = 5")
+            texts = stats.document_text(own.select("source_path", "chunk_index", "content"))
+            rows = _prompted(own.join(texts.select("source_path", context_of(F.col("text")).alias("context")), "source_path"))
+            contextualized(store, run.written(migrate(contextualize(rows, contextualizer or NullContextualizer()).withColumn("status", F.lit(2)), "chunks"), "context"))
+            run.told("contextualized", total=n.pending_contextualization)
+        result.deferred, result.health = _retry(run, embedder or NullEmbedder(), _batch(config, batch))
+        result.indexed = store.table("file_index").where(F.col("status").isin(0, 1)).count()
+        _finished(run, result, config)
+        return result
+    finally:
+        run.close()
 
 
 def _json(value) -> str:
-    import json
-
     return json.dumps(value, ensure_ascii=False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.chunker import chunked, sentence_count
-from .operators import changes, search, stats
+from .operators import changes, search, stats, textindex
 
 WORDS, OTHER_WORDS = "Thanedble nten queelle", "the ab einkeitü"
 K, THRESHOLD = 15, 0.2
@@ -31,7 +31,10 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "embeddings").join(corpus(spark, d).select("doc_id", F.col("id").alias("chunk_id")), F.col("vec_id") == F.col("doc_id")).select("chunk_id", F.lit("table").alias("model"), "embedding")
+    """All vectors; one without a document has an id of its own, which no chunk has."""
+    names = corpus(spark, d).select("doc_id", F.col("id").alias("chunk_id"))
+    both = _t(spark, d, "embeddings").join(names, F.col("vec_id") == F.col("doc_id"), "left")
+    return both.select(F.coalesce("chunk_id", F.concat(F.lit("vec/"), F.col("vec_id").cast("string"))).alias("chunk_id"), F.lit("table").alias("model"), "embedding")
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -78,12 +81,18 @@ def bm25_short_tokens_dropped(s, d):
     return _rounded(search.bm25_topk(_searched(corpus(s, d)), OTHER_WORDS, K))
 
 
+def bm25_from_index(s, d):
+    """The same search over an index with positions, without a look at the texts."""
+    rows = textindex.indexed_rows(_searched(corpus(s, d)))
+    return _rounded(search.top(textindex.bm25_indexed(textindex.positions(rows), rows, WORDS), K))
+
+
 def knn_cosine_topk(s, d):
     return _rounded(search.knn_topk(vectors(s, d), query_vector(s, d), K, -1.0))
 
 
 def knn_threshold(s, d):
-    return _rounded(search.knn_topk(vectors(s, d), query_vector(s, d), 1000, THRESHOLD))
+    return _rounded(search.knn_scores(vectors(s, d), query_vector(s, d), THRESHOLD))
 
 
 def rrf_fusion(s, d):
@@ -103,7 +112,7 @@ def hydrate_siblings(s, d):
 
 def multi_get(s, d):
     own = turns(s, d)
-    ids = own.where("chunk_index = 1").select(F.col("id").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
+    ids = own.select(F.col("id").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
     return search.hydrate(ids, own).select("chunk_id", "source_path", "chunk_index", "total_chunks", "has_previous", "has_next")
 
 
@@ -210,7 +219,7 @@ def scope_ranks(s, d):
     return corpus(s, d).select("doc_id", T.scope_rank(mode).alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_token, bm25_short_tokens_dropped, knn_cosine_topk, knn_threshold, rrf_fusion, hybrid_search, hydrate_siblings, multi_get, check_changes, orphans, work_set, file_status_counters, pending_counts, context_stats, context_by_file, pending_by_file, pending_queue, pending_contexts, kb_summary, chunk_ids, content_hashes, doc_context, prompts, enriched, rebuild_document, sentence_counts, chunk_documents, normalized_vectors, postings_size, folder_classes, scope_ranks)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_token, bm25_short_tokens_dropped, bm25_from_index, knn_cosine_topk, knn_threshold, rrf_fusion, hybrid_search, hydrate_siblings, multi_get, check_changes, orphans, work_set, file_status_counters, pending_counts, context_stats, context_by_file, pending_by_file, pending_queue, pending_contexts, kb_summary, chunk_ids, content_hashes, doc_context, prompts, enriched, rebuild_document, sentence_counts, chunk_documents, normalized_vectors, postings_size, folder_classes, scope_ranks)}
 
 _CORPUS = "corpus AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS source_path, substr(sha256(source || '/' || doc_id || '.txt'), 1, 16) || '_0' AS id, text AS content, source FROM documents)"
 _TURNS = "turns AS (SELECT 'conv/' || conv_id AS source_path, turn::INT AS chunk_index, substr(sha256('conv/' || conv_id), 1, 16) || '_' || turn AS id, text AS content FROM conversations)"
@@ -218,7 +227,7 @@ _SCAN = "scan AS (SELECT source_path, sha256(content) AS file_hash FROM corpus)"
 _STATE = """state AS (SELECT source_path, CASE WHEN doc_id % 7 = 0 THEN sha256(sha256(content) || 'old') ELSE sha256(content) END AS file_hash, (doc_id % 5)::INT AS status, doc_id % 3 AS chunks_raw, doc_id % 4 AS chunks_contextualized FROM corpus WHERE doc_id % 11 <> 0
 UNION ALL SELECT 'gone/' || source_path, sha256(content), 0, 0, 0 FROM corpus WHERE doc_id % 50 = 0)"""
 _CHUNKS = "chunks AS (SELECT substr(sha256('conv/' || conv_id), 1, 16) || '_' || turn AS id, 'conv/' || conv_id AS source_path, turn::INT AS chunk_index, ((conv_id * 31 + turn) % 6)::INT AS status, ((conv_id * 31 + turn) % 4)::INT AS retry_count, (conv_id * 31 + turn) % 3 = 0 AS is_contextualized FROM conversations)"
-_NEAR = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), near AS (SELECT c.id AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS score FROM embeddings e JOIN corpus c ON c.doc_id = e.vec_id, q)"
+_NEAR = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), near AS (SELECT coalesce(c.id, 'vec/' || e.vec_id) AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS score FROM embeddings e CROSS JOIN q LEFT JOIN corpus c ON c.doc_id = e.vec_id)"
 
 
 def _bm25(query: str, name: str = "words") -> str:
@@ -247,14 +256,15 @@ fused AS (SELECT chunk_id, score, (row_number() OVER (ORDER BY round(score, 12)
 _ROUND = "SELECT chunk_id, round(score, 6) AS score, rank FROM"
 ORACLES = {
     "bm25_topk": f"WITH {_CORPUS}, {_bm25(WORDS)} {_ROUND} ({_top('words', K)})",
+    "bm25_from_index": f"WITH {_CORPUS}, {_bm25(WORDS)} {_ROUND} ({_top('words', K)})",
     "bm25_multi_token": f"WITH {_CORPUS}, {_bm25('nten nten thanedble')} {_ROUND} ({_top('words', K)})",
     "bm25_short_tokens_dropped": f"WITH {_CORPUS}, {_bm25(OTHER_WORDS)} {_ROUND} ({_top('words', K)})",
     "knn_cosine_topk": f"WITH {_CORPUS}, {_NEAR} {_ROUND} ({_top('near', K)})",
-    "knn_threshold": f"WITH {_CORPUS}, {_NEAR} {_ROUND} ({_top(f'(SELECT * FROM near WHERE score >= {THRESHOLD})', 1000)})",
+    "knn_threshold": f"WITH {_CORPUS}, {_NEAR} SELECT chunk_id, round(score, 6) AS score FROM near WHERE score >= {THRESHOLD}",
     "rrf_fusion": f"{_fused(60, 40, -1.0)} SELECT chunk_id, round(score, 9) AS score, rank FROM fused",
     "hybrid_search": f"{_fused(3 * K, K, THRESHOLD)} SELECT f.chunk_id, c.source_path, 0 AS chunk_index, 1::BIGINT AS total_chunks, c.content, round(f.score::FLOAT::DOUBLE, 5) AS score, false AS has_previous, false AS has_next, f.rank FROM fused f JOIN corpus c ON c.id = f.chunk_id",
     "hydrate_siblings": f"WITH {_TURNS} SELECT id, source_path, chunk_index, count(*) OVER (PARTITION BY source_path) AS total_chunks, chunk_index > 0 AS has_previous, chunk_index < count(*) OVER (PARTITION BY source_path) - 1 AS has_next FROM turns",
-    "multi_get": f"WITH {_TURNS} SELECT id AS chunk_id, source_path, chunk_index, total_chunks, chunk_index > 0 AS has_previous, chunk_index < total_chunks - 1 AS has_next FROM (SELECT *, count(*) OVER (PARTITION BY source_path) AS total_chunks FROM turns) WHERE chunk_index = 1",
+    "multi_get": f"WITH {_TURNS} SELECT id AS chunk_id, source_path, chunk_index, total_chunks, chunk_index > 0 AS has_previous, chunk_index < total_chunks - 1 AS has_next FROM (SELECT *, count(*) OVER (PARTITION BY source_path) AS total_chunks FROM turns)",
     "check_changes": f"WITH {_CORPUS}, {_SCAN}, {_STATE}, failed AS (SELECT source_path FROM corpus WHERE doc_id % 22 = 0) SELECT coalesce(s.source_path, f.source_path) AS source_path, CASE WHEN f.source_path IS NULL THEN CASE WHEN s.source_path IN (SELECT source_path FROM failed) THEN 'known_failed' ELSE 'added' END WHEN s.source_path IS NULL THEN 'deleted' WHEN s.file_hash = f.file_hash THEN 'unchanged' ELSE 'modified' END AS change FROM scan s FULL JOIN state f ON s.source_path = f.source_path",
     "orphans": f"WITH {_CORPUS}, {_SCAN}, {_STATE} SELECT source_path FROM state WHERE source_path NOT IN (SELECT source_path FROM scan)",
     "work_set": f"WITH {_CORPUS}, {_SCAN}, {_STATE} SELECT * FROM scan s WHERE NOT EXISTS (SELECT 1 FROM state f WHERE f.source_path = s.source_path AND f.file_hash = s.file_hash)",
@@ -272,7 +282,14 @@ ORACLES = {
     "prompts": f"WITH {_TURNS}, n AS (SELECT *, count(*) OVER (PARTITION BY source_path) AS total, CASE WHEN length(content) <= 4000 THEN content WHEN length(content) <= 20000 THEN left(content, 2000) || chr(10) || '...' || chr(10) || right(content, 2000) ELSE left(content, 2000) || chr(10) || '...(truncated)' END AS ctx FROM turns) SELECT id, substr(sha256('Source: ' || source_path || ' (chunk ' || (chunk_index + 1) || ' of ' || total || ')' || chr(10) || CASE WHEN length(content) > 0 THEN chr(10) || '<document_summary>' || chr(10) || ctx || chr(10) || '</document_summary>' || chr(10) ELSE '' END || chr(10) || '<chunk>' || chr(10) || content || chr(10) || '</chunk>' || chr(10)), 1, 16) AS prompt_hash FROM n",
     "enriched": f"WITH {_TURNS} SELECT id, CASE chunk_index % 3 WHEN 0 THEN 'about ' || source_path || chr(10) || 'Keywords: a, b' || chr(10) || chr(10) || content WHEN 1 THEN 'Keywords: k' || chr(10) || chr(10) || content ELSE content END AS enriched FROM turns",
     "rebuild_document": f"WITH {_TURNS} SELECT source_path, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, content) AS text FROM turns GROUP BY source_path",
-    "sentence_counts": "WITH m AS (SELECT doc_id, regexp_replace(text, '(^|[^0-9])\\.(\\s+)', '\\1.' || chr(1) || '\\2', 'g') AS t FROM documents WHERE NOT contains(text, '(')), n AS (SELECT doc_id, regexp_replace(t, chr(1) || '\\s+([A-Z가-힣])', chr(2) || '\\1', 'g') AS t FROM m) SELECT doc_id, (length(t) - length(replace(t, chr(2), '')) + 1)::INT AS sentences FROM n",
+    # chr(2) stands where a sentence may end; inside parentheses, whose depth never goes below 0, it does not.
+    "sentence_counts": """WITH m AS (SELECT doc_id, regexp_replace(text, '(^|[^0-9])\\.(\\s+)', '\\1.' || chr(1) || '\\2', 'g') AS t FROM documents),
+n AS (SELECT doc_id, regexp_replace(t, chr(1) || '\\s+([A-Z가-힣])', chr(2) || '\\1', 'g') AS t FROM m),
+c AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM n WHERE contains(t, '(')),
+s AS (SELECT doc_id, i, c, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM c),
+d AS (SELECT doc_id, c, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY i)) AS depth FROM s),
+inner_ AS (SELECT doc_id, count(*) AS n FROM d WHERE c = chr(2) AND depth > 0 GROUP BY doc_id)
+SELECT n.doc_id, CASE WHEN coalesce(trim(regexp_replace(t, '\\s', ' ', 'g')), '') = '' THEN 0 ELSE length(t) - length(replace(t, chr(2), '')) + 1 - coalesce(i.n, 0) END::INT AS sentences FROM n LEFT JOIN inner_ i USING (doc_id)""",
     "normalized_vectors": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs((x * 3)::FLOAT)::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: ((x * 3)::FLOAT)::DOUBLE * ((x * 3)::FLOAT)::DOUBLE))), 4) AS l1 FROM embeddings",
     "postings_size": f"WITH {_CORPUS}, g AS (SELECT id, unnest(list_transform(range(1, length(content) - 1), lambda i: substr(lower(content), i, 3))) AS trigram FROM corpus WHERE length(content) >= 3), p AS (SELECT trigram, id, count(*) AS tf FROM g GROUP BY ALL) SELECT trigram, count(*) AS df, sum(tf)::BIGINT AS tf FROM p GROUP BY trigram",
     "folder_classes": "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'Protected' WHEN doc_id % 3 = 0 THEN 'LiveKb' ELSE 'Orphan' END AS kind FROM documents",

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from html.parser import HTMLParser
+from itertools import islice
 from pathlib import Path
 
 import pandas as pd
@@ -13,28 +16,65 @@ from pyspark.sql import functions as F
 
 from ..functions.text import storage_path
 
-Parser = Callable[[bytes], str]
+#: A parser gives a text, or a text and the facts about it that chunks carry as metadata (a transcription's
+#: model and time, say).
+Parser = Callable[[bytes], "str | tuple[str, dict[str, str]]"]
+BREAKS = frozenset("address article aside blockquote br div dd dl dt figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th title tr ul".split())
 
 
 def _plain(raw: bytes) -> str:
     return raw.decode("utf-8-sig", "replace")
 
 
+class _Text(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        if tag in BREAKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style") and self.hidden > 0
+        if tag in BREAKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(re.sub(r"\s+", " ", data))
+
+
+def _html(raw: bytes) -> str:
+    """All text of a page, a line for each block."""
+    reader = _Text()
+    reader.feed(_plain(raw))
+    reader.close()
+    return "\n".join(line for line in (x.strip() for x in "".join(reader.parts).split("\n")) if line)
+
+
 #: Extension -> parser. Richer formats are added here; an extension without a parser is not scanned.
-PARSERS: dict[str, Parser] = {".txt": _plain, ".md": _plain}
+PARSERS: dict[str, Parser] = {".txt": _plain, ".md": _plain, ".html": _html, ".htm": _html}
 
 
 def register(extension: str, parser: Parser) -> None:
     PARSERS[extension.lower()] = parser
 
 
+FILES_AT_ONCE = 20_000  # paths that the driver names to one job
+SCANNED = "source_path string, file string, file_hash string"
+
+
 def scan(spark: SparkSession, roots: list[str], parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """(source_path, file_hash, content) of all supported files below the roots. Paths are relative, with
-    the root's number before them if there are several; roots that are missing or empty are skipped."""
+    """(source_path, file, file_hash) of all supported files below the roots: every byte is read once, for the
+    hash. Paths are relative, with the root's number before them if there are several; roots that are missing
+    or empty are skipped."""
     known = PARSERS if parsers is None else parsers
     pattern = "(?i)(" + "|".join(k.replace(".", r"\.") for k in sorted(known)) + ")$"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    out = spark.createDataFrame([], "source_path string, file_hash string, content binary")
+    out = spark.createDataFrame([], SCANNED)
     for number, root in enumerate(roots):
         where = jvm.org.apache.hadoop.fs.Path(root)
         fs = where.getFileSystem(conf)
@@ -42,29 +82,41 @@ def scan(spark: SparkSession, roots: list[str], parsers: dict[str, Parser] | Non
             continue
         base = fs.makeQualified(where).toUri().getPath().rstrip("/")
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(pattern))
-        plain = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + base.replace("\\", "\\\\") + "/", "")
+        plain = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + re.sub(r"([^\w/])", r"\\\1", base) + "/", "")
         path = storage_path(plain, F.lit(number) if len(roots) > 1 else None)
-        out = out.unionByName(rows.select(path.alias("source_path"), F.sha2("content", 256).alias("file_hash"), "content"))
+        out = out.unionByName(rows.select(path.alias("source_path"), F.col("path").alias("file"), F.sha2("content", 256).alias("file_hash")))
     return out
 
 
+def contents(spark: SparkSession, files: DataFrame) -> Iterator[DataFrame]:
+    """(source_path, file_hash, content) of listed files, some thousands at a time: only these are opened."""
+    rows = files.select("file").toLocalIterator()
+    while names := [(r.file,) for r in islice(rows, FILES_AT_ONCE)]:
+        # names are paths, not patterns; the rows beside them are as many, so they are broadcast
+        read = spark.read.format("binaryFile").option("__globPaths__", "false").load([n for (n,) in names]).select(F.col("path").alias("file"), "content")
+        own = files.join(F.broadcast(spark.createDataFrame(names, "file string")), "file")
+        yield read.join(F.broadcast(own), "file").select("source_path", "file_hash", "content")
+
+
 def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """(source_path, file_hash, text, error): an unknown extension gives an empty text, a parser that fails
-    its message."""
+    """(source_path, file_hash, text, metadata, error): an unknown extension gives an empty text, a parser that
+    fails its message. metadata is JSON of what the parser tells beside the text."""
     known = dict(PARSERS if parsers is None else parsers)
 
-    @F.pandas_udf("struct<text:string,error:string>")
+    @F.pandas_udf("struct<text:string,metadata:string,error:string>")
     def run(path: pd.Series, content: pd.Series) -> pd.DataFrame:
         out = []
         for p, raw in zip(path, content, strict=True):
             parser = known.get(Path(p).suffix.lower())
             try:
-                out.append((parser(bytes(raw)) if parser else "", None))
+                found = parser(bytes(raw)) if parser else ""
+                text, facts = found if isinstance(found, tuple) else (found, {})
+                out.append((text, json.dumps(facts, ensure_ascii=False), None))
             except Exception as e:  # the message is kept with the file
-                out.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["text", "error"])
+                out.append((None, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["text", "metadata", "error"])
 
-    return files.select("source_path", "file_hash", run("source_path", "content").alias("r")).select("source_path", "file_hash", "r.text", "r.error")
+    return files.select("source_path", "file_hash", run("source_path", "content").alias("r")).select("source_path", "file_hash", "r.text", "r.metadata", "r.error")
 
 
 @dataclass
