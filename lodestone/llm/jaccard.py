@@ -33,7 +33,9 @@ from .shingles import node_of, shingle_sets
 NUM, DEN = 4, 5  # the similarity 0.8 as a fraction
 BLOCK_BYTES = 1 << 20
 COUNT_TOKENS = 2 << 20  # tokens counted together before their repeats are sent on
-FREQUENT = 1 << 18  # size of the table of frequent shingles: 2 MB, the same at any corpus size
+#: The table of frequent shingles has one for each SHINGLES_EACH of the corpus, within these bounds: it is sent to
+#: all tasks, 16 bytes a shingle, so 4 MB to 64 MB.
+SHINGLES_EACH, FREQUENT_LEAST, FREQUENT_MOST = 4096, 1 << 18, 1 << 22
 MAX_LIGHT = 16
 SHORT = 16  # lists up to this length lose at once the rows that fit no other of the list
 WORDS = 8  # longs in the parity bitmap that list rows carry
@@ -289,21 +291,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFram
 
 def _spread(lists: DataFrame, roots: DataFrame, holders: DataFrame) -> DataFrame:
     """The rows of lists that hold texts of several components, with their roots, bitmaps and the root that
-    most texts of the list have."""
-    named = lists.select("key", "node", "n", "pos").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    most texts of the list have.
+
+    most is the largest partner that a row's place leaves possible: x and y can link through a list only if
+    neither is larger than the other's most. Of two rows larger than their own most none can be, so such a late
+    row counts only beside an early one that fits it: a passage that many texts share, and that is too short
+    to link any two of them, leaves no rows.
+    """
+    most = F.floor((DEN * F.col("n") - (NUM + DEN) * F.col("pos")) / NUM)
+    named = lists.select("key", "node", "n", "pos").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("most", most)
+    early = F.col("n") <= F.col("most")
+    facts = named.groupBy("key").agg(F.min(F.when(early, F.col("n"))).alias("least"), F.max(F.when(early, F.col("most"))).alias("reach"))
+    fits = early | ((F.col("least") <= F.col("most")) & (F.col("reach") >= F.col("n")))
+    named = materialise(named.join(facts.where("least is not null"), "key").where(fits).drop("least", "reach"), "named")
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     return materialise(named.join(main, "key").join(holders.select("node", *_BITMAP), "node"), "spread")
 
 
 def _left(spread: DataFrame) -> DataFrame:
-    """Pairs (a < b) of one list and two components that sizes, places and bitmaps allow to link."""
-    x, y = spread.where("root <> main").alias("x"), spread.alias("y")
+    """Pairs (a < b) of one list and two components that sizes, places and bitmaps allow to link. Late rows
+    meet early ones only, and all meet those of about their size, by what is joined on."""
+    step = F.lit(float(np.log(1.3)))  # over DEN / NUM, so that rounding puts no pair two bands apart
+    sized = spread.withColumn("early", F.col("n") <= F.col("most")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step))
+    partners = F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    x = sized.where("root <> main").withColumn("wanted", F.explode(partners)).withColumn("beside", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).alias("x")
+    y = sized.alias("y")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    fits = _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    fits = (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
     apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BITMAP), F.lit(0))
     near = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("x.n") + F.col("y.n"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & fits & near)
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.wanted") == F.col("y.early")) & (F.col("x.beside") == F.col("y.band"))
+    met = x.join(y, same & (F.col("x.root") != F.col("y.root")) & once & fits & near)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -313,9 +332,10 @@ def _rooted(docs: DataFrame) -> DataFrame:
     facts = materialise(docs.mapInArrow(_facts, ", ".join(f"{c} long" for c in _FACTS.names[:-1]) + ", wide binary"), "facts")
     rows = facts.where("doc_id is not null or n is not null").select("doc_id", "node", "n")
     counted = facts.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
-    top = counted.orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
-    tokens, seen = np.asarray(top["token"]).view(U64), np.asarray(top["seen"])
     total = rows.agg(F.sum("n")).first()[0] or 0
+    frequent = min(max(total // SHINGLES_EACH, FREQUENT_LEAST), FREQUENT_MOST)
+    top = counted.orderBy(F.desc("seen"), "token").limit(frequent).toArrow()
+    tokens, seen = np.asarray(top["token"]).view(U64), np.asarray(top["seen"])
     light = boundary(1 + float((seen.astype(float) ** 2).sum()) / max(1, total))
 
     listed = docs.select("text").mapInArrow(_postings(tokens, seen, light), _LISTED)
