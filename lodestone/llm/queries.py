@@ -61,7 +61,55 @@ QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_shardi
 _URL_RULES = ", ".join(f"('{r}', '{v}')" for r, v in urls.RULES)
 _WEIGHTS = ", ".join(f"('{s}', {w})" for s, w in mixing.WEIGHTS.items())
 
+_WHITE = r"[\x20\x09-\x0D]"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _lower(t: str) -> str:
+    return f"translate({t}, '{_UPPER}', '{_UPPER.lower()}')"
+
+
+def _words(t: str) -> str:
+    return f"list_filter(string_split_regex({t}, '{_WHITE}+'), lambda x: x <> '')"
+
+
+#: Characters of the first seven classes of rules.py, in order; the eighth is all beyond ASCII.
+_CLASSES = ["a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r"\x22\x27-\x29\x2C-\x2E\x3A\x3B\x3F", r"\x21\x23-\x26\x2A\x2B\x2F\x3C-\x3E\x40\x5B-\x60\x7B-\x7E", r"\x00-\x08\x0E-\x1F\x7F"]
+_COUNTS = ", ".join([*(f"length(regexp_replace(t, '[^{c}]', '', 'g'))" for c in _CLASSES), r"length(regexp_replace(t, '[\x00-\x7F]', '', 'g'))"])
+_SUMS = ", ".join(f"sum(cs[{k}]) AS c{k}" for k in range(1, 9))
+_ALL = " + ".join(f"t.c{k}" for k in range(1, 9))
+_APART = " + ".join(f"CASE WHEN {a} > 0 THEN {a} * log2({a} / ((p + q) / 2)) ELSE 0 END" for a in "pq")
+_FAILED = f"(n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)"
+
 ORACLES = {
+    "op8_quality_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, CASE WHEN text IS NULL THEN NULL ELSE lang END AS lang FROM documents),
+w AS (SELECT *, {_words("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+b AS (SELECT rid, doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{_WHITE}+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, [{_COUNTS}] AS cs FROM w),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+h AS (SELECT rid, unnest([i, i + 1, i + 2]) AS z FROM (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1)),
+rep AS (SELECT rid, count(DISTINCT z) AS n FROM h GROUP BY rid),
+c AS (SELECT rid, lang, {_lower("x")} AS x, count(*) AS n FROM (SELECT rid, lang, unnest(ws) AS x FROM w) GROUP BY ALL),
+total AS (SELECT lang, sum(n_words) AS n, {_SUMS} FROM b WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) > 0),
+top AS (SELECT lang, x, n FROM (SELECT lang, x, sum(n) AS n FROM c WHERE lang IS NOT NULL GROUP BY lang, x) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) <= {rules.COMMON_WORDS}),
+cp AS (SELECT b.rid, t.lang, unnest(list_transform(b.cs, lambda v: v / list_sum(b.cs))) AS p, unnest(list_transform([{_ALL.replace(" + ", ", ")}], lambda v: v::DOUBLE / ({_ALL})::DOUBLE)) AS q FROM b, total t WHERE b.word_chars >= {rules.MIN_CHARS}),
+cd AS (SELECT rid, lang, sqrt(greatest(0, sum({_APART}) / 2)) AS d FROM cp GROUP BY rid, lang),
+wp AS (SELECT b.rid, t.lang, coalesce(c.n, 0)::DOUBLE / b.n_words AS p, top.n::DOUBLE / t.n::DOUBLE AS q FROM b JOIN total t ON b.n_words >= {rules.MIN_WORDS} JOIN top ON top.lang = t.lang LEFT JOIN c ON c.rid = b.rid AND c.x = top.x),
+wr AS (SELECT * FROM wp UNION ALL SELECT rid, lang, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM wp GROUP BY rid, lang),
+wd AS (SELECT rid, lang, sqrt(greatest(0, sum({_APART}) / 2)) AS d FROM wr GROUP BY rid, lang),
+near AS (SELECT b.*, coalesce(rep.n, 0) AS n_repeat_words, round((SELECT min(d) FROM cd WHERE cd.rid = b.rid), {rules.DIGITS}) AS x, round((SELECT min(d) FROM wd WHERE wd.rid = b.rid), {rules.DIGITS}) AS y FROM b LEFT JOIN rep USING (rid))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  {_FAILED} AS base_failed, NOT {_FAILED} AND coalesce(x, 0) <= {rules.MAX_CLASS_DISTANCE} AND coalesce(y, 0) <= {rules.MAX_WORD_DISTANCE} AS kept, x AS class_distance, y AS word_distance FROM near""",
+    "op10_jaccard": f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, {_words(_lower("coalesce(text, '')"))} AS ws FROM documents),
+g AS (SELECT DISTINCT rid, hash(unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(rid, z) AS (SELECT rid, rid FROM w UNION SELECT r.rid, e.y FROM r JOIN e ON e.x = r.z),
+c AS (SELECT r.rid, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid = r.z GROUP BY r.rid)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM w JOIN c USING (rid) LEFT JOIN n USING (rid)""",
     "op2_url_filter": f"""
 WITH rules(rule, verdict) AS (VALUES {_URL_RULES}),
 r AS (SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(rule, '/', 1)) + 1) AS p FROM rules),
