@@ -253,6 +253,40 @@ g AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank + 1)) AS score, min((l, rank
 fused AS (SELECT chunk_id, score, (row_number() OVER (ORDER BY round(score, 12) DESC, seen, chunk_id) - 1)::INT AS rank FROM g QUALIFY rank < {k})"""
 
 
+# Sentences with their offsets, packed by one recursion over sentences, and by a second one for chunks over the
+# hard limit. chr(2) and chr(3) stand around the white space between sentences.
+_CHUNKED = r"""WITH RECURSIVE m AS (SELECT doc_id, regexp_replace(text, '(^|[^0-9])\.(\s+)', '\1.' || chr(1) || '\2', 'g') AS t FROM documents),
+n AS (SELECT doc_id, replace(regexp_replace(t, chr(1) || '(\s+)([A-Z가-힣])', chr(2) || '\1' || chr(3) || '\2', 'g'), chr(1), '') AS t FROM m),
+c AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM n WHERE contains(t, '(')),
+a AS (SELECT doc_id, i, c, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM c),
+d AS (SELECT doc_id, i, c, a - least(0, min(a) OVER (PARTITION BY doc_id ORDER BY i)) AS depth FROM a),
+deep AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) + 1 AS k, depth FROM d WHERE c = chr(2)),
+p AS (SELECT doc_id, unnest(string_split(t, chr(2))) AS p, generate_subscripts(string_split(t, chr(2)), 1) AS k FROM n),
+q AS (SELECT p.doc_id, p.k, coalesce(deep.depth, 0) = 0 AS first_, strpos(p, chr(3)) AS lead_, replace(p, chr(3), '') AS p, coalesce(sum(length(replace(p, chr(3), ''))) OVER (PARTITION BY p.doc_id ORDER BY p.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + greatest(0, strpos(p, chr(3)) - 1) AS begin_ FROM p LEFT JOIN deep ON deep.doc_id = p.doc_id AND deep.k = p.k),
+g AS (SELECT *, sum(first_::INT) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM q),
+s AS (SELECT doc_id, g AS i, trim(regexp_replace(string_agg(p, '' ORDER BY k), '^\s+|\s+$', '', 'g')) AS body, min(begin_) AS begin_ FROM g GROUP BY doc_id, g),
+r(doc_id, i, cur, begin_, done, done_begin) AS (
+  SELECT doc_id, i, body, begin_, NULL::VARCHAR, NULL::BIGINT FROM s WHERE i = 1 AND body <> ''
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN fits THEN cur || ' ' || body WHEN length(cur) > 150 THEN kept || ' ' || body ELSE body END, CASE WHEN fits THEN begin_ WHEN length(cur) > 150 THEN next_ - length(kept) ELSE next_ END, CASE WHEN NOT fits THEN cur END, CASE WHEN NOT fits THEN begin_ END
+  FROM (SELECT r.doc_id, s.i, r.cur, r.begin_, s.body, s.begin_ AS next_, length(r.cur) + length(s.body) + 1 <= 1000 AS fits, substr(right(r.cur, 150), strpos(right(r.cur, 150), ' ') + 1) AS kept FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)
+),
+out_ AS (SELECT doc_id, i, trim(done) AS content, done_begin AS b, false AS tail FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, trim(cur), begin_, length(trim(cur)) < 300 FROM r QUALIFY i = max(i) OVER (PARTITION BY doc_id)),
+f AS (SELECT *, lead(tail) OVER w AS next_tail, lead(content) OVER w AS next_content, row_number() OVER w - 1 AS k FROM out_ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+z AS (SELECT doc_id, k, CASE WHEN next_tail THEN content || ' ' || next_content ELSE content END AS content, b FROM f WHERE NOT tail OR k = 0),
+om AS (SELECT doc_id, k, b, replace(regexp_replace(regexp_replace(content, '(^|[^0-9])\.(\s+)', '\1.' || chr(1) || '\2', 'g'), chr(1) || '(\s+)([A-Z가-힣])', chr(2) || '\1' || chr(3) || '\2', 'g'), chr(1), '') AS t FROM z WHERE length(content) > 4000),
+op AS (SELECT doc_id, k, b, unnest(string_split(t, chr(2))) AS p, generate_subscripts(string_split(t, chr(2)), 1) AS j FROM om),
+os AS (SELECT doc_id, k, j, trim(replace(p, chr(3), '')) AS body, b + coalesce(sum(length(replace(p, chr(3), ''))) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + greatest(0, strpos(p, chr(3)) - 1) AS begin_ FROM op),
+o(doc_id, k, j, cur, begin_, done, done_begin) AS (
+  SELECT doc_id, k, j, body, begin_, NULL::VARCHAR, NULL::BIGINT FROM os WHERE j = 1
+  UNION ALL
+  SELECT o.doc_id, o.k, os.j, CASE WHEN length(o.cur) + length(os.body) + 1 <= 4000 THEN o.cur || ' ' || os.body ELSE os.body END, CASE WHEN length(o.cur) + length(os.body) + 1 <= 4000 THEN o.begin_ ELSE os.begin_ END, CASE WHEN length(o.cur) + length(os.body) + 1 > 4000 THEN o.cur END, CASE WHEN length(o.cur) + length(os.body) + 1 > 4000 THEN o.begin_ END
+  FROM o JOIN os ON os.doc_id = o.doc_id AND os.k = o.k AND os.j = o.j + 1
+),
+x AS (SELECT doc_id, k, j, done AS content, done_begin AS b FROM o WHERE done IS NOT NULL UNION ALL (SELECT doc_id, k, j + 1, cur, begin_ FROM o QUALIFY j = max(j) OVER (PARTITION BY doc_id, k)) UNION ALL SELECT doc_id, k, 0, content, b FROM z WHERE length(content) <= 4000),
+y AS (SELECT doc_id, k, j, unnest(list_transform(range(0, length(content), 4000), lambda v: {'c': trim(substr(content, v + 1, 4000)), 'b': (b + v)::BIGINT})) AS y FROM x)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, j, y.b) - 1)::INT AS chunk_index, y.c AS content, y.b::INT AS char_offset FROM y WHERE y.c <> ''"""
+
 _ROUND = "SELECT chunk_id, round(score, 6) AS score, rank FROM"
 ORACLES = {
     "bm25_topk": f"WITH {_CORPUS}, {_bm25(WORDS)} {_ROUND} ({_top('words', K)})",
@@ -282,6 +316,7 @@ ORACLES = {
     "prompts": f"WITH {_TURNS}, n AS (SELECT *, count(*) OVER (PARTITION BY source_path) AS total, CASE WHEN length(content) <= 4000 THEN content WHEN length(content) <= 20000 THEN left(content, 2000) || chr(10) || '...' || chr(10) || right(content, 2000) ELSE left(content, 2000) || chr(10) || '...(truncated)' END AS ctx FROM turns) SELECT id, substr(sha256('Source: ' || source_path || ' (chunk ' || (chunk_index + 1) || ' of ' || total || ')' || chr(10) || CASE WHEN length(content) > 0 THEN chr(10) || '<document_summary>' || chr(10) || ctx || chr(10) || '</document_summary>' || chr(10) ELSE '' END || chr(10) || '<chunk>' || chr(10) || content || chr(10) || '</chunk>' || chr(10)), 1, 16) AS prompt_hash FROM n",
     "enriched": f"WITH {_TURNS} SELECT id, CASE chunk_index % 3 WHEN 0 THEN 'about ' || source_path || chr(10) || 'Keywords: a, b' || chr(10) || chr(10) || content WHEN 1 THEN 'Keywords: k' || chr(10) || chr(10) || content ELSE content END AS enriched FROM turns",
     "rebuild_document": f"WITH {_TURNS} SELECT source_path, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, content) AS text FROM turns GROUP BY source_path",
+    "chunk_documents": _CHUNKED,
     # chr(2) stands where a sentence may end; inside parentheses, whose depth never goes below 0, it does not.
     "sentence_counts": """WITH m AS (SELECT doc_id, regexp_replace(text, '(^|[^0-9])\\.(\\s+)', '\\1.' || chr(1) || '\\2', 'g') AS t FROM documents),
 n AS (SELECT doc_id, regexp_replace(t, chr(1) || '\\s+([A-Z가-힣])', chr(2) || '\\1', 'g') AS t FROM m),
