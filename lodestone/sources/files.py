@@ -93,7 +93,7 @@ def contents(spark: SparkSession, files: DataFrame) -> Iterator[DataFrame]:
     rows = files.select("file").toLocalIterator()
     while names := [(r.file,) for r in islice(rows, FILES_AT_ONCE)]:
         # names are paths, not patterns; the rows beside them are as many, so they are broadcast
-        read = spark.read.format("binaryFile").option("__globPaths__", "false").load([n for (n,) in names]).select(F.col("path").alias("file"), "content")
+        read = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for (n,) in names]).select(F.col("path").alias("file"), "content")
         own = files.join(F.broadcast(spark.createDataFrame(names, "file string")), "file")
         yield read.join(F.broadcast(own), "file").select("source_path", "file_hash", "content")
 
