@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.chunker import chunked, sentence_count
 from .operators import changes, search, stats, textindex
+from .sources.tables import read, spread
 
 WORDS, OTHER_WORDS = "Thanedble nten queelle", "the ab einkeitü"
 K, THRESHOLD = 15, 0.2
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read(spark, f"{d}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """documents as files of one chunk each."""
-    docs = _t(spark, d, "documents").withColumn("source_path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+def corpus(spark: SparkSession, d: str, heavy: bool = False) -> DataFrame:
+    """documents as files of one chunk each; spread if there is heavy work on each text."""
+    docs = _t(spark, d, "documents").select("doc_id", "text", "source")
+    docs = (spread(docs) if heavy else docs).withColumn("source_path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
     return docs.select("doc_id", "source_path", T.chunk_id(F.col("source_path"), F.lit(0)).alias("id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.lit(None).cast("string").alias("enriched"))
 
 
@@ -70,20 +72,20 @@ def _searched(c: DataFrame) -> DataFrame:
 
 
 def bm25_topk(s, d):
-    return _rounded(search.bm25_topk(_searched(corpus(s, d)), WORDS, K))
+    return _rounded(search.bm25_topk(_searched(corpus(s, d, True)), WORDS, K))
 
 
 def bm25_multi_token(s, d):
-    return _rounded(search.bm25_topk(_searched(corpus(s, d)), "nten nten thanedble", K))
+    return _rounded(search.bm25_topk(_searched(corpus(s, d, True)), "nten nten thanedble", K))
 
 
 def bm25_short_tokens_dropped(s, d):
-    return _rounded(search.bm25_topk(_searched(corpus(s, d)), OTHER_WORDS, K))
+    return _rounded(search.bm25_topk(_searched(corpus(s, d, True)), OTHER_WORDS, K))
 
 
 def bm25_from_index(s, d):
     """The same search over an index with positions, without a look at the texts."""
-    rows = textindex.indexed_rows(_searched(corpus(s, d)))
+    rows = textindex.indexed_rows(_searched(corpus(s, d, True)))
     return _rounded(search.top(textindex.bm25_indexed(textindex.positions(rows), rows, WORDS), K))
 
 
@@ -96,14 +98,15 @@ def knn_threshold(s, d):
 
 
 def rrf_fusion(s, d):
-    words = search.bm25_topk(_searched(corpus(s, d)), WORDS, 60)
+    words = search.bm25_topk(_searched(corpus(s, d, True)), WORDS, 60)
     near = search.knn_topk(vectors(s, d), query_vector(s, d), 60, -1.0)
     return _rounded(search.rrf([words, near], 40), 9)
 
 
 def hybrid_search(s, d):
     c = corpus(s, d)
-    return search.hydrate(search.hybrid(c, vectors(s, d), WORDS, query_vector(s, d), K, THRESHOLD), c).withColumn("score", F.round(F.col("score").cast("double"), 5))
+    words = search.bm25_scores(_searched(corpus(s, d, True)), WORDS)
+    return search.hydrate(search.hybrid(c, vectors(s, d), WORDS, query_vector(s, d), K, THRESHOLD, words=words), c).withColumn("score", F.round(F.col("score").cast("double"), 5))
 
 
 def hydrate_siblings(s, d):
@@ -192,11 +195,11 @@ def rebuild_document(s, d):
 
 
 def sentence_counts(s, d):
-    return corpus(s, d).select("doc_id", sentence_count(F.col("content")).alias("sentences"))
+    return corpus(s, d, True).select("doc_id", sentence_count(F.col("content")).alias("sentences"))
 
 
 def chunk_documents(s, d):
-    return chunked(corpus(s, d).select("doc_id", F.col("content").alias("text")))
+    return chunked(corpus(s, d, True).select("doc_id", F.col("content").alias("text")))
 
 
 def normalized_vectors(s, d):
@@ -205,7 +208,7 @@ def normalized_vectors(s, d):
 
 
 def postings_size(s, d):
-    p = search.postings(_searched(corpus(s, d)))
+    p = search.postings(_searched(corpus(s, d, True)))
     return p.groupBy("trigram").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
