@@ -281,10 +281,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFram
     """Those of the candidate pairs that link: bitmaps first, then exact intersection of the whole sets."""
     known = materialise(holders.join(small(_nodes(pairs)), "node", "left_semi").select("node", "doc_id", "n", "wide"), "known")
     near = materialise(_beside(pairs, known, {"n": ("n", "m"), "wide": ("left", "right")}).mapInArrow(_near, "a long, b long"), "near")
-    wanted = materialise(known.select("node", "doc_id").join(small(_nodes(near)), "node", "left_semi").select("doc_id"), "wanted")
-    texts = docs.join(small(wanted), "doc_id", "left_semi")
+    wanted = materialise(known.select("node", "doc_id").join(small(_nodes(near)), "node", "left_semi"), "wanted")
+    texts = docs.join(small(wanted.where("doc_id is not null").select("doc_id")), "doc_id", "left_semi").select("text")
+    unnamed = wanted.where("doc_id is null").select("node")
+    if not unnamed.isEmpty():
+        # Sets that occur without an id only are found again by their names, among the rows without one.
+        named = docs.where("doc_id is null").select("text", _node_column(F.col("text")).alias("node"))
+        texts = texts.unionByName(named.join(small(unnamed), "node", "left_semi").select("text"))
     sets = materialise(texts.select("text").mapInArrow(_sets, "node long, tokens binary"), "sets")
-    # A doc_id that several rows have brings rows beyond those wanted; any one row of a node will do.
+    # An id or a set that several rows have brings rows beyond those wanted; any one row of a node will do.
     one = sets.dropDuplicates(["node"]) if sets.count() > wanted.count() else sets
     return _beside(near, one, {"tokens": ("left", "right")}).mapInArrow(_linked, "a long, b long")
 
@@ -364,8 +369,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     component_id is the least doc_id reachable over links, the document's own included. Null, empty and
     blank texts have no shingles and link with nothing; exact copies link with each other; texts under
-    five words are one shingle. Repeated rows give repeated results; further columns are ignored; an empty
-    table gives an empty result. Names of sets and shingles are 64-bit hashes (chance of any false merge
+    five words are one shingle; a very long text is one set, held whole by one task. Repeated rows give repeated
+    results; further columns, whatever their names, are ignored; an empty table gives an empty result. Rows
+    without a doc_id link like others and bear the least id of their component, null if it has none. Names of sets and shingles are 64-bit hashes (chance of any false merge
     among 10^9 different texts: about 3 in 100).
     """
     rows = _rooted(docs)

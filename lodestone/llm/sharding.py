@@ -54,8 +54,10 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def assign(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None, size: int = TABLE_SIZE, weights: dict[str, int] | None = None) -> DataFrame:
-    """All columns and rows of docs, with slot (int) and shard (string). A null key has the slot of an
-    empty hash, so it is placed as well; equal keys go to one shard, so a key should be as fine as rows."""
+    """All columns and rows of docs, with slot (int) and shard (string); columns of these names are replaced. A
+    null key has the slot of an empty hash, so it is placed as well; equal keys and repeated rows go to one
+    shard, so a key should be as fine as rows. Texts are not looked at, however long; an empty table gives an
+    empty result. Ties cannot arise: every slot has one shard."""
     shards = SHARDS if shards is None else shards
     table = lookup_table(shards, size, weights)
     lookup = docs.sparkSession.createDataFrame([(k, shards[i]) for k, i in enumerate(table.tolist())], "slot int, shard string")

@@ -495,6 +495,10 @@ def test_jaccard_late_rows_and_null_ids(spark):
                 root[max(a, b)] = min(a, b)
     got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {i: find(i) for i in range(len(rows))}
+    near = " ".join(f"n{k}" for k in range(80))
+    bridge = [(None, near + " x"), (9, near), (None, near + " x"), (8, near + " x y z"), (None, "alone " + passage), (None, "b " + near + " q"), (None, None)]
+    got = Counter(map(tuple, jaccard.jaccard_classes(spark.createDataFrame(bridge, "doc_id long, text string")).select("doc_id", "component_id").collect()))
+    assert got == Counter([(None, 8), (9, 8), (None, 8), (8, 8), (None, None), (None, 8), (None, None)])
     nulls = spark.createDataFrame([(None, "a text without an id of its own here"), (None, "a text without an id of its own here"), (4, "a text without an id of its own here"), (None, None)], "doc_id long, text string")
     assert Counter(map(tuple, jaccard.jaccard_classes(nulls).collect())) == Counter([(None, 5, 4), (None, 5, 4), (4, 5, 4), (None, 0, None)])
 
@@ -562,3 +566,28 @@ def test_clusters_need_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Away())
+
+
+def test_urls_edges(spark):
+    from lodestone.llm import urls
+
+    long = "http://" + ".".join(["a"] * 4000) + ".example.com/en/" + "d/" * 20_000 + "?q#f"
+    rows = [(1, long, "h", "v"), (2, None, "h", "v"), (2, None, "h", "v"), (3, "http://example.com/en/7/" + "x" * 50_000, "h", "v")]
+    df = spark.createDataFrame(rows, "page_id long, url string, Host string, verdict string")
+    got = urls.judge(df, urls.rules_frame(spark, urls.RULES), ["page_id", "Host", "verdict"]).collect()
+    assert got[0].__fields__ == ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted((r.page_id, r.rule, r.verdict) for r in got if r.rule) == [(1, "com/en/", "block"), (3, "example.com/en/7", "allow")]
+    assert [(r.host, r.path, r.verdict) for r in got if r.page_id == 2] == [("", "", "allow")] * 2
+    # equally long rules: allow stands before block, then the first by name
+    tied = urls.rules_frame(spark, [("com/a", "block"), ("com/a", "allow"), (None, "block")])
+    assert urls.judge(df.where("page_id = 3").withColumn("url", F.lit("http://com/a")), tied, ["page_id"]).first().verdict == "allow"
+    assert urls.judge(df, tied.limit(0), ["page_id"]).where("verdict <> 'allow'").count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    from lodestone.llm.components import components
+
+    edges = spark.range(600).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(900, 950), (950, 900), (7, 7)], "a long, b long"))
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {**{k: 0 for k in range(601)}, 900: 900, 950: 900}
+    assert components(edges.limit(0)).count() == 0
