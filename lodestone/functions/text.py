@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,10 +66,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 for vectors of different length, empty ones and those of norm 0; sums are in double."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0), F.lit(0.0)).when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+def cosine_with(v: Column, query: list[float]) -> Column:
+    """Cosine of a column and one vector, whose length is taken beforehand; sums are in double. 0 for vectors of
+    different length, empty ones and those of norm 0."""
+    norm = math.sqrt(math.fsum(x * x for x in query))
+    if not norm:
+        return F.lit(0.0)
+    q = F.array(*[F.lit(float(x)) for x in query])
+    own = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    along = F.aggregate(F.zip_with(v, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.when((F.size(v) == len(query)) & (own > 0), along / (own * norm)).otherwise(F.lit(0.0))
 
 
 def normalized(v: Column, full: int = FULL_DIMENSION) -> Column:
@@ -76,10 +84,6 @@ def normalized(v: Column, full: int = FULL_DIMENSION) -> Column:
     return F.when((F.size(v) < full) & (norm >= 1e-12), F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))).otherwise(v)
 
 
-def embedding_input(text: Column) -> Column:
-    return F.substring(text, 1, EMBEDDING_INPUT)
-
-
 def batch_size(provider: str, model: str) -> int:
     return BATCH_SIZES.get(f"{provider}:{model}".lower(), DEFAULT_BATCH)
 

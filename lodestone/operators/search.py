@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, query_tokens
+from ..functions.text import cosine_with, query_tokens
 
 K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -36,7 +36,9 @@ def bm25_scores(chunks: DataFrame, query: str, id: str = "chunk_id", text: str =
     distinct = list(dict.fromkeys(t.lower() for t in tokens))
     repeats = [sum(t.lower() == d for t in tokens) for d in distinct]
     counts = [occurrences(F.col("_t"), t) + (occurrences(F.col("_i"), t) if index_ids else 0) for t in distinct]
-    rows = chunks.select(id, folded.alias("_t"), name.alias("_i"), trigrams.alias("dl")).select(id, "dl", *[c.alias(f"tf{k}") for k, c in enumerate(counts)])
+    # Behind a generator each text is counted once; else the filter and every use of a count would count again.
+    counted = F.inline(F.array(F.struct("dl", *[c.alias(f"tf{k}") for k, c in enumerate(counts)])))
+    rows = chunks.select(id, folded.alias("_t"), name.alias("_i"), trigrams.alias("dl")).select(id, counted)
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))])
     hit = F.greatest(*[F.col(f"tf{k}") for k in range(len(distinct))], F.lit(0)) > 0
     return scored_by_bm25(rows.where(hit), stats, repeats, id)
@@ -71,8 +73,7 @@ def knn_scores(vectors: DataFrame, query: list[float], threshold: float = THRESH
     """(id, score) with score >= threshold; only vectors of the model, if one is named."""
     if model is not None:
         vectors = vectors.where(F.col("model") == model)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(id, cosine(F.col(vector), q).alias("score")).where(F.col("score") >= threshold)
+    return vectors.select(id, cosine_with(F.col(vector), query).alias("score")).where(F.col("score") >= threshold)
 
 
 def knn_topk(vectors: DataFrame, query: list[float], k: int = TOP_K, threshold: float = THRESHOLD, **options) -> DataFrame:
