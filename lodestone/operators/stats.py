@@ -10,6 +10,15 @@ def chunk_count(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("total_chunks"))
 
 
+def chunk_by_id(chunks: DataFrame, id: str) -> DataFrame:
+    """The chunk of that id, or no row; the filter reaches the scan."""
+    return chunks.where(F.col("id") == id)
+
+
+def indexed_paths(files: DataFrame) -> DataFrame:
+    return files.select("source_path")
+
+
 def file_counters(files: DataFrame) -> DataFrame:
     names = {"ready": 0, "degraded": 1, "partially_deferred": 2, "needs_action": 3, "failed": 4}
     return files.agg(*[F.count_if(F.col("status") == v).alias(k) for k, v in names.items()])

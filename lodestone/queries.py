@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import transitions
 from .functions import text as T
 from .functions.chunker import chunked, sentence_count
 from .operators import changes, search, stats, textindex
@@ -12,6 +15,7 @@ from .sources.tables import read, spread
 
 WORDS, OTHER_WORDS = "Thanedble nten queelle", "the ab einkeitü"
 K, THRESHOLD = 15, 0.2
+T_ID = hashlib.sha256(b"conv/0").hexdigest()[:16] + "_1"
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -136,6 +140,35 @@ def file_status_counters(s, d):
     return stats.file_counters(index_state(s, d))
 
 
+def point_lookup(s, d):
+    own = turns(s, d)
+    return stats.chunk_by_id(own, T_ID).select("id", "source_path", "chunk_index", "content")
+
+
+def indexed_paths(s, d):
+    return stats.indexed_paths(index_state(s, d))
+
+
+def total_chunks(s, d):
+    return stats.chunk_count(turns(s, d))
+
+
+def failed_chunks(s, d):
+    return stats.status_count(chunk_state(s, d), 4)
+
+
+def last_indexed(s, d):
+    at = F.timestamp_seconds(F.col("status") * 86_400 + F.col("chunks_raw"))
+    return stats.last_indexed(index_state(s, d).withColumn("indexed_at", at)).select(F.date_format("last_indexed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("last_indexed_at"))
+
+
+def storage_paths(s, d):
+    """Paths below one of several roots."""
+    raw = F.concat("source", F.lit("\\sub\\"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    docs = _t(s, d, "documents")
+    return docs.select("doc_id", T.storage_path(raw).alias("alone"), T.storage_path(raw, F.col("doc_id") % 3).alias("beside_others"))
+
+
 def pending_counts(s, d):
     return stats.pending_counts(chunk_state(s, d))
 
@@ -222,7 +255,7 @@ def scope_ranks(s, d):
     return corpus(s, d).select("doc_id", T.scope_rank(mode).alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_token, bm25_short_tokens_dropped, bm25_from_index, knn_cosine_topk, knn_threshold, rrf_fusion, hybrid_search, hydrate_siblings, multi_get, check_changes, orphans, work_set, file_status_counters, pending_counts, context_stats, context_by_file, pending_by_file, pending_queue, pending_contexts, kb_summary, chunk_ids, content_hashes, doc_context, prompts, enriched, rebuild_document, sentence_counts, chunk_documents, normalized_vectors, postings_size, folder_classes, scope_ranks)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_token, bm25_short_tokens_dropped, bm25_from_index, knn_cosine_topk, knn_threshold, rrf_fusion, hybrid_search, hydrate_siblings, multi_get, check_changes, orphans, work_set, file_status_counters, point_lookup, indexed_paths, total_chunks, failed_chunks, last_indexed, storage_paths, pending_counts, context_stats, context_by_file, pending_by_file, pending_queue, pending_contexts, kb_summary, chunk_ids, content_hashes, doc_context, prompts, enriched, rebuild_document, sentence_counts, chunk_documents, normalized_vectors, postings_size, folder_classes, scope_ranks)}
 
 _CORPUS = "corpus AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS source_path, substr(sha256(source || '/' || doc_id || '.txt'), 1, 16) || '_0' AS id, text AS content, source FROM documents)"
 _TURNS = "turns AS (SELECT 'conv/' || conv_id AS source_path, turn::INT AS chunk_index, substr(sha256('conv/' || conv_id), 1, 16) || '_' || turn AS id, text AS content FROM conversations)"
@@ -306,6 +339,12 @@ ORACLES = {
     "orphans": f"WITH {_CORPUS}, {_SCAN}, {_STATE} SELECT source_path FROM state WHERE source_path NOT IN (SELECT source_path FROM scan)",
     "work_set": f"WITH {_CORPUS}, {_SCAN}, {_STATE} SELECT * FROM scan s WHERE NOT EXISTS (SELECT 1 FROM state f WHERE f.source_path = s.source_path AND f.file_hash = s.file_hash)",
     "file_status_counters": f"WITH {_CORPUS}, {_STATE} SELECT {', '.join(f'count(*) FILTER (WHERE status = {k}) AS {n}' for k, n in enumerate(('ready', 'degraded', 'partially_deferred', 'needs_action', 'failed')))} FROM state",
+    "point_lookup": f"WITH {_TURNS} SELECT id, source_path, chunk_index, content FROM turns WHERE id = '{T_ID}'",
+    "indexed_paths": f"WITH {_CORPUS}, {_STATE} SELECT source_path FROM state",
+    "total_chunks": "SELECT count(*) AS total_chunks FROM conversations",
+    "failed_chunks": f"WITH {_CHUNKS} SELECT count(*) AS n FROM chunks WHERE status = 4",
+    "last_indexed": f"WITH {_CORPUS}, {_STATE} SELECT strftime(max(make_timestamp((status * 86400 + chunks_raw)::BIGINT * 1000000)), '%Y-%m-%dT%H:%M:%S') AS last_indexed_at FROM state",
+    "storage_paths": "SELECT doc_id, source || '/sub/' || doc_id || '.txt' AS alone, (doc_id % 3) || '/' || source || '/sub/' || doc_id || '.txt' AS beside_others FROM documents",
     "pending_counts": f"WITH {_CHUNKS} SELECT count(*) FILTER (WHERE status = 2) AS pending_embedding, count(*) FILTER (WHERE status = 5) AS pending_contextualization FROM chunks",
     "context_stats": f"WITH {_CORPUS}, {_STATE} SELECT sum(chunks_raw)::BIGINT AS chunks_raw, sum(chunks_contextualized)::BIGINT AS chunks_contextualized, count(*) FILTER (WHERE chunks_raw > 0) AS degraded_files FROM state",
     "context_by_file": f"WITH {_CHUNKS} SELECT source_path, count(*) FILTER (WHERE NOT is_contextualized) AS chunks_raw, count(*) FILTER (WHERE is_contextualized) AS chunks_contextualized FROM chunks GROUP BY source_path",
@@ -333,3 +372,6 @@ SELECT n.doc_id, CASE WHEN coalesce(trim(regexp_replace(t, '\\s', ' ', 'g')), ''
     "folder_classes": "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'Protected' WHEN doc_id % 3 = 0 THEN 'LiveKb' ELSE 'Orphan' END AS kind FROM documents",
     "scope_ranks": "SELECT doc_id, (doc_id % 3 + 1)::INT AS rank FROM documents",
 }
+
+QUERIES |= transitions.QUERIES
+ORACLES |= transitions.ORACLES
