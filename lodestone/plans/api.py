@@ -150,8 +150,7 @@ class KnowledgeBases:
         if folder is None:
             return {"error": f"Knowledge base '{kb_id}' not found."}
         chunks = self._store(folder).table("chunks")
-        own = chunks.where(F.col("id") == chunk_id)
-        found = own.first()
+        found = stats.chunk_by_id(chunks, chunk_id).first()
         if found is None:
             return {"error": f"Chunk '{chunk_id}' not found."}
         row = with_siblings(chunks.where(F.col("source_path") == found.source_path)).where(F.col("id") == chunk_id).first()
@@ -161,8 +160,7 @@ class KnowledgeBases:
         """(source_path, change) of every file that changed."""
         folder = self.base / kb_id
         store, config = self._store(folder), read_config(folder / "config.json")
-        failed = self.spark.createDataFrame([(p,) for p in json.loads(metadata(store).get("last_failed_files", "[]"))], "source_path string")
-        return J.changes(scan(self.spark, config.sourcePaths).select("source_path", "file_hash"), store.table("file_index"), failed).where("change <> 'unchanged'")
+        return J.changes(scan(self.spark, config.sourcePaths).select("source_path", "file_hash"), store.table("file_index"), store.table("failures")).where("change <> 'unchanged'")
 
     def check_changes(self, kb_id: str, limit: int = PATHS_TOLD) -> dict:
         """Counts of all changes, up to `limit` paths of each kind, and whether the index is stale."""

@@ -8,6 +8,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 from hashlib import sha256
 from pathlib import Path
 
@@ -25,7 +26,7 @@ from .providers import Contextualizer, Embedder, NullContextualizer, NullEmbedde
 from .store import Store, contextualized, delete_paths, index_is_current, mark_files_failed, persist_pending, prepare_partial, promote, refresh_index, set_metadata, settle, update_chunks
 
 RETRIES = 3
-FAILURES_TOLD = 1000  # of a run, in its result and metadata; the counters hold all
+FAILURES_TOLD = 1000  # of a run, in its result and metadata; the store's table of failures has all
 LOG = logging.getLogger("lodestone")
 
 
@@ -57,6 +58,7 @@ class _Run:
         self.lock = IndexLock(Path(root).parent)
         self.scratch = f"{root}/scratch/{uuid.uuid4().hex}"
         self.log = Path(root).parent / "timing.log"
+        self.failures: list[DataFrame] = []  # of each part, in the scratch folder
 
     def held(self) -> bool:
         if not self.lock.acquire():
@@ -192,6 +194,9 @@ def index(spark: SparkSession, root: str, config: Config, embedder: Embedder | N
             _index_part(run, result, parse(part), config, contextualizer or NullContextualizer(), f"part{done}")
             run.told("chunked", current=result.indexed + result.failed_files, total=total, failed=result.failed_files)
         result.deferred, result.health = _retry(run, embedder or NullEmbedder(), _batch(config, batch))
+        if not result.cancelled and (run.failures or "failures" in store.places):
+            none = spark.createDataFrame([], "source_path string, error string")
+            store.commit(failures=reduce(DataFrame.unionByName, run.failures, none))
         _finished(run, result, config)
         return result
     finally:
@@ -225,6 +230,7 @@ def _index_part(run: _Run, result: RunResult, parsed: DataFrame, config: Config,
     if counts.bad:
         result.failed |= {r.source_path: r.error for r in bad.orderBy("source_path").limit(max(0, FAILURES_TOLD - len(result.failed))).collect()}
         mark_files_failed(run.store, bad, "extract")
+        run.failures.append(bad)
     result.failed_files += counts.bad
     result.indexed += counts.good
     if counts.good:

@@ -48,7 +48,8 @@ METADATA = "key string, value string"
 SCAN = "source_path string, file_hash string"
 POSTINGS = "trigram string, chunk_id string, field int, positions array<int>, dl int"
 INDEXED = "chunk_id string, dl int, h bigint"
-TABLES = {"postings": POSTINGS, "indexed": INDEXED, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "file_index": FILES, "index_metadata": METADATA}
+FAILURES = "source_path string, error string"
+TABLES = {"failures": FAILURES, "postings": POSTINGS, "indexed": INDEXED, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "file_index": FILES, "index_metadata": METADATA}
 
 #: What a column that an older table lacks is filled with, as SQL over the older table.
 _DEFAULTS = {"enriched": "content", "metadata": "'{}'", "status": "0", "is_contextualized": "true", "retry_count": "0", "char_offset": "0", "chunks_raw": "0", "chunks_contextualized": "0", "chunks_pending": "0"}
