@@ -81,7 +81,14 @@ _ALL = " + ".join(f"t.c{k}" for k in range(1, 9))
 _APART = " + ".join(f"CASE WHEN {a} > 0 THEN {a} * log2({a} / ((p + q) / 2)) ELSE 0 END" for a in "pq")
 _FAILED = f"(n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)"
 
+#: The table of slots is made here from the shards' names, by the rule that the operator follows; tests hold it
+#: against a plain version.
+_OWNERS = ", ".join(map(str, sharding.lookup_table(sharding.SHARDS).tolist()))
+
 ORACLES = {
+    "op3_sharding": f"""
+WITH owner AS (SELECT [{_OWNERS}] AS o), d AS (SELECT doc_id, source, n_chars, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.TABLE_SIZE})::INT AS slot FROM documents)
+SELECT doc_id, source, n_chars, slot, printf('shard-%03d', o[slot + 1]) AS shard FROM d, owner""",
     "op8_quality_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, CASE WHEN text IS NULL THEN NULL ELSE lang END AS lang FROM documents),
 w AS (SELECT *, {_words("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),

@@ -50,12 +50,14 @@ def lookup_table(shards: list[str], size: int = TABLE_SIZE, weights: dict[str, i
 
 
 def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
-    return F.pmod(F.xxhash64(key.cast("string")), F.lit(size)).cast("int")
+    """The first 60 bits of md5 over the key as text, modulo the table's size; a null key is like an empty one."""
+    h = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return (F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % size).cast("int")
 
 
 def assign(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None, size: int = TABLE_SIZE, weights: dict[str, int] | None = None) -> DataFrame:
     """All columns and rows of docs, with slot (int) and shard (string); columns of these names are replaced. A
-    null key has the slot of an empty hash, so it is placed as well; equal keys and repeated rows go to one
+    null key is placed like an empty one; equal keys and repeated rows go to one
     shard, so a key should be as fine as rows. Texts are not looked at, however long; an empty table gives an
     empty result. Ties cannot arise: every slot has one shard."""
     shards = SHARDS if shards is None else shards
