@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of whole texts are large, so what readers, writers and Arrow hold at once is counted in fewer of them.
 #: With Spark's own settings an executor's heap fills up with such buffers, whatever its size.
-LEAN = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "parquet.block.size": 16 << 20}
+LEAN = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "parquet.block.size": 16 << 20}
 
 
 def lean(spark: SparkSession) -> SparkSession:
@@ -57,6 +57,14 @@ def lean(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def rested(spark: SparkSession) -> SparkSession:
+    """Have every executor collect its garbage now, so that the heap of a finished step goes back to the system
+    before the next step's Python workers need memory beside it. One short task for each core."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+    return spark
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, and what was
     written survives the loss of any executor. The files go when the session's file system closes."""
@@ -131,6 +139,18 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int)
             yield batch.slice(start, stop - start), data, offsets
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of narrow rows, put together to so many rows or a few more; the last has what is left."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: From a block's bytes, its offsets and the texts themselves to the results, one for each text.
 Judge = Callable[[np.ndarray, np.ndarray, pa.Array], pa.Array]
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, small, text_blocks, text_column
+from .common import U64, gathered, materialise, mix, rested, small, text_blocks, text_column
 from .components import components
 from .shingles import node_of, shingle_sets
 
@@ -37,6 +37,7 @@ COUNT_TOKENS = 2 << 20  # tokens counted together before their repeats are sent
 #: all tasks, 16 bytes a shingle, so 4 MB to 64 MB.
 SHINGLES_EACH, FREQUENT_LEAST, FREQUENT_MOST = 4096, 1 << 18, 1 << 22
 MAX_LIGHT = 16
+RUN_ROWS = 1 << 14  # list rows looked at together
 SHORT = 16  # lists up to this length lose at once the rows that fit no other of the list
 WORDS = 8  # longs in the parity bitmap that list rows carry
 
@@ -196,10 +197,10 @@ def _partnered(rows: list[np.ndarray], carried: bool) -> np.ndarray:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, place and node: those of lists of two nodes or more, each beside the first
-    of its list, its head. Holds one batch and one row, whatever a list's length."""
+    of its list, its head. Holds RUN_ROWS and one row, whatever a list's length."""
     last = pivot = None
     told = False
-    for batch in batches:
+    for batch in gathered(batches, RUN_ROWS):
         if not batch.num_rows:
             continue
         rows = [np.asarray(c) for c in batch.columns]
@@ -344,9 +345,11 @@ def _rooted(docs: DataFrame) -> DataFrame:
     light = boundary(1 + float((seen.astype(float) ** 2).sum()) / max(1, total))
 
     listed = docs.select("text").mapInArrow(_postings(tokens, seen, light), _LISTED)
+    rested(docs.sparkSession)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     lists = materialise(listed.repartition(parts, "key").sortWithinPartitions("key", "pos", "node").mapInArrow(_runs, _RUNS), "lists")
 
+    rested(docs.sparkSession)
     named = facts.where("node is not null").groupBy("node")
     holders = materialise(named.agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ["n", *_BITMAP, "wide"]]), "holders")
     fits = _possible(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
