@@ -588,3 +588,15 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{k: 0 for k in range(601)}, 900: 900, 950: 900}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_batches_are_gathered():
+    import pyarrow as pa
+
+    from lodestone.llm.common import gathered
+
+    sizes = [3, 0, 4, 1, 9, 2]
+    given = [pa.RecordBatch.from_pydict({"x": list(range(sum(sizes[:k]), sum(sizes[: k + 1])))}, schema=pa.schema([("x", pa.int64())])) for k in range(len(sizes))]
+    out = list(gathered(iter(given), 5))
+    assert [b.num_rows for b in out] == [7, 10, 2] and [v for b in out for v in b.column(0).to_pylist()] == list(range(19))
+    assert list(gathered(iter([]), 5)) == []
