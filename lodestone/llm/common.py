@@ -177,8 +177,16 @@ def beside(rows: DataFrame, keep: list[str], result: Column, kind: str) -> DataF
     """The columns in keep, then the fields of a struct column of that kind ("name type, ..."). A column in
     keep that is named like a field, upper and lower case being the same, is replaced by it."""
     new = {f.split()[0].lower() for f in kind.split(", ")}
-    kept = [F.col(f"`{c}`") for c in dict.fromkeys(keep) if c.lower() not in new]
-    return rows.select(*kept, result.alias("_result")).select(*kept, "_result.*")
+    names = [c for c in dict.fromkeys(keep) if c.lower() not in new]
+    kept, own = [F.col(f"`{c}`") for c in names], unused("_result", names)
+    return rows.select(*kept, result.alias(own)).select(*kept, f"{own}.*")
+
+
+def unused(name: str, names: list[str]) -> str:
+    """The name, or the first with more underscores that no column has."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
 
 
 def offsets_of(texts: pa.Array) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gathered, materialise, mix, rested, small, text_blocks, text_column
+from .common import U64, gathered, materialise, mix, rested, small, text_blocks, text_column, unused
 from .components import components
 from .shingles import node_of, shingle_sets
 
@@ -396,18 +396,20 @@ def _node_column(text: Column) -> Column:
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each component the one row with the least (doc_id, set name),
     null ids last. Rows without a set or a link stay, whatever other rows have their doc_id."""
+    pair = [unused(c, docs.columns) for c in ("_id", "_set", "_stays", "_size")]
     rows = materialise(_rooted(docs), "rooted").where("root is not null")
     by = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
     groups = rows.groupBy("root").agg(F.min(by).alias("first"), F.count("*").alias("size"))
     first = materialise(groups.where("size > 1").select("root", "first"), "first")
     linked = rows.join(small(first), "root").withColumn("stays", F.col("first.node").eqNullSafe(F.col("node")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
-    pairs = materialise(linked.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_n")).agg(F.first("stays").alias("stays"), F.count("*").alias("size")), "pairs")
-    named = materialise(docs.withColumn("_node", _node_column(F.col("text"))), "named")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n"))
-    kept = named.join(small(pairs.where("not stays")), same, "left_anti")
-    twice = pairs.where("stays and size > 1")
+    pairs = materialise(linked.groupBy(F.col("doc_id").alias(pair[0]), F.col("node").alias(pair[1])).agg(F.first("stays").alias(pair[2]), F.count("*").alias(pair[3])), "pairs")
+    name = unused("_node", docs.columns)
+    named = materialise(docs.withColumn(name, _node_column(F.col("text"))), "named")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(pair[0])) & (F.col(name) == F.col(pair[1]))
+    kept = named.join(small(pairs.where(~F.col(pair[2]))), same, "left_anti")
+    twice = pairs.where(F.col(pair[2]) & (F.col(pair[3]) > 1))
     if twice.limit(1).count():
         # Of rows equal in id and set one stays.
         twice = small(twice)
-        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_node"]))
-    return kept.select(*docs.columns)
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", name]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

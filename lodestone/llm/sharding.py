@@ -64,7 +64,7 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None
     table = lookup_table(shards, size, weights)
     lookup = docs.sparkSession.createDataFrame([(k, shards[i]) for k, i in enumerate(table.tolist())], "slot int, shard string")
     rows = docs.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), size))
-    return rows.join(F.broadcast(lookup), "slot").select(*[c for c in docs.columns if c not in ("slot", "shard")], "slot", "shard")
+    return rows.join(F.broadcast(lookup), "slot").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("slot", "shard")], "slot", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

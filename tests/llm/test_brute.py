@@ -600,3 +600,16 @@ def test_batches_are_gathered():
     out = list(gathered(iter(given), 5))
     assert [b.num_rows for b in out] == [7, 10, 2] and [v for b in out for v in b.column(0).to_pylist()] == list(range(19))
     assert list(gathered(iter([]), 5)) == []
+
+
+def test_inner_names_may_be_taken(spark):
+    from lodestone.llm import urls
+
+    df = spark.createDataFrame([(1, "five words make one shingle", 7, 7, 7, 7, "a"), (2, "five words make one shingle", 8, 8, 8, 8, "b")], "doc_id long, text string, _node int, _id int, stays int, Slot int, _result string")
+    kept = jaccard.survivors(df).collect()
+    assert [tuple(r) for r in kept] == [(1, "five words make one shingle", 7, 7, 7, 7, "a")]
+    assert quality_cnn.score_texts(df, quality_cnn.start(1), df.columns).columns == [*df.columns, "score"]
+    assert sharding.assign(df).columns == [c for c in df.columns if c != "Slot"] + ["slot", "shard"]
+    pages = spark.createDataFrame([(1, "http://x.com/en/", 5, 6)], "page_id long, url string, _best int, prefix int")
+    got = urls.judge(pages, urls.rules_frame(spark, urls.RULES), ["page_id", "_best", "prefix"]).first()
+    assert (got["_best"], got["prefix"], got["verdict"]) == (5, 6, "block")
