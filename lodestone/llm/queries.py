@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, langid, mixing, pieces, quality_cnn, rules, sharding, telephony, urls
+from . import filter_audit, html_text, jaccard, langid, mixing, pieces, quality_cnn, rules, sharding, telephony, urls, vector_codes, word_bpe
 from .common import fold_of, table
 
 
@@ -56,7 +56,20 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_sharding, op4_language_id, op5_quality, op6_html_text, op7_telephony, op8_quality_rules, op9_mixing, op10_jaccard)}
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as ids of merged pairs, with digests of ids and of what they decode to."""
+    return word_bpe.encode_texts(table(spark, sf_dir, "documents"), ["doc_id"], pieces.ship(spark, word_bpe.MODEL))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_sharding, op4_language_id, op5_quality, op6_html_text, op7_telephony, op8_quality_rules, op9_mixing, op10_jaccard, op11_word_bpe, op12_filter_audit, op13_vector_codes)}
 
 _URL_RULES = ", ".join(f"('{r}', '{v}')" for r, v in urls.RULES)
 _WEIGHTS = ", ".join(f"('{s}', {w})" for s, w in mixing.WEIGHTS.items())
@@ -85,7 +98,45 @@ _FAILED = f"(n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)
 #: against a plain version.
 _OWNERS = ", ".join(map(str, sharding.lookup_table(sharding.SHARDS).tolist()))
 
+
+def _nearest(book: str) -> str:
+    """(rid, p, e, far) of the nearest entry of a codebook to each part."""
+    return f"""SELECT rid, p, any_value(x) AS x, min({{'far': far, 'e': e}}) AS best FROM (
+  SELECT x.rid, x.p, x.x, b.e, list_sum(list_transform(range(1, len(x.x) + 1), lambda i: (x.x[i] - b.x[i]) * (x.x[i] - b.x[i]))) AS far FROM x JOIN {book} b ON b.p = x.p) GROUP BY rid, p"""
+
+
+def _means(book: str, found: str) -> str:
+    """The codebook after one round."""
+    return f"""SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN (
+  SELECT p, e, list(v ORDER BY i) AS x FROM (SELECT p, best.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS v FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM {found}) GROUP BY ALL) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e"""
+
+
+_MASK = " + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END" for k, c in enumerate((f"len(ws) < {filter_audit.MIN_WORDS}", f"100 * len(list_distinct(ws)) < {filter_audit.MIN_DISTINCT} * len(ws)", f"100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MAX_UPPER} * length(t)", "regexp_matches(t, '[#$%&*|]')", "d.doc_id > least")))
+
 ORACLES = {
+    "op12_filter_audit": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source::VARCHAR, '') AS part, coalesce(text, '') AS t, {_words("coalesce(text, '')")} AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, {_MASK} AS m, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM d LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY ALL),
+o(filter_order, step, before, bit) AS (SELECT '', 0, 0, 0 UNION ALL SELECT filter_order || f, step + 1, before + bit, b FROM o, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, b) WHERE strpos(filter_order, f) = 0),
+s AS (SELECT f.filter_order, o.step, o.before, o.bit FROM o JOIN o f ON f.step = 5 AND starts_with(f.filter_order, o.filter_order) AND o.step > 0),
+r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & before = 0 AND m & bit > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN m & before > 0 AND m & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN m & before = 0 AND m & bit > 0 AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN m & before = 0 AND m & bit > 0 AND toxic THEN n ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
+    "op13_vector_codes": f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rid, p, v[p * w + 1 : (p + 1) * w] AS x FROM (SELECT rid, v, len(v) // {vector_codes.PARTS} AS w, unnest(range({vector_codes.PARTS})) AS p FROM k)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x FROM x WHERE rid <= {vector_codes.ENTRIES}),
+a0 AS MATERIALIZED ({_nearest("b0")}),
+b1 AS MATERIALIZED ({_means("b0", "a0")}),
+a1 AS MATERIALIZED ({_nearest("b1")}),
+b2 AS MATERIALIZED ({_means("b1", "a1")}),
+a2 AS MATERIALIZED ({_nearest("b2")}),
+c AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.far)::BIGINT AS error FROM a2 GROUP BY rid),
+h AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM b2))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h.h AS codebooks_sha256 FROM k JOIN c USING (rid), h""",
     "op3_sharding": f"""
 WITH owner AS (SELECT [{_OWNERS}] AS o), d AS (SELECT doc_id, source, n_chars, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.TABLE_SIZE})::INT AS slot FROM documents)
 SELECT doc_id, source, n_chars, slot, printf('shard-%03d', o[slot + 1]) AS shard FROM d, owner""",
