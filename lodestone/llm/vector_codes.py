@@ -250,9 +250,8 @@ def compress(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding",
     i, e, t = (unused(x, [id]) for x in ("_code", "error", "label_error"))
     found = rows.select(F.col(f"`{id}`"), F.col(f"`{label}`").alias("_label"), code_column(F.col(f"`{vector}`"), books).alias(i))
     held = materialise(found.select(f"`{id}`", "_label", F.col(f"{i}.code").alias("code"), F.col(f"{i}.error").alias(e)), "codes")
-    wide = F.sum(F.col(e).cast("decimal(38,0)"))
-    sums = held.groupBy("_label").agg(F.count("*").alias("_n"), F.least(wide, F.lit(LONG).cast("decimal(38,0)")).cast("long").alias(t))
-    sums = materialise(sums, "labels")
+    sums = held.groupBy("_label").agg(F.count("*").alias("_n"), F.sum(F.col(e).cast("decimal(38,0)")).alias("_sum"))
+    sums = materialise(sums.select("_label", "_n", F.when(F.col("_sum") > LONG, LONG).otherwise(F.col("_sum")).cast("long").alias(t)), "labels")
     limit = sums.agg(F.sum("_n")).first()[0] or 0
     hot = F.col("_label").isNull() | (F.col("_n") * HOT_SHARE > limit)
     large, rest = sums.where(hot).withColumnRenamed("_label", "_hot"), sums.where(~hot)
