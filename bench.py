@@ -10,7 +10,6 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from lodestone.operators import textindex
-from lodestone.operators.search import top
 from lodestone.plans.workflow import index
 from lodestone.queries import QUERIES, WORDS, K, corpus
 from lodestone.sources.files import Config
@@ -42,10 +41,10 @@ def unchanged_run(spark: SparkSession, work: str) -> float:
 def indexed_search(spark: SparkSession, sf: str, work: str) -> float:
     """bm25_topk over a persisted text index."""
     rows = textindex.indexed_rows(corpus(spark, sf, True).select("id", "content"), "id")
-    textindex.laid_out(textindex.positions(rows)).write.parquet(f"{work}/postings")
-    rows.select("chunk_id", "dl", "h").write.parquet(f"{work}/indexed")
-    read = spark.read.parquet
-    return best(lambda: top(textindex.bm25_indexed(read(f"{work}/postings"), read(f"{work}/indexed"), WORDS), K).collect())
+    textindex.laid_out(textindex.postings(rows)).write.parquet(f"{work}/postings")
+    held = spark.read.schema(textindex.POSTINGS).parquet(f"{work}/postings")
+    n, length = textindex.chunks_of(held).selectExpr("count(*)", "sum(dl)").first()  # a store has them in its version file
+    return best(lambda: textindex.bm25_top(held, WORDS, K, None, n, length).collect())
 
 
 def main() -> None:

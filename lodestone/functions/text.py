@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +24,11 @@ def short_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
 
 
+def path_hash(path: Column) -> Column:
+    """The first 16 bits of the digest that ids of a file's chunks begin with."""
+    return F.conv(F.substring(F.sha2(F.coalesce(path, F.lit("")), 256), 1, 4), 16, 10).cast("int")
+
+
 def chunk_id(path: Column, index: Column) -> Column:
     return F.concat(short_hash(path), F.lit("_"), index.cast("string"))
 
@@ -66,16 +69,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_with(v: Column, query: list[float]) -> Column:
-    """Cosine of a column and one vector, whose length is taken beforehand; sums are in double. 0 for vectors of
-    different length, empty ones and those of norm 0."""
-    norm = math.sqrt(math.fsum(x * x for x in query))
-    if not norm:
-        return F.lit(0.0)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    own = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    along = F.aggregate(F.zip_with(v, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return F.when((F.size(v) == len(query)) & (own > 0), along / (own * norm)).otherwise(F.lit(0.0))
+def norm_of(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def normalized(v: Column, full: int = FULL_DIMENSION) -> Column:

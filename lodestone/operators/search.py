@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine_with, query_tokens
+from ..functions.text import norm_of, query_tokens
 
 K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -44,8 +47,8 @@ def bm25_scores(chunks: DataFrame, query: str, id: str = "chunk_id", text: str =
     return scored_by_bm25(rows.where(hit), stats, repeats, id)
 
 
-def scored_by_bm25(rows: DataFrame, stats: DataFrame, repeats: list[int], id: str) -> DataFrame:
-    """(id, score) of rows with dl and tf0, tf1, ... by the one row of stats: n, avgdl and df0, df1, ..."""
+def scored_by_bm25(rows: DataFrame, stats: DataFrame, repeats: list[int], *id: str) -> DataFrame:
+    """(*id, score) of rows with dl and tf0, tf1, ... by the one row of stats: n, avgdl and df0, df1, ..."""
 
     def part(k: int) -> Column:
         tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
@@ -56,7 +59,7 @@ def scored_by_bm25(rows: DataFrame, stats: DataFrame, repeats: list[int], id: st
     total = part(0)
     for k in range(1, len(repeats)):
         total = total + part(k)
-    return rows.crossJoin(F.broadcast(stats)).select(id, total.alias("score"))  # stats is one row
+    return rows.crossJoin(F.broadcast(stats)).select(*id, total.alias("score"))  # stats is one row
 
 
 def top(scored: DataFrame, k: int, id: str = "chunk_id") -> DataFrame:
@@ -69,11 +72,38 @@ def bm25_topk(chunks: DataFrame, query: str, k: int, **options) -> DataFrame:
     return top(bm25_scores(chunks, query, **options), k, options.get("id", "chunk_id"))
 
 
+def _cosines(query: list[float]) -> Callable[..., Column]:
+    """(vector, its norm) -> cosine with the query, a batch of vectors as one matrix. 0 for vectors of another length
+    and those of norm 0; sums are in double."""
+    q = np.array(query, np.float64)
+    own = float(np.sqrt(q @ q))
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, norms in batches:
+            sizes = np.diff(np.asarray(lists.offsets))
+            fits = sizes == len(q)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            matrix = flat.reshape(-1, len(q)) if fits.all() else flat[np.repeat(fits, sizes)].reshape(-1, len(q))
+            size = norms.to_numpy(zero_copy_only=False)[fits].astype(np.float64)
+            out = np.zeros(len(lists))
+            with np.errstate(all="ignore"):
+                score = (matrix @ q) / (size * own)
+            out[fits] = np.where(size > 0, score, 0.0)
+            yield pa.array(out, mask=np.asarray(lists.is_null()))
+
+    return run
+
+
 def knn_scores(vectors: DataFrame, query: list[float], threshold: float = THRESHOLD, id: str = "chunk_id", vector: str = "embedding", model: str | None = None) -> DataFrame:
-    """(id, score) with score >= threshold; only vectors of the model, if one is named."""
+    """(id, score) with score >= threshold; only vectors of the model, if one is named. The column norm has the
+    vectors' lengths, where the table has it; else they are taken here. A null vector has no score."""
     if model is not None:
         vectors = vectors.where(F.col("model") == model)
-    return vectors.select(id, cosine_with(F.col(vector), query).alias("score")).where(F.col("score") >= threshold)
+    if not query or not any(query):
+        return vectors.where(F.col(vector).isNotNull()).select(id, F.lit(0.0).alias("score")).where(F.col("score") >= threshold)
+    norm = F.col("norm") if "norm" in vectors.columns else norm_of(F.col(vector))
+    return vectors.select(id, _cosines(query)(F.col(vector), norm).alias("score")).where(F.col("score") >= threshold)
 
 
 def knn_topk(vectors: DataFrame, query: list[float], k: int = TOP_K, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -127,22 +157,22 @@ def mode_of(requested: str | None, has_embedder: bool) -> str | None:
     return "bm25" if asked == "auto" and not has_embedder else asked
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, k: int = TOP_K, threshold: float = THRESHOLD, mode: str | None = None, model: str | None = None, words: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, k: int = TOP_K, threshold: float = THRESHOLD, mode: str | None = None, model: str | None = None, words: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """(chunk_id, score, rank, search_mode). chunks has id, content and enriched; the latter is searched, unless
-    words has its scores (chunk_id, score) already, from an index.
+    words gives so many best (chunk_id, score, rank) from an index.
 
     Both lists have CANDIDATES * k rows at most. They are computed once, before the fusion looks at them
     several times.
     """
     decided = mode_of(mode, query_vector is not None and vectors is not None)
-    if words is None and decided != "vector":
-        words = bm25_scores(chunks.select(F.col("id").alias("chunk_id"), F.coalesce("enriched", "content").alias("content")), query)
+    searched = chunks.select(F.col("id").alias("chunk_id"), F.coalesce("enriched", "content").alias("content"))
+    words = words or (lambda k: top(bm25_scores(searched, query), k))
     if decided == "bm25":
-        return top(words, k).withColumn("search_mode", F.lit("bm25_only"))
+        return words(k).withColumn("search_mode", F.lit("bm25_only"))
     if decided == "vector":
         return top(knn_scores(vectors, query_vector, threshold, model=model), k).withColumn("search_mode", F.lit("vector_only"))
     wide = CANDIDATES * k
-    listed = materialised(top(words, wide))
+    listed = materialised(words(wide))
     near = materialised(top(knn_scores(vectors, query_vector, threshold, model=model), wide))
     if listed.isEmpty():
         return near.where(F.col("rank") < k).withColumn("search_mode", F.lit("vector_only"))
@@ -150,9 +180,18 @@ def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vecto
 
 
 def postings(chunks: DataFrame, id: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(trigram, id, tf): counts of trigrams; textindex.py has the index that searches read."""
-    grams = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
-    return chunks.select(id, F.explode(grams).alias("trigram")).groupBy("trigram", id).agg(F.count("*").alias("tf"))
+    """(trigram, id, tf): counts of trigrams, each chunk's by itself, so nothing moves; textindex.py has the index
+    that searches read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, own in zip(batch.column(0), batch.column(1), strict=True):
+                code = np.frombuffer((own.as_py() or "").encode("utf-32-le"), np.uint32)
+                grams, counts = np.unique(np.lib.stride_tricks.sliding_window_view(code, 3), axis=0, return_counts=True) if len(code) > 2 else (code[:0], code[:0])
+                chars = np.ascontiguousarray(grams).tobytes().decode("utf-32-le")
+                yield pa.RecordBatch.from_arrays([pa.array([chars[k : k + 3] for k in range(0, len(chars), 3)], pa.string()), pa.array([name.as_py()] * len(counts), pa.string()), pa.array(counts.astype(np.int64))], names=["trigram", id, "tf"])
+
+    return chunks.select(F.col(id).cast("string"), F.lower(F.col(text))).mapInArrow(run, f"trigram string, {id} string, tf long")
 
 
 def candidates(index: DataFrame, query: str, id: str = "chunk_id") -> DataFrame:

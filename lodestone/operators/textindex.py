@@ -1,72 +1,213 @@
-"""A persisted trigram index with positions: BM25 without reading any text.
+"""A persisted word index in segments: BM25 over substrings without reading any text.
 
-Postings are sorted by trigram, so that a search reads the row groups of its own trigrams only, and those of a
-frequent trigram are spread over files by chunk. A phrase occurs where its trigrams stand one after the other,
-so positions alone give exact counts. One row a chunk holds its length and a hash of what was indexed; from
-these come the corpus statistics and, at the next refresh, which chunks have changed.
+A query's tokens hold no white space, so each of their occurrences lies within one word, a run of other characters of
+the folded text. The index has, for every word and every batch of chunks, the chunks with the word and how often. A
+search first looks for the words that hold a token, by a scan of words alone, and then reads the postings of these
+words only: a token occurs in a chunk as often as its words do, times its occurrences in each.
+
+A segment is made without any exchange before the one that sorts it: a task counts its own chunks' words, batch by
+batch. A refresh adds one segment and lists dead chunks of others; segments that are not much larger are made anew with
+it, so there are few, of sizes that grow by a factor. Rows of the empty word name the chunks of a batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens
-from .search import scored_by_bm25
+from .search import occurrences, scored_by_bm25, top
+
+POSTINGS = "word string, batch bigint, n int, places array<int>, tfs array<int>, dls array<int>, ph int, chunk_id string, h bigint"
+DEAD = "batch bigint, place int, dl int, segment string"
+EMPTY: dict = {"segments": [], "dead": None, "buckets": {}, "of": 0, "next": 0}
+BATCH_CHUNKS, BATCH_CHARS = 4096, 16 << 20  # of a batch, whose words are held at once
+ABSORB = 4  # a refresh makes segments anew that have up to so many times its chunks
+MOST_DEAD = 0.25  # of a segment's chunks; beyond, it is made anew
+FREQUENT = 256  # chunks of a batch; words in more are spread over files by batch
+TIES = 1000  # chunks beyond the best that are looked at for equal scores
+NAMED_WORDS = 2000  # matching words that are named in the filter of the postings; more are joined
+
 
 def indexed_rows(chunks: DataFrame, id: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(chunk_id, folded, name, dl, h): what of a chunk is searched."""
+    """(chunk_id, ph, folded, name, dl, h): what of a chunk is searched. ph is a hash of its file, where there is one."""
     folded, name = F.lower(F.coalesce(F.col(text), F.lit(""))), F.lower(F.col(id))
     dl = F.greatest(F.length(folded) - 2, F.lit(0)) + F.greatest(F.length(name) - 2, F.lit(0))
-    return chunks.select(F.col(id).alias("chunk_id"), folded.alias("folded"), name.alias("name"), dl.cast("int").alias("dl"), F.xxhash64(folded).alias("h"))
+    ph = F.col("ph") if "ph" in chunks.columns else F.lit(0)
+    return chunks.select(F.col(id).alias("chunk_id"), ph.cast("int").alias("ph"), folded.alias("folded"), name.alias("name"), dl.cast("int").alias("dl"), F.xxhash64(folded).alias("h"))
+
+
+def postings(rows: DataFrame, segment: int = 0) -> DataFrame:
+    """Rows of a segment (POSTINGS) for indexed_rows, in no order. Batches are numbered by segment and task."""
+    names = [f.split()[0] for f in POSTINGS.split(", ")]
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(n, types[f.split()[1]]) for n, f in zip(names, POSTINGS.split(", "), strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = (segment << 40) + (TaskContext.get().partitionId() << 20)
+        held: dict[str, list[tuple[int, int]]] = {}
+        docs: list[tuple] = []
+        chars = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal at, chars
+            dls = np.array([d[1] for d in docs], np.int32)
+            words = list(held)
+            sizes = np.array([len(held[w]) for w in words], np.int64)
+            pairs = np.array([x for w in words for x in held[w]], np.int32).reshape(-1, 2)
+            cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            own = [pa.array(words, pa.string()), pa.array(np.full(len(words), at)), pa.array(sizes.astype(np.int32))]
+            own += [pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(x))) for x in (pairs[:, 0], pairs[:, 1], dls[pairs[:, 0]])]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(words), schema.field(k).type) for k in range(6, 9))], schema=schema)
+            rows = [("", at, 1, [k], [0], [d[1]], d[2], d[0], d[3]) for k, d in enumerate(docs)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(9)], schema=schema)
+            held.clear()
+            docs.clear()
+            at, chars = at + 1, 0
+
+        for batch in batches:
+            for name, ph, folded, own_name, dl, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = len(docs)
+                for w, n in Counter([*folded.split(), *(own_name or "").split()]).items():
+                    held.setdefault(w, []).append((place, n))
+                docs.append((name, dl, ph, h))
+                chars += len(folded)
+                if len(docs) >= BATCH_CHUNKS or chars >= BATCH_CHARS:
+                    yield from flush()
+        if docs:
+            yield from flush()
+
+    # Sorted, so that a task that is run again numbers its chunks alike.
+    return rows.select("chunk_id", "ph", "folded", "name", "dl", "h").sortWithinPartitions("ph", "chunk_id", "h").mapInArrow(run, POSTINGS)
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """In the order that searches prune by. A word's batches lie together, unless it is in very many chunks."""
+    spread = F.when((F.col("word") == "") | (F.col("n") >= FREQUENT), F.pmod(F.xxhash64("batch"), F.lit(64))).otherwise(-1)
+    return rows.withColumn("_deal", spread).repartition("word", "_deal").sortWithinPartitions("word", "ph", "batch").drop("_deal")
 
 
-def positions(rows: DataFrame) -> DataFrame:
-    """Rows of the table postings; field 0 is the text, 1 the id."""
-    grams = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
-    fields = F.array(F.struct(F.lit(0).alias("field"), grams("folded").alias("grams")), F.struct(F.lit(1).alias("field"), grams("name").alias("grams")))
-    wide = rows.select("chunk_id", "dl", F.inline(fields)).select("chunk_id", "dl", "field", F.posexplode("grams").alias("position", "trigram"))
-    return wide.groupBy("trigram", "chunk_id", "field", "dl").agg(F.array_sort(F.collect_list("position")).alias("positions")).select("trigram", "chunk_id", "field", "positions", "dl")
+def chunks_of(segment: DataFrame) -> DataFrame:
+    """(chunk_id, h, ph, batch, place, dl) of the chunks in a segment."""
+    return segment.where("word = ''").select("chunk_id", "h", "ph", "batch", F.col("places")[0].alias("place"), F.col("dls")[0].alias("dl"))
 
 
-def laid_out(postings: DataFrame) -> DataFrame:
-    """In the order that searches prune by."""
-    return postings.repartitionByRange("trigram", "chunk_id").sortWithinPartitions("trigram", "chunk_id")
+def _segment(spark: SparkSession, root: str, segment: dict) -> DataFrame:
+    return spark.read.schema(POSTINGS).parquet(f"{root}/{segment['folder']}")
 
 
-def changed(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose text is not indexed yet, and ids whose postings no longer hold."""
+def refreshed(spark: SparkSession, root: str, index: dict, changed: DataFrame, ranges: list[tuple[int, int]] | None, read: Callable[[list[int]], DataFrame]) -> dict:
+    """The index after changes. changed has all chunks (chunk_id, ph, content) whose ph lies in the ranges (None:
+    all chunks there are); read gives the chunks of some values of ph, and may give others beside them."""
+    rows = indexed_rows(changed)
+    inside = F.lit(True)
+    if ranges is not None:
+        inside = F.lit(False)
+        for low, high in ranges:
+            inside = inside | F.col("ph").between(low, high)
+    known = spark.createDataFrame([], "chunk_id string, h bigint, ph int, batch bigint, place int, dl int, segment string")
+    for s in index["segments"]:
+        known = known.unionByName(chunks_of(_segment(spark, root, s)).withColumn("segment", F.lit(s["folder"])))
+    old_dead = spark.read.schema(DEAD).parquet(f"{root}/{index['dead']}") if index["dead"] else spark.createDataFrame([], DEAD)
+    live = known.where(inside).join(old_dead.select("batch", "place"), ["batch", "place"], "left_anti")
     same = ["chunk_id", "h"]
-    return rows.join(known.select(*same), same, "left_anti"), known.select(*same).join(rows.select(*same), same, "left_anti").select("chunk_id")
-
-
-def phrase_counts(postings: DataFrame, token: str) -> DataFrame:
-    """(chunk_id, dl, tf): exact occurrences of a phrase, overlapping ones too."""
-    grams = [token[k : k + 3] for k in range(len(token) - 2)]
-    places: dict[str, list[int]] = {}
-    for k, g in enumerate(grams):
-        places.setdefault(g, []).append(k)
-    own = postings.where(F.col("trigram").isin(*places))
-    if len(grams) == 1:
-        return own.groupBy("chunk_id", "dl").agg(F.sum(F.size("positions")).alias("tf"))
-    shifts = F.create_map(*[x for g, ks in places.items() for x in (F.lit(g), F.array(*[F.lit(k) for k in ks]))])
-    starts = own.select("chunk_id", "dl", "field", "positions", F.explode(shifts[F.col("trigram")]).alias("k")).select("chunk_id", "dl", "field", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
-    whole = starts.groupBy("chunk_id", "dl", "field", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
-    return whole.groupBy("chunk_id", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25_indexed(postings: DataFrame, known: DataFrame, query: str) -> DataFrame:
-    """(chunk_id, score) as bm25_scores gives over the texts."""
+    new_dead = live.join(rows.select(*same), same, "left_anti").select("batch", "place", "dl", "segment")
+    fresh = rows.join(live.select(*same), same, "left_anti")
+    number, folder = index["next"], f"index/s{index['next']}-{uuid.uuid4().hex[:8]}"
+    dead = old_dead.unionByName(new_dead)
+    dead.write.parquet(f"{root}/{folder}-dead")
+    dead = spark.read.schema(DEAD).parquet(f"{root}/{folder}-dead")
+    lost = {r.segment: (r.n, r.dl) for r in dead.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()}
+    kept = [s | {"dead": lost.get(s["folder"], (0, 0))[0], "dead_dl": lost.get(s["folder"], (0, 0))[1]} for s in index["segments"]]
+    count = fresh.count() if kept else None
+    again = [s for s in kept if s["dead"] > MOST_DEAD * s["n"]]
+    size = (count or 0) + sum(s["n"] - s["dead"] for s in again)
+    for s in sorted((s for s in kept if s not in again), key=lambda s: s["n"]):
+        if s["n"] <= ABSORB * size:
+            again.append(s)
+            size += s["n"] - s["dead"]
+    if again:
+        gone = [s["folder"] for s in again]
+        moved = known.where(F.col("segment").isin(gone)).join(dead.select("batch", "place"), ["batch", "place"], "left_anti").select(*same, "ph")
+        hashes = [r.ph for r in moved.select("ph").distinct().collect()]
+        fresh = fresh.unionByName(indexed_rows(read(hashes)).join(moved.select(*same), same, "left_semi"))
+        kept = [s for s in kept if s["folder"] not in gone]
+    segments, died = kept, None
+    if count is None or size:
+        laid_out(postings(fresh, number)).write.option("parquet.bloom.filter.enabled#word", "true").parquet(f"{root}/{folder}")
+        added = _segment(spark, root, {"folder": folder}).where("word = ''").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("dls")[0]), F.lit(0)).alias("dl")).first()
+        if added.n:
+            segments = [*kept, {"folder": folder, "n": added.n, "dl": added.dl, "dead": 0, "dead_dl": 0}]
+    if any(s["dead"] for s in segments):
+        died = f"{folder}-dead"
+    return {"segments": segments, "dead": died, "next": number + 1}
+
+
+def of_index(spark: SparkSession, root: str, index: dict) -> tuple[DataFrame, DataFrame | None, int, int]:
+    """Postings, dead chunks, and number and summed length of the live ones."""
+    folders = [f"{root}/{s['folder']}" for s in index["segments"]]
+    rows = spark.read.schema(POSTINGS).parquet(*folders) if folders else spark.createDataFrame([], POSTINGS)
+    dead = spark.read.schema(DEAD).parquet(f"{root}/{index['dead']}") if index["dead"] else None
+    return rows, dead, sum(s["n"] - s["dead"] for s in index["segments"]), sum(s["dl"] - s["dead_dl"] for s in index["segments"])
+
+
+def matching(rows: DataFrame, tokens: list[str]) -> DataFrame:
+    """(word) of the words that hold a token; reads words only."""
+    hit = F.lit(False)
+    for t in tokens:
+        hit = hit | F.col("word").contains(t)
+    return rows.select("word").where(hit).distinct()
+
+
+def bm25_indexed(rows: DataFrame, query: str, dead: DataFrame | None = None, n: int | None = None, length: int | None = None) -> DataFrame:
+    """(batch, place, score) as bm25_scores gives over the texts; named() has the chunks' ids. n and length, the
+    number and summed length of the live chunks, are counted where they are not known."""
     tokens = [t.lower() for t in query_tokens(query)]
-    if not tokens:
-        return known.select("chunk_id", F.lit(0.0).alias("score")).where(F.lit(False))
     distinct = list(dict.fromkeys(tokens))
-    stats = known.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    parts = [phrase_counts(postings, t).select("chunk_id", "dl", F.lit(k).alias("k"), "tf") for k, t in enumerate(distinct)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    counts = [F.sum(F.when(F.col("k") == k, F.col("tf")).otherwise(0)).alias(f"tf{k}") for k in range(len(distinct))]
-    rows = every.groupBy("chunk_id", "dl").agg(*counts)
-    found = rows.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))])
-    return scored_by_bm25(rows, stats.crossJoin(found), [tokens.count(t) for t in distinct], "chunk_id")  # both are one row
+    if not tokens:
+        return rows.select("batch", F.lit(0).alias("place"), F.lit(0.0).alias("score")).limit(0)
+    if n is None or length is None:
+        live = chunks_of(rows) if dead is None else chunks_of(rows).join(dead.select("batch", "place"), ["batch", "place"], "left_anti")
+        n, length = live.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    words = matching(rows, distinct)
+    named = [r.word for r in words.limit(NAMED_WORDS + 1).collect()]
+    own = rows.where(F.col("word").isin(named)) if len(named) <= NAMED_WORDS else rows.join(words, "word", "left_semi")
+    times = F.array(*[occurrences(F.col("word"), t).cast("long") for t in distinct])
+    each = own.select("batch", times.alias("times"), F.inline(F.arrays_zip("places", "tfs", "dls")))
+    counts = [F.sum(F.col("tfs") * F.col("times")[k]).alias(f"tf{k}") for k in range(len(distinct))]
+    found = each.groupBy("batch", F.col("places").alias("place"), F.col("dls").alias("dl")).agg(*counts)
+    if dead is not None:
+        found = found.join(dead.select("batch", "place"), ["batch", "place"], "left_anti")
+    sums = found.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))])
+    stats = sums.select(F.lit(n).alias("n"), F.lit(length / max(1, n)).alias("avgdl"), "*")
+    return scored_by_bm25(found, stats, [tokens.count(t) for t in distinct], "batch", "place")
+
+
+def named(scored: DataFrame, rows: DataFrame) -> DataFrame:
+    """(chunk_id, score) of scored chunks."""
+    ids = rows.where("word = ''").select("batch", F.col("places")[0].alias("place"), "chunk_id")
+    return scored.join(ids, ["batch", "place"]).select("chunk_id", "score")
+
+
+def bm25_top(rows: DataFrame, query: str, k: int, dead: DataFrame | None = None, n: int | None = None, length: int | None = None) -> DataFrame:
+    """The k best (chunk_id, score, rank) as top(bm25_scores(...), k) gives. Ids decide ties only, so they are looked
+    up for the best chunks and those of the same score as the last of them."""
+    scored = bm25_indexed(rows, query, dead, n, length)
+    digits = F.round("score", 9)
+    best = scored.orderBy(F.desc(digits)).limit(max(0, k) + TIES).select("batch", "place", "score", digits.alias("s")).collect()
+    if k <= 0 or not best:
+        return top(named(scored.limit(0), rows), 0)
+    least = best[min(k, len(best)) - 1].s
+    if len(best) == k + TIES and best[-1].s == least:
+        return top(named(scored.where(digits >= least), rows), k)
+    few = [(r.batch, r.place, r.score) for r in best if r.s >= least]
+    local = rows.sparkSession.createDataFrame(few, "batch bigint, place int, score double")
+    batches = sorted({b for b, _, _ in few})
+    return top(named(local, rows.where(F.col("batch").between(batches[0], batches[-1]) & F.col("batch").isin(batches))), k)

@@ -15,7 +15,7 @@ from ..functions.text import DEFAULT_PROMPT
 from ..operators import changes as J
 from ..operators import stats
 from ..operators.search import TOP_K, hybrid, hydrate, materialised, with_siblings
-from ..operators.textindex import bm25_indexed
+from ..operators.textindex import bm25_top, of_index
 from ..schema import SCHEMA_VERSION
 from ..sources.files import Config, read_config, scan
 from . import queue
@@ -23,7 +23,7 @@ from .clients import embedder_of
 from .keys import Keys, missing
 from .lock import IndexLock
 from .providers import AuthError, Embedder
-from .store import Store, index_is_current, metadata
+from .store import COUNTERS, Store, index_is_current, metadata
 from .workflow import prompt_hash
 
 GRACE_SECONDS = 5
@@ -90,19 +90,21 @@ class KnowledgeBases:
         return out
 
     def list_knowledge_bases(self) -> list[dict]:
-        """All bases, counted by one job."""
+        """All bases, by the counters of their versions; no table is read."""
         self.evict()
         found = self._listed()
         if not found:
             return []
-        tables = {"chunks": None, "file_index": None}
-        for folder, config in found:
-            for name in tables:
-                own = self._store(folder).table(name).withColumn("kb_id", F.lit(config.id))
-                tables[name] = own if tables[name] is None else tables[name].unionByName(own)
-        bases = self.spark.createDataFrame([(config.id,) for _, config in found], "kb_id string")
-        counts = {r.kb_id: r for r in stats.kb_summary(bases, tables["chunks"], tables["file_index"]).collect()}
-        return [{"kb_id": c.id, "name": c.name, "total_files": counts[c.id].files, "total_chunks": counts[c.id].chunks, "last_indexed_at": _iso(counts[c.id].last_indexed_at), "is_contextualization_degraded": counts[c.id].degraded_files > 0, "is_indexing": IndexLock(f).info() is not None} for f, c in found]
+        counts = {config.id: self._counts(self._store(folder)) for folder, config in found}
+        return [{"kb_id": c.id, "name": c.name, "total_files": counts[c.id]["files"], "total_chunks": counts[c.id]["chunks"], "last_indexed_at": _iso(counts[c.id]["last_indexed"]), "is_contextualization_degraded": counts[c.id]["degraded_files"] > 0, "is_indexing": IndexLock(f).info() is not None} for f, c in found]
+
+    def _counts(self, store: Store) -> dict:
+        """Counters of a base, from its version file; a store from before there were counters is counted."""
+        if store.counted:
+            return {name: store.count(name) for name in COUNTERS} | {"last_indexed": store.last_indexed}
+        files, chunks = store.table("file_index"), store.table("chunks")
+        out = stats.file_counters(files).first().asDict() | stats.pending_counts(chunks).first().asDict() | stats.context_stats(files).first().asDict()
+        return out | {"chunks": chunks.count(), "files": files.count(), "last_indexed": stats.last_indexed(files).first().last_indexed_at}
 
     def _embedder(self, config: Config) -> tuple[Embedder | None, str | None]:
         """The embedder to search with and the variable of its key; None where a key is needed and missing."""
@@ -138,18 +140,20 @@ class KnowledgeBases:
 
     def _searched(self, store: Store, kb_id: str, embedder: Embedder | None, query: str, top_k: int, threshold: float, mode: str | None) -> dict:
         chunks = store.table("chunks")
+        rows, dead, n, length = of_index(self.spark, store.root, store.index) if index_is_current(store) else (None, None, 0, 0)
         vector = (embedder.embed_query(query) or None) if embedder is not None and (mode or "").lower() != "bm25" else None
-        words = bm25_indexed(store.table("postings"), store.table("indexed"), query) if index_is_current(store) else None
+        words = None if rows is None else lambda k: bm25_top(rows, query, k, dead, n, length)
         ranked = materialised(hybrid(chunks, store.table("embeddings") if vector else None, query, vector, top_k, threshold, mode, embedder.model if vector else None, words))
-        rows = hydrate(ranked.drop("search_mode"), chunks).collect()
-        said = ranked.select("search_mode").first()
-        return {"kb_id": kb_id, "results": [{k: v for k, v in r.asDict().items() if k != "rank"} for r in rows], "query": query, "search_mode": said.search_mode if said else "vector_only" if vector else "bm25_only", "total_chunks_searched": stats.chunk_count(chunks).first().total_chunks}
+        listed = ranked.collect()
+        found = hydrate(ranked.drop("search_mode"), store.near(r.chunk_id for r in listed)).collect()
+        said = listed[0] if listed else None
+        return {"kb_id": kb_id, "results": [{k: v for k, v in r.asDict().items() if k != "rank"} for r in found], "query": query, "search_mode": said.search_mode if said else "vector_only" if vector else "bm25_only", "total_chunks_searched": store.count("chunks") if store.counted else chunks.count()}
 
     def get_document_chunk(self, kb_id: str, chunk_id: str) -> dict:
         folder = self._live(kb_id)
         if folder is None:
             return {"error": f"Knowledge base '{kb_id}' not found."}
-        chunks = self._store(folder).table("chunks")
+        chunks = self._store(folder).near([chunk_id])
         found = stats.chunk_by_id(chunks, chunk_id).first()
         if found is None:
             return {"error": f"Chunk '{chunk_id}' not found."}
@@ -174,7 +178,7 @@ class KnowledgeBases:
         counts = {r.change: r["count"] for r in found.groupBy("change").count().collect()}
         paths = {k: [r.source_path for r in found.where(F.col("change") == k).orderBy("source_path").limit(limit).collect()] if counts.get(k) else [] for k in kinds}
         found.unpersist()
-        degraded = stats.context_stats(store.table("file_index")).first().degraded_files
+        degraded = self._counts(store)["degraded_files"]
         version = int(facts.get("schema_version", SCHEMA_VERSION))
         flags = J.flags(counts, facts.get("effective_prompt_hash"), prompt_hash(DEFAULT_PROMPT), bool(facts.get("system_prompt")), version, SCHEMA_VERSION, degraded)
         return {"kb_id": kb_id, **paths, **{f"{k}_count": counts.get(k, 0) for k in kinds}, **flags}
@@ -188,12 +192,11 @@ class KnowledgeBases:
         entry = next((e for e in entries if e["kb_id"] == kb_id), None)
         lock = IndexLock(folder).info()
         status = "indexing" if lock or (entry and queue.running(entry) and self._alive(None)) else "failed" if entry and entry.get("last_error") else "queued" if entry else "ready"
-        files, chunks, facts = store.table("file_index"), store.table("chunks"), metadata(store)
+        facts, counts = metadata(store), self._counts(store)
         info = {"kb_id": kb_id, "kb_name": config.name, "folder": str(folder), "status": status, "is_indexing": lock is not None, "indexing_progress": {k: lock.get(k) for k in ("current", "total", "pid", "current_stage")} if lock else None}
-        info |= {"total_chunks": stats.chunk_count(chunks).first().total_chunks, "total_files": files.count(), "last_indexed_at": _iso(stats.last_indexed(files).first().last_indexed_at)}
-        info |= stats.file_counters(files).first().asDict() | stats.pending_counts(chunks).first().asDict()
-        context = stats.context_stats(files).first()
-        info |= {"total_chunks_contextualized": context.chunks_contextualized, "total_chunks_raw": context.chunks_raw, "files_contextualization_degraded": context.degraded_files}
+        info |= {"total_chunks": counts["chunks"], "total_files": counts["files"], "last_indexed_at": _iso(counts["last_indexed"])}
+        info |= {k: counts[k] for k in ("ready", "degraded", "partially_deferred", "needs_action", "failed", "pending_embedding", "pending_contextualization")}
+        info |= {"total_chunks_contextualized": counts["chunks_contextualized"], "total_chunks_raw": counts["chunks_raw"], "files_contextualization_degraded": counts["degraded_files"]}
         stored, default = facts.get("effective_prompt_hash"), prompt_hash(DEFAULT_PROMPT)
         info |= {"system_prompt": facts.get("system_prompt"), "effective_prompt_hash": stored, "default_prompt_hash": default, "is_prompt_stale": stored is not None and stored != default and not facts.get("system_prompt")}
         for name in ("last_failed_count", "last_indexed_count", "last_skipped_count", "last_degraded_count", "last_partially_deferred_count", "last_run_duration_ms", "last_provider_health"):

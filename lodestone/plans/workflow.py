@@ -27,6 +27,7 @@ from .store import Store, contextualized, delete_paths, index_is_current, mark_f
 
 RETRIES = 3
 FAILURES_TOLD = 1000  # of a run, in its result and metadata; the store's table of failures has all
+CHUNKS_A_FILE = 8  # expected of new files, to lay out the store before they come
 LOG = logging.getLogger("lodestone")
 
 
@@ -114,11 +115,11 @@ def _embed(run: _Run, waiting: DataFrame, provider: Embedder, batch: int) -> tup
         settle(store)
         return 0, ProviderHealth.OK
     got = run.written(embed_chunks(waiting, provider, batch), f"vectors-{uuid.uuid4().hex[:6]}")
-    vectors = got.where(F.col("embedding").isNotNull()).select("chunk_id", F.lit(provider.model).alias("model"), "embedding")
-    promote(store, vectors, got.where(F.col("error").isNotNull()).select("chunk_id", "error"))
+    vectors = got.where(F.col("embedding").isNotNull()).select("chunk_id", F.lit(provider.model).alias("model"), "embedding", "source_path")
+    promote(store, vectors, got.where(F.col("error").isNotNull()).select("chunk_id", "source_path", "error"))
     n = got.agg(F.count_if("deferred").alias("late"), F.count_if("refused").alias("refused")).first()
     # A refused key is no fault of the chunks, so it costs them no try.
-    late = got.where("deferred and not refused").select(F.col("chunk_id").alias("id"))
+    late = got.where("deferred and not refused").select(F.col("chunk_id").alias("id"), "source_path")
     if n.late > n.refused:
         update_chunks(store, late, 2, "deferred")
     return n.late, ProviderHealth.EMBEDDING_UNAVAILABLE if n.refused else ProviderHealth.OK
@@ -128,7 +129,7 @@ def _retry(run: _Run, provider: Embedder, batch: int) -> tuple[int, ProviderHeal
     """All waiting chunks: those out of tries fail, and with them files that wait for nothing else."""
     store = run.store
     chunks = store.table("chunks").where("status = 2")
-    worn = chunks.where(F.col("retry_count") >= RETRIES).select("id")
+    worn = chunks.where(F.col("retry_count") >= RETRIES).select("id", "source_path")
     if not worn.isEmpty():
         update_chunks(store, worn, 4, f"retry budget exhausted ({RETRIES})")
         settle(store, worn)
@@ -143,10 +144,10 @@ def _finished(run: _Run, result: RunResult, config: Config) -> None:
     if not index_is_current(run.store):
         refresh_index(run.store)
         run.told("text index")
-    state = stats.file_counters(run.store.table("file_index")).first()
-    result.degraded, result.needs_action = state.degraded, state.needs_action
+    state = {name: run.store.count(name) for name in ("degraded", "needs_action", "failed", "partially_deferred")}
+    result.degraded, result.needs_action = state["degraded"], state["needs_action"]
     told = dict(sorted(result.failed.items()))
-    facts = {"last_indexed_count": result.indexed, "last_skipped_count": result.skipped, "last_failed_count": state.failed, "last_degraded_count": state.degraded, "last_partially_deferred_count": state.partially_deferred, "last_run_duration_ms": int(1000 * (time.monotonic() - run.began)), "last_run_completed_utc": datetime.now(UTC).isoformat(), "last_provider_health": int(result.health), "last_failed_files": _json(list(told)), "last_failed_reasons": _json(list(told.values()))}
+    facts = {"last_indexed_count": result.indexed, "last_skipped_count": result.skipped, "last_failed_count": state["failed"], "last_degraded_count": state["degraded"], "last_partially_deferred_count": state["partially_deferred"], "last_run_duration_ms": int(1000 * (time.monotonic() - run.began)), "last_run_completed_utc": datetime.now(UTC).isoformat(), "last_provider_health": int(result.health), "last_failed_files": _json(list(told)), "last_failed_reasons": _json(list(told.values()))}
     set_metadata(run.store, {k: str(v) for k, v in facts.items()})
     run.told("run", indexed=result.indexed, skipped=result.skipped, failed=result.failed_files, deferred=result.deferred, health=int(result.health))
 
@@ -185,6 +186,7 @@ def index(spark: SparkSession, root: str, config: Config, embedder: Embedder | N
         total = work.count()
         result.skipped = listed.count() - total
         run.told("scanned", total=total)
+        store.spread(store.count("chunks") + CHUNKS_A_FILE * total)
         done = 0
         for part in contents(spark, work):
             if run.cancelled():
@@ -207,7 +209,7 @@ def _unchanged(run: _Run, config: Config, result: RunResult) -> bool:
     """A run over folders in which nothing has changed, with no chunk waiting, is one job and writes nothing
     but its metadata."""
     store = run.store
-    facts = {r.key: r.value for r in store.table("index_metadata").collect()}
+    facts = store.metadata
     if facts.get("effective_prompt_hash") != prompt_hash(config.systemPrompt or DEFAULT_PROMPT) or run.cancelled():
         return False
     listed = scan(run.spark, config.sourcePaths).select("source_path", "file_hash")
@@ -255,9 +257,9 @@ def partial_run(spark: SparkSession, root: str, config: Config, kind: str, embed
         return result
     try:
         store = run.store
-        n = stats.pending_counts(store.table("chunks")).first()
-        resume = n.pending_contextualization > 0 if kind == "contextualization" else n.pending_embedding > 0 and n.pending_contextualization == 0
-        if not resume and (n.pending_embedding or n.pending_contextualization) and not force:
+        embedding, context = store.count("pending_embedding"), store.count("pending_contextualization")
+        resume = context > 0 if kind == "contextualization" else embedding > 0 and context == 0
+        if not resume and (embedding or context) and not force:
             raise RuntimeError("another partial run is not finished")
         _opened(run, config)
         if not resume:
@@ -267,9 +269,9 @@ def partial_run(spark: SparkSession, root: str, config: Config, kind: str, embed
             texts = stats.document_text(own.select("source_path", "chunk_index", "content"))
             rows = _prompted(own.join(texts.select("source_path", context_of(F.col("text")).alias("context")), "source_path"))
             contextualized(store, run.written(migrate(contextualize(rows, contextualizer or NullContextualizer()).withColumn("status", F.lit(2)), "chunks"), "context"))
-            run.told("contextualized", total=n.pending_contextualization)
+            run.told("contextualized", total=context)
         result.deferred, result.health = _retry(run, embedder or NullEmbedder(), _batch(config, batch))
-        result.indexed = store.table("file_index").where(F.col("status").isin(0, 1)).count()
+        result.indexed = store.count("ready") + store.count("degraded")
         _finished(run, result, config)
         return result
     finally:

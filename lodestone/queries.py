@@ -11,7 +11,7 @@ from . import transitions
 from .functions import text as T
 from .functions.chunker import chunked, sentence_count
 from .operators import changes, search, stats, textindex
-from .sources.tables import read, spread
+from .sources.tables import read, scratch, spread
 
 WORDS, OTHER_WORDS = "Thanedble nten queelle", "the ab einkeitü"
 K, THRESHOLD = 15, 0.2
@@ -38,9 +38,9 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """All vectors; one without a document has an id of its own, which no chunk has."""
-    names = corpus(spark, d).select("doc_id", F.col("id").alias("chunk_id"))
-    both = _t(spark, d, "embeddings").join(names, F.col("vec_id") == F.col("doc_id"), "left")
-    return both.select(F.coalesce("chunk_id", F.concat(F.lit("vec/"), F.col("vec_id").cast("string"))).alias("chunk_id"), F.lit("table").alias("model"), "embedding")
+    both = _t(spark, d, "embeddings").join(_t(spark, d, "documents").select("doc_id", "source"), F.col("vec_id") == F.col("doc_id"), "left")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return both.select(F.coalesce(T.chunk_id(path, F.lit(0)), F.concat(F.lit("vec/"), F.col("vec_id").cast("string"))).alias("chunk_id"), F.lit("table").alias("model"), "embedding")
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -88,9 +88,10 @@ def bm25_short_tokens_dropped(s, d):
 
 
 def bm25_from_index(s, d):
-    """The same search over an index with positions, without a look at the texts."""
-    rows = textindex.indexed_rows(_searched(corpus(s, d, True)))
-    return _rounded(search.top(textindex.bm25_indexed(textindex.positions(rows), rows, WORDS), K))
+    """The same search over a persisted word index, without a look at the texts."""
+    place = scratch(s, "postings")
+    textindex.laid_out(textindex.postings(textindex.indexed_rows(_searched(corpus(s, d, True))))).write.parquet(place)
+    return _rounded(textindex.bm25_top(s.read.schema(textindex.POSTINGS).parquet(place), WORDS, K))
 
 
 def knn_cosine_topk(s, d):
@@ -109,7 +110,7 @@ def rrf_fusion(s, d):
 
 def hybrid_search(s, d):
     c = corpus(s, d)
-    words = search.bm25_scores(_searched(corpus(s, d, True)), WORDS)
+    words = lambda k: search.bm25_topk(_searched(corpus(s, d, True)), WORDS, k)
     return search.hydrate(search.hybrid(c, vectors(s, d), WORDS, query_vector(s, d), K, THRESHOLD, words=words), c).withColumn("score", F.round(F.col("score").cast("double"), 5))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 2
+LAYOUT = 2  # of the files of a store
 
 
 class ChunkStatus(IntEnum):
@@ -42,17 +43,15 @@ class FolderClass:
 
 
 CHUNKS = "id string, source_path string, chunk_index int, content string, enriched string, char_offset int, metadata string, status int, is_contextualized boolean, last_error string, retry_count int"
-EMBEDDINGS = "chunk_id string, model string, embedding array<float>"
+EMBEDDINGS = "chunk_id string, model string, embedding array<float>, norm double, source_path string"
 FILES = "source_path string, file_hash string, indexed_at timestamp, status int, chunks_raw int, chunks_contextualized int, chunks_pending int, last_error string, last_error_stage string"
 METADATA = "key string, value string"
 SCAN = "source_path string, file_hash string"
-POSTINGS = "trigram string, chunk_id string, field int, positions array<int>, dl int"
-INDEXED = "chunk_id string, dl int, h bigint"
 FAILURES = "source_path string, error string"
-TABLES = {"failures": FAILURES, "postings": POSTINGS, "indexed": INDEXED, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "file_index": FILES, "index_metadata": METADATA}
+TABLES = {"failures": FAILURES, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "file_index": FILES, "index_metadata": METADATA}
 
 #: What a column that an older table lacks is filled with, as SQL over the older table.
-_DEFAULTS = {"enriched": "content", "metadata": "'{}'", "status": "0", "is_contextualized": "true", "retry_count": "0", "char_offset": "0", "chunks_raw": "0", "chunks_contextualized": "0", "chunks_pending": "0"}
+_DEFAULTS = {"enriched": "content", "metadata": "'{}'", "status": "0", "is_contextualized": "true", "retry_count": "0", "char_offset": "0", "chunks_raw": "0", "chunks_contextualized": "0", "chunks_pending": "0", "norm": "sqrt(aggregate(embedding, 0d, (s, x) -> s + cast(x as double) * cast(x as double)))"}
 
 
 def migrate(df: DataFrame, name: str) -> DataFrame:
@@ -64,6 +63,8 @@ def migrate(df: DataFrame, name: str) -> DataFrame:
             c = F.col(column)
             if column == "enriched":
                 c = F.coalesce(c, F.col("content"))
+            elif column == "norm":
+                c = F.coalesce(c, F.expr(_DEFAULTS["norm"]))
         else:
             c = F.expr(_DEFAULTS.get(column, "null"))
         out.append(c.cast(kind).alias(column))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import storage_path
+from ..functions.text import path_hash, storage_path
 
 #: A parser gives a text, or a text and the facts about it that chunks carry as metadata (a transcription's
 #: model and time, say).
@@ -89,8 +89,9 @@ def scan(spark: SparkSession, roots: list[str], parsers: dict[str, Parser] | Non
 
 
 def contents(spark: SparkSession, files: DataFrame) -> Iterator[DataFrame]:
-    """(source_path, file_hash, content) of listed files, some thousands at a time: only these are opened."""
-    rows = files.select("file").toLocalIterator()
+    """(source_path, file_hash, content) of listed files, some thousands at a time: only these are opened. They come
+    in the order of the store's buckets, so that hardly any bucket is written for two of these parts."""
+    rows = files.orderBy(path_hash(F.col("source_path"))).select("file").toLocalIterator()
     while names := [(r.file,) for r in islice(rows, FILES_AT_ONCE)]:
         # names are paths, not patterns; the rows beside them are as many, so they are broadcast
         read = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for (n,) in names]).select(F.col("path").alias("file"), "content")

@@ -3,26 +3,18 @@ transition and returns the state of chunks, vectors and files after it; its SQL
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .plans import store as S
-from .plans.queue import Entry, merge, position
 from .plans.store import Store
+from .sources.tables import scratch
 
 KINDS = ("contextualization", "embedding")
 RAW = "conv_id % 3 = 0"
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base}/store-{uuid.uuid4().hex}"
-
-
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"))
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.col("turn").cast("int").alias("turn")).distinct()
@@ -31,7 +23,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 def _made(spark: SparkSession, d: str) -> tuple[Store, DataFrame]:
     """A store with every chunk state, and the turns that its chunks stand for."""
-    turns, store = _turns(spark, d), Store(spark, _scratch(spark))
+    turns, store = _turns(spark, d), Store(spark, scratch(spark, "store"))
     n = F.col("n")
     chunks = turns.select("id", "source_path", F.col("turn").alias("chunk_index"), F.concat(F.lit("text "), F.col("turn").cast("string")).alias("content"), (n % 6).alias("status"), (n % 4).alias("retry_count"), (n % 3 == 0).alias("is_contextualized"))
     vectors = turns.where("n % 6 = 0").select(F.col("id").alias("chunk_id"), F.lit("old").alias("model"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
@@ -125,31 +117,7 @@ def contextualized_chunks(s, d):
     return _state(store)
 
 
-def metadata_pairs(s, d):
-    store, _ = _made(s, d)
-    S.set_metadata(store, {"a": "1", "b": "2", "c": "3"})
-    S.set_metadata(store, {"b": "9", "c": None})
-    return store.table("index_metadata")
-
-
-def queue_merges(s, d):
-    """Every pair of requests for one base, the second while the first waits, runs or has failed."""
-    modes, out = (None, *KINDS), []
-    for state in ("none", "waits", "runs", "failed"):
-        for first in modes:
-            for second in modes:
-                for force in (False, True):
-                    entries: list[Entry] = []
-                    if state != "none":
-                        merge(entries, "kb", first, deferred=True, now="t")
-                        entries[0]["started_at"] = "t" if state == "runs" else None
-                        entries[0]["last_error"] = "e" if state == "failed" else None
-                    said = merge(entries, "kb", second, force, now="t")
-                    out.append((state, first or "full", second or "full", force, said, len(entries), position(entries, "kb"), entries[-1]["partial_mode"] or "full", entries[-1]["force"], entries[-1]["deferred"]))
-    return s.createDataFrame(out, "state string, first string, second string, force boolean, said string, entries int, position int, mode string, forced boolean, deferred boolean")
-
-
-QUERIES = {f.__name__: f for f in (promoted, settled_without_embedder, persisted_pending, purged_paths, replaced_files, failed_files, updated_chunks, prepared_context, prepared_embedding, contextualized_chunks, metadata_pairs, queue_merges)}
+QUERIES = {f.__name__: f for f in (promoted, settled_without_embedder, persisted_pending, purged_paths, replaced_files, failed_files, updated_chunks, prepared_context, prepared_embedding, contextualized_chunks)}
 
 _BASE = """t AS (SELECT DISTINCT conv_id, turn::INT AS turn, conv_id * 31 + turn AS n, 'conv/' || conv_id AS p, substr(sha256('conv/' || conv_id), 1, 16) || '_' || turn AS id FROM conversations),
 c AS (SELECT id, p, conv_id, turn, n, (n % 6)::INT AS status, (n % 4)::INT AS tries, '' AS err, 'text ' || turn AS enriched, (n % 3 = 0)::INT AS x FROM t),
@@ -194,12 +162,4 @@ v1 AS (SELECT v.* FROM v JOIN t ON t.id = v.id WHERE t.p NOT IN (SELECT p FROM o
     "contextualized_chunks": _after("c1", "v", "f1", """, c1 AS (SELECT * REPLACE (CASE WHEN n % 6 = 5 THEN 2 ELSE status END AS status, CASE WHEN n % 6 = 5 THEN 'about' ELSE enriched END AS enriched, CASE WHEN n % 6 = 5 THEN (n % 4 <> 0)::INT ELSE x END AS x) FROM c),
 k AS (SELECT p, count(*) FILTER (WHERE x = 0) AS raw, count(*) FILTER (WHERE x = 1) AS done, count(*) AS wait FROM c1 WHERE n % 6 = 5 GROUP BY p),
 f1 AS (SELECT f.p, status, coalesce(wait, pending)::INT AS pending, note, coalesce(raw * 100 + done, m)::INT AS m FROM f LEFT JOIN k ON k.p = f.p)"""),
-    "metadata_pairs": "SELECT * FROM (VALUES ('a', '1'), ('b', '9')) v(key, value)",
-    "queue_merges": """WITH m(name, rank) AS (VALUES ('full', 3), ('contextualization', 2), ('embedding', 1)),
-q AS (SELECT s.state, a.name AS first, b.name AS second, f.force, a.rank >= b.rank AS covered FROM (VALUES ('none'), ('waits'), ('runs'), ('failed')) s(state), m a, m b, (VALUES (false), (true)) f(force))
-SELECT state, first, second, force,
-  CASE state WHEN 'none' THEN 'queued' WHEN 'failed' THEN 'queued' WHEN 'runs' THEN CASE WHEN covered THEN 'already_running' ELSE 'queued_after_current' END ELSE CASE WHEN covered THEN 'already_queued' ELSE 'upgraded' END END AS said,
-  CASE WHEN state = 'runs' AND NOT covered THEN 2 ELSE 1 END::INT AS entries, CASE WHEN state = 'runs' THEN 0 ELSE 1 END::INT AS position,
-  CASE WHEN covered AND state IN ('waits', 'runs') THEN first ELSE second END AS mode,
-  CASE WHEN state = 'runs' AND covered THEN false ELSE force END AS forced, state = 'runs' AND covered AS deferred FROM q""",
 }

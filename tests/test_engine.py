@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from lodestone.__main__ import main, run_one
 from lodestone.functions.chunker import BOUNDARY, chunks, sentences
 from lodestone.operators import textindex
-from lodestone.operators.search import bm25_scores, hydrate, rrf
+from lodestone.operators.search import bm25_scores, hydrate, rrf, top
 from lodestone.plans import clients, queue, serve
 from lodestone.plans.api import KnowledgeBases
 from lodestone.plans.keys import Keys
@@ -130,16 +130,23 @@ def test_chunks_equal_a_plain_version():
         assert chunks(text, size, overlap, most) == plain(text, size, overlap, most)
 
 
-def test_index_with_positions_equals_the_scan(spark):
+def test_word_index_equals_the_scan(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "BATCH_CHUNKS", 7)
     r = random.Random(1)
-    rows = [(f"c{k:02d}", "".join(r.choice("abAB é") for _ in range(r.randint(0, 60)))) for k in range(80)] + [("none", None), ("aab", "x")]
+    rows = [(f"c{k:02d}", "".join(r.choice("abAB é") for _ in range(r.randint(0, 60)))) for k in range(80)] + [("none", None), ("aab", "x"), ("aab x", "\x85y\u3000abab")]
     df = spark.createDataFrame(rows, "chunk_id string, content string")
-    flat = textindex.indexed_rows(df)
-    postings = textindex.laid_out(textindex.positions(flat)).persist()
+    held = textindex.laid_out(textindex.postings(textindex.indexed_rows(df))).persist()
     for query in ("aaa", "abab aab", "AB a é", "bbb bbb", "zzz", "ab"):
         want = {x.chunk_id: round(x.score, 9) for x in bm25_scores(df, query).collect()}
-        assert {x.chunk_id: round(x.score, 9) for x in textindex.bm25_indexed(postings, flat, query).collect()} == want
-    postings.unpersist()
+        assert {x.chunk_id: round(x.score, 9) for x in textindex.named(textindex.bm25_indexed(held, query), held).collect()} == want
+        for ties in (1, 1000):
+            monkeypatch.setattr(textindex, "TIES", ties)
+            best = [(x.chunk_id, round(x.score, 9), x.rank) for x in top(bm25_scores(df, query), 5).collect()]
+            assert [(x.chunk_id, round(x.score, 9), x.rank) for x in textindex.bm25_top(held, query, 5).collect()] == best
+    monkeypatch.setattr(textindex, "NAMED_WORDS", 2)  # more words are joined
+    assert textindex.bm25_top(held, "abab aab", 9).count() == 9
+    assert textindex.bm25_top(held, "aaa", 0).count() == 0 == textindex.bm25_top(held.limit(0), "aaa", 3).count()
+    held.unpersist()
 
 
 def test_fusion_of_nothing(spark):
@@ -202,7 +209,10 @@ def test_null_providers_index_ready_files_and_search(kb):
     assert len(KnowledgeBases(kb.spark, str(kb.base)).search_documents(kb.kb, "batteries")["results"]) == 2
     (kb.docs / "a.txt").unlink()
     index(kb.spark, kb.root, kb.config)
-    assert {r.chunk_id for r in kb.rows("postings")} == {r.id for r in kb.rows("chunks")} and len(kb.rows("chunks")) == 1
+    store = Store(kb.spark, kb.root)
+    rows, dead, n, _ = textindex.of_index(kb.spark, kb.root, store.index)
+    live = textindex.chunks_of(rows) if dead is None else textindex.chunks_of(rows).join(dead, ["batch", "place"], "left_anti")
+    assert [r.chunk_id for r in live.collect()] == [r.id for r in kb.rows("chunks")] and n == 1
 
 
 def test_names_are_paths_and_not_patterns(kb):
