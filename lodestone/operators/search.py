@@ -47,8 +47,8 @@ def bm25_scores(chunks: DataFrame, query: str, id: str = "chunk_id", text: str =
     return scored_by_bm25(rows.where(hit), stats, repeats, id)
 
 
-def scored_by_bm25(rows: DataFrame, stats: DataFrame, repeats: list[int], *id: str) -> DataFrame:
-    """(*id, score) of rows with dl and tf0, tf1, ... by the one row of stats: n, avgdl and df0, df1, ..."""
+def bm25_score(repeats: list[int]) -> Column:
+    """The score of a row with dl, tf0, tf1, ... and the corpus statistics n, avgdl, df0, df1, ..."""
 
     def part(k: int) -> Column:
         tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
@@ -59,7 +59,12 @@ def scored_by_bm25(rows: DataFrame, stats: DataFrame, repeats: list[int], *id: s
     total = part(0)
     for k in range(1, len(repeats)):
         total = total + part(k)
-    return rows.crossJoin(F.broadcast(stats)).select(*id, total.alias("score"))  # stats is one row
+    return total
+
+
+def scored_by_bm25(rows: DataFrame, stats: DataFrame, repeats: list[int], id: str) -> DataFrame:
+    """(id, score) of rows with dl and tf0, tf1, ... by the one row of stats: n, avgdl and df0, df1, ..."""
+    return rows.crossJoin(F.broadcast(stats)).select(id, bm25_score(repeats).alias("score"))  # stats is one row
 
 
 def top(scored: DataFrame, k: int, id: str = "chunk_id") -> DataFrame:

@@ -19,11 +19,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens
-from .search import occurrences, scored_by_bm25, top
+from .search import FLOOR_IDF, K1, B, bm25_score, occurrences, top
 
 POSTINGS = "word string, batch bigint, n int, places array<int>, tfs array<int>, dls array<int>, ph int, chunk_id string, h bigint"
 DEAD = "batch bigint, place int, dl int, segment string"
@@ -33,6 +33,8 @@ ABSORB = 4  # a refresh makes segments anew that have up to so many times its ch
 MOST_DEAD = 0.25  # of a segment's chunks; beyond, it is made anew
 FREQUENT = 256  # chunks of a batch; words in more are spread over files by batch
 TIES = 1000  # chunks beyond the best that are looked at for equal scores
+READ_WHOLE = 200_000  # live chunks; in a larger index matching words are looked up first, and only their postings are read
+HELD = 20_000  # chunks with a token, as a few numbers each, that come to the driver
 NAMED_WORDS = 2000  # matching words that are named in the filter of the postings; more are joined
 
 
@@ -158,36 +160,74 @@ def of_index(spark: SparkSession, root: str, index: dict) -> tuple[DataFrame, Da
     return rows, dead, sum(s["n"] - s["dead"] for s in index["segments"]), sum(s["dl"] - s["dead_dl"] for s in index["segments"])
 
 
-def matching(rows: DataFrame, tokens: list[str]) -> DataFrame:
-    """(word) of the words that hold a token; reads words only."""
+def holds(tokens: list[str]) -> Column:
+    """Whether a word holds a token."""
     hit = F.lit(False)
     for t in tokens:
         hit = hit | F.col("word").contains(t)
-    return rows.select("word").where(hit).distinct()
+    return hit
+
+
+def matching(rows: DataFrame, tokens: list[str]) -> DataFrame:
+    """(word) of the words that hold a token; reads words only."""
+    return rows.select("word").where(holds(tokens)).distinct()
+
+
+def found_in(rows: DataFrame, tokens: list[str], dead: DataFrame | None, n: int) -> DataFrame:
+    """(batch, place, dl, tf0, tf1, ...) of the live chunks that a token occurs in."""
+    words = matching(rows, tokens)
+    if n > READ_WHOLE:
+        named = [r.word for r in words.limit(NAMED_WORDS + 1).collect()]
+        own = rows.where(F.col("word").isin(named)) if len(named) <= NAMED_WORDS else rows.join(words, "word", "left_semi")
+    else:
+        own = rows.where(holds(tokens))
+    times = F.array(*[occurrences(F.col("word"), t).cast("long") for t in tokens])
+    each = own.select("batch", times.alias("times"), F.inline(F.arrays_zip("places", "tfs", "dls")))
+    counts = [F.sum(F.col("tfs") * F.col("times")[k]).alias(f"tf{k}") for k in range(len(tokens))]
+    found = each.groupBy("batch", F.col("places").alias("place"), F.col("dls").alias("dl")).agg(*counts)
+    return found if dead is None else found.join(dead.select("batch", "place"), ["batch", "place"], "left_anti")
+
+
+def _parsed(query: str) -> dict[str, int]:
+    """The query's tokens, folded, and how often each stands in it."""
+    return dict(Counter(t.lower() for t in query_tokens(query)))
+
+
+def _sizes(rows: DataFrame, dead: DataFrame | None, n: int | None, length: int | None) -> tuple[int, int]:
+    if n is not None and length is not None:
+        return n, length
+    live = chunks_of(rows) if dead is None else chunks_of(rows).join(dead.select("batch", "place"), ["batch", "place"], "left_anti")
+    return tuple(live.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
+
+
+def _scored(found: DataFrame, repeats: list[int], n: int, length: int) -> DataFrame:
+    """(batch, place, score) of what found_in gives, which is held for the two passes over it."""
+    found = found.persist()
+    counted = found.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(repeats))]).first()
+    known = found.select("*", F.lit(n).alias("n"), F.lit(length / max(1, n)).alias("avgdl"), *[F.lit(v).alias(k) for k, v in counted.asDict().items()])
+    return known.select("batch", "place", bm25_score(repeats).alias("score"))
+
+
+def _scored_here(found: list[Row], repeats: list[int], n: int, length: int) -> list[tuple[int, int, float]]:
+    """The same of a few rows, on the driver."""
+    dl = np.array([r.dl for r in found], float)
+    score = np.zeros(len(found))
+    for k, times in enumerate(repeats):
+        tf = np.array([r[f"tf{k}"] for r in found], float)
+        df = float((tf > 0).sum())
+        idf = np.log((n - df + 0.5) / (df + 0.5))
+        score += times * (idf if idf > 0 else FLOOR_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl * max(1, n) / length))
+    return [(r.batch, r.place, x) for r, x in zip(found, score.tolist(), strict=True)]
 
 
 def bm25_indexed(rows: DataFrame, query: str, dead: DataFrame | None = None, n: int | None = None, length: int | None = None) -> DataFrame:
     """(batch, place, score) as bm25_scores gives over the texts; named() has the chunks' ids. n and length, the
     number and summed length of the live chunks, are counted where they are not known."""
-    tokens = [t.lower() for t in query_tokens(query)]
-    distinct = list(dict.fromkeys(tokens))
+    tokens = _parsed(query)
     if not tokens:
         return rows.select("batch", F.lit(0).alias("place"), F.lit(0.0).alias("score")).limit(0)
-    if n is None or length is None:
-        live = chunks_of(rows) if dead is None else chunks_of(rows).join(dead.select("batch", "place"), ["batch", "place"], "left_anti")
-        n, length = live.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    words = matching(rows, distinct)
-    named = [r.word for r in words.limit(NAMED_WORDS + 1).collect()]
-    own = rows.where(F.col("word").isin(named)) if len(named) <= NAMED_WORDS else rows.join(words, "word", "left_semi")
-    times = F.array(*[occurrences(F.col("word"), t).cast("long") for t in distinct])
-    each = own.select("batch", times.alias("times"), F.inline(F.arrays_zip("places", "tfs", "dls")))
-    counts = [F.sum(F.col("tfs") * F.col("times")[k]).alias(f"tf{k}") for k in range(len(distinct))]
-    found = each.groupBy("batch", F.col("places").alias("place"), F.col("dls").alias("dl")).agg(*counts)
-    if dead is not None:
-        found = found.join(dead.select("batch", "place"), ["batch", "place"], "left_anti")
-    sums = found.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))])
-    stats = sums.select(F.lit(n).alias("n"), F.lit(length / max(1, n)).alias("avgdl"), "*")
-    return scored_by_bm25(found, stats, [tokens.count(t) for t in distinct], "batch", "place")
+    n, length = _sizes(rows, dead, n, length)
+    return _scored(found_in(rows, list(tokens), dead, n), list(tokens.values()), n, length)
 
 
 def named(scored: DataFrame, rows: DataFrame) -> DataFrame:
@@ -198,16 +238,31 @@ def named(scored: DataFrame, rows: DataFrame) -> DataFrame:
 
 def bm25_top(rows: DataFrame, query: str, k: int, dead: DataFrame | None = None, n: int | None = None, length: int | None = None) -> DataFrame:
     """The k best (chunk_id, score, rank) as top(bm25_scores(...), k) gives. Ids decide ties only, so they are looked
-    up for the best chunks and those of the same score as the last of them."""
-    scored = bm25_indexed(rows, query, dead, n, length)
-    digits = F.round("score", 9)
-    best = scored.orderBy(F.desc(digits)).limit(max(0, k) + TIES).select("batch", "place", "score", digits.alias("s")).collect()
-    if k <= 0 or not best:
-        return top(named(scored.limit(0), rows), 0)
-    least = best[min(k, len(best)) - 1].s
-    if len(best) == k + TIES and best[-1].s == least:
-        return top(named(scored.where(digits >= least), rows), k)
-    few = [(r.batch, r.place, r.score) for r in best if r.s >= least]
-    local = rows.sparkSession.createDataFrame(few, "batch bigint, place int, score double")
-    batches = sorted({b for b, _, _ in few})
-    return top(named(local, rows.where(F.col("batch").between(batches[0], batches[-1]) & F.col("batch").isin(batches))), k)
+    up for the best chunks and those of the same score as the last of them. Up to HELD chunks with a token are
+    scored where the query was asked, in one job; more are scored by Spark."""
+    tokens, k = _parsed(query), max(0, k)
+    best: list[tuple[int, int, float]] = []
+    if tokens and k:
+        n, length = _sizes(rows, dead, n, length)
+        found, repeats = found_in(rows, list(tokens), dead, n), list(tokens.values())
+        few = found.limit(HELD + 1).collect()
+        if len(few) <= HELD:
+            best = _scored_here(few, repeats, n, length)
+        else:
+            scored = _scored(found, repeats, n, length)
+            digits = F.round("score", 9)
+            best = [tuple(r) for r in scored.orderBy(F.desc(digits)).limit(k + TIES).collect()]
+            if round(best[k - 1][2], 9) == round(best[-1][2], 9):  # more ties than were looked at
+                return top(named(scored.where(digits >= round(best[-1][2], 9)), rows), k)
+            found.unpersist()
+    best.sort(key=lambda r: -round(r[2], 9))
+    kept = {f"{b}/{p}": x for b, p, x in best if round(x, 9) >= round(best[min(k, len(best)) - 1][2], 9)}
+    ids = []
+    if len(kept) > k + TIES:
+        return top(named(rows.sparkSession.createDataFrame(best, "batch bigint, place int, score double"), rows), k)
+    if kept:
+        batches = sorted({int(x.split("/")[0]) for x in kept})
+        own = rows.where((F.col("word") == "") & F.col("batch").between(batches[0], batches[-1])).select(F.concat_ws("/", "batch", F.col("places")[0]).alias("at"), "chunk_id")
+        ids = own.where(F.col("at").isin(list(kept))).collect()
+    order = sorted((-round(kept[r["at"]], 9), r.chunk_id, kept[r["at"]]) for r in ids)[:k]
+    return rows.sparkSession.createDataFrame([(name, score, i) for i, (_, name, score) in enumerate(order)], "chunk_id string, score double, rank int")

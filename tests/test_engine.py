@@ -136,16 +136,18 @@ def test_word_index_equals_the_scan(spark, monkeypatch):
     rows = [(f"c{k:02d}", "".join(r.choice("abAB é") for _ in range(r.randint(0, 60)))) for k in range(80)] + [("none", None), ("aab", "x"), ("aab x", "\x85y\u3000abab")]
     df = spark.createDataFrame(rows, "chunk_id string, content string")
     held = textindex.laid_out(textindex.postings(textindex.indexed_rows(df))).persist()
-    for query in ("aaa", "abab aab", "AB a é", "bbb bbb", "zzz", "ab"):
-        want = {x.chunk_id: round(x.score, 9) for x in bm25_scores(df, query).collect()}
-        assert {x.chunk_id: round(x.score, 9) for x in textindex.named(textindex.bm25_indexed(held, query), held).collect()} == want
-        for ties in (1, 1000):
-            monkeypatch.setattr(textindex, "TIES", ties)
-            best = [(x.chunk_id, round(x.score, 9), x.rank) for x in top(bm25_scores(df, query), 5).collect()]
-            assert [(x.chunk_id, round(x.score, 9), x.rank) for x in textindex.bm25_top(held, query, 5).collect()] == best
-    monkeypatch.setattr(textindex, "NAMED_WORDS", 2)  # more words are joined
-    assert textindex.bm25_top(held, "abab aab", 9).count() == 9
-    assert textindex.bm25_top(held, "aaa", 0).count() == 0 == textindex.bm25_top(held.limit(0), "aaa", 3).count()
+    for query in ("aaa", "abab aab bbb", "AB a é", "zzz"):
+        for whole in (200_000, 0):
+            monkeypatch.setattr(textindex, "READ_WHOLE", whole)
+            want = {x.chunk_id: round(x.score, 9) for x in bm25_scores(df, query).collect()}
+            assert {x.chunk_id: round(x.score, 9) for x in textindex.named(textindex.bm25_indexed(held, query), held).collect()} == want
+    best = [(x.chunk_id, round(x.score, 9), x.rank) for x in top(bm25_scores(df, "abab aab"), 5).collect()]
+    for held_here, ties, words in ((1, 1, 2), (1, 1000, 2000), (20_000, 1, 9), (20_000, 1000, 9)):  # by Spark or not; more ties are looked up, more words are joined
+        monkeypatch.setattr(textindex, "HELD", held_here)
+        monkeypatch.setattr(textindex, "TIES", ties)
+        monkeypatch.setattr(textindex, "NAMED_WORDS", words)
+        assert [(x.chunk_id, round(x.score, 9), x.rank) for x in textindex.bm25_top(held, "abab aab", 5).collect()] == best
+    assert textindex.bm25_top(held, "aaa", 0).count() == 0 == textindex.bm25_top(held.limit(0), "aaa", 3).count() == textindex.bm25_top(held, "ab", 3).count()
     held.unpersist()
 
 
