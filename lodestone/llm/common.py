@@ -57,14 +57,6 @@ def lean(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def rested(spark: SparkSession) -> SparkSession:
-    """Have every executor collect its garbage now, so that the heap of a finished step goes back to the system
-    before the next step's Python workers need memory beside it. One short task for each core."""
-    cores = spark.sparkContext.defaultParallelism
-    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
-    return spark
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, and what was
     written survives the loss of any executor. The files go when the session's file system closes."""

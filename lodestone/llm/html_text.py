@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element gives a line. The text lengths of sliding windows of lines
-surge where an article begins and dive where it ends; what lies between is kept, on every page. What elements
+surge where an article begins and dive where it ends; this chooses the region, and every line of it is kept, from
+the first to the last of the stretch around it. What elements
 and their names say only takes lines out of the count: menus, page headers and footers and reader comments
-count as empty, so that any article dives there; adverts, notices, forms and other insertions are cut out, so
+count as empty, so that any article ends there; adverts, notices, forms and other insertions are cut out, so
 that the text around them stands together. A mark of the page (article, main) is a weight: where a marked
 element holds at least as much text as the largest stretch outside, the others count as empty and marked
 lines weigh more; else the marks are ignored.
@@ -38,9 +39,11 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 EDGES = frozenset("nav footer header menu head search".split())
 INSERTS = frozenset("aside form button fieldset dialog".split())
 MARKED = frozenset(["article", "main"])
-#: Words of class, id and role, compared whole or by their beginning, that name such parts.
+#: Words of class, id and role that name such parts. A name of several words is what its last one says
+#: (cookie-notice, but not search-results), after words that say only where or in what it is.
 _EDGE_NAMES = re.compile(r"(?:^|[\s_-])(?:comment(?!ary|ator)\w*|disqus\w*|respond|repl(?:y|ies)|discussion|menus?|nav(?:bar|igation)?|breadcrumbs?|(?:site|page|main)?-?footer|masthead|(?:site|page)-header|topbar|contentinfo|pag(?:ination|er))(?:$|[\s_-])", re.I)
-_INSERT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookie\w*|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|complementary|share|sharing|newsletter\w*|subscri\w+|sign-?up|login|search|widgets?|toolbar|dialog)(?:$|[\s_-])", re.I)
+_PLACES = r"(?:[\s_-]+(?:\d\w*|\w|left|right|top|bottom|inner|outer|main|primary|secondary|sticky|fixed|small|large|mobile|desktop|box(?:es)?|block|area|wrap(?:per)?|container|content|section|unit|slot|panel|module|bar|list|items?|links?|buttons?|icons?|form|text|title|label|zone|group|row|col(?:umn)?))*"
+_INSERT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookie\w*|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|complementary|share|sharing|newsletter\w*|subscri\w+|sign-?up|login|search|widgets?|toolbar|dialog)" + _PLACES + r"(?=$|\s)", re.I)
 #: Elements that end where the next one of a kind begins, or where their parent ends.
 _SHORT = frozenset("p li dt dd tr td th option".split())
 NOT, CUT, EDGE = 0, 1, 2  # article text may be here; never, and text around it stands together; never, and an article ends here
@@ -63,14 +66,37 @@ def _part(name: str, attributes: str, marked: int) -> int:
     return CUT if _HIDDEN.search(attributes) or words and _INSERT_NAMES.search(words) else NOT
 
 
+class _Open(list):
+    """Names of open elements, with their counts, so that looking for one does not walk through all."""
+
+    def __init__(self):
+        self.counts: dict[str, int] = {}
+
+    def append(self, name: str) -> None:
+        super().append(name)
+        self.counts[name] = self.counts.get(name, 0) + 1
+
+    def pop(self) -> str:
+        name = super().pop()
+        self.counts[name] -= 1
+        return name
+
+    def clear(self) -> None:
+        super().clear()
+        self.counts.clear()
+
+    def __contains__(self, name: str) -> bool:
+        return self.counts.get(name, 0) > 0
+
+
 def lines_of(html: str) -> list[tuple[str, float, int, int]]:
     """Per block its text, share of link text, NOT, CUT or EDGE, and the number from 1 on of the outermost
     marked element that it stands in, 0 if in none."""
     out: list[tuple[str, float, int, int]] = []
     parts: list[str] = []
     linked = total = 0
-    opened: list[str] = []  # open blocks outside of skipped ones
-    skip: list[str] = []  # open elements from the outermost skipped one on
+    opened = _Open()  # open blocks outside of skipped ones
+    skip = _Open()  # open elements from the outermost skipped one on
     kind = since = 0  # what the skipped element is, and the number of lines before it
     marked = link = number = 0
     at, n = 0, len(html)
@@ -186,13 +212,8 @@ def main_text(html: str) -> str:
     runs = runs_of(sizes)
     windows = {k: sum(sizes[k : min(k + WINDOW, b)]) for a, b in runs for k in range(a, b)}
     least = min(SURGE, SHARE * max(windows.values()))
-    out: list[str] = []
-    for a, b in runs:
-        # The text surges at its first window of that size, and dives behind the last one.
-        full = [k for k in range(a, b) if windows[k] >= least]
-        if full:
-            out += [lines[k][0] for k in range(full[0], min(full[-1] + WINDOW, b))]
-    return "\n".join(out)
+    # A stretch in which text surges is kept from end to end, headings before the surge and short lines behind the dive too.
+    return "\n".join(lines[k][0] for a, b in runs if any(windows[k] >= least for k in range(a, b)) for k in range(a, b))
 
 
 _EXTRACTED = "text string, n_chars long"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gathered, materialise, mix, rested, small, text_blocks, text_column, unused
+from .common import U64, gathered, materialise, mix, small, text_blocks, text_column, unused
 from .components import components
 from .shingles import node_of, shingle_sets
 
@@ -345,11 +345,9 @@ def _rooted(docs: DataFrame) -> DataFrame:
     light = boundary(1 + float((seen.astype(float) ** 2).sum()) / max(1, total))
 
     listed = docs.select("text").mapInArrow(_postings(tokens, seen, light), _LISTED)
-    rested(docs.sparkSession)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     lists = materialise(listed.repartition(parts, "key").sortWithinPartitions("key", "pos", "node").mapInArrow(_runs, _RUNS), "lists")
 
-    rested(docs.sparkSession)
     named = facts.where("node is not null").groupBy("node")
     holders = materialise(named.agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ["n", *_BITMAP, "wide"]]), "holders")
     fits = _possible(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))

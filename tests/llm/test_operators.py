@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import html_text, jaccard, langid, mixing, pieces, quality_cnn, rules, sharding, telephony, urls
 
@@ -114,6 +115,31 @@ def test_pieces_equal_the_library(spark, odd, none):
     assert pieces.encode_texts(none, ["doc_id"]).count() == 0
 
 
+def test_urls_of_many_rules_in_one_folder(spark, monkeypatch):
+    """Rules of one folder share no key that grows with them."""
+    import re
+
+    r = random.Random(7)
+    rules = [(f"example.com/en/{k}", "allow" if k % 3 else "block") for k in range(3000)] + [("com", "block"), ("com/en/", "allow"), ("example.com/", "allow"), ("/en", "block"), ("org", "allow")]
+    pages = [(k, f"http://{r.choice(['', 'a.', 'a.b.'])}{r.choice(['example.com', 'com', 'org', 'x.net', ''])}/{r.choice(['en/', 'de/', ''])}{r.choice(['', '7', '77', '777x', '2999/a/b', str(k)])}?q") for k in range(400)] + [(900, None), (901, "no")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+
+    def plain(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        cut = [(x, x[0].partition("/")[0]) for x in rules]
+        fits = [x for x, h in cut if path.startswith(x[0][len(h) :]) and (h == host or host.endswith("." + h))]
+        return min(fits, key=lambda x: (-len(x[0]), x[1] != "allow", x[0]), default=(None, "allow"))
+
+    for limit in (200_000, 0):  # rules by broadcast, or by shuffle
+        monkeypatch.setattr(urls, "BROADCAST_RULES", limit)
+        got = {x.page_id: (x.rule, x.verdict) for x in urls.judge(df, urls.rules_frame(spark, rules), ["page_id"]).collect()}
+        assert got == {i: plain(u) for i, u in pages}
+    ready = urls._prepared(urls.rules_frame(spark, rules))
+    assert urls.expressions(df.select(F.lit("example.com").alias("host"), F.lit("/en/777x").alias("path")).limit(1), ready).count() <= 3 * 6
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://EXAMPLE.com/en/7x?q"), (4, "http://a.example.com/en/8"), (5, "http://com/en/"), (6, "http://notcom/en/"), (7, "ftp://x.net/de"), (8, "http://x.net/de/#f"), (9, "http://www.example.net/de/81"), (10, "http://a.b.org/es/1"), (10, "http://a.b.org/es/1"), (11, "http://com?en/"), (12, "://")]
     df = spark.createDataFrame([(i, u, "x") for i, u in rows], "page_id long, url string, host string")
@@ -178,10 +204,17 @@ def test_html_windows_decide_on_marked_pages():
     page = "<body>" + cards + "<hr><div class=ad>Buy</div>" + "".join(f"<div>{x}</div>" for x in body)
     got = html_text.main_text(page).split("\n")
     assert all(x.strip() in got for x in body)
-    # inside a mark text begins at the surge and ends at the dive
+    # inside a mark the whole stretch around a surge is kept
     edges = "".join(f"<p>e{k}" for k in range(8))
     got = html_text.main_text(f"<article>{edges}{''.join(f'<p>{x}' for x in body)}{edges}</article><p>Outside").split("\n")
-    assert got == ["e6", "e7", *(x.strip() for x in body), "e0", "e1"]
+    names = [f"e{k}" for k in range(8)]
+    assert got == [*names, *(x.strip() for x in body), *names]
+    long = "word " * 60
+    page = f"<article><p>{long}<p>{long}<ul>{''.join(f'<li>{x}' for x in names)}</ul><p>End.</article>"
+    assert html_text.main_text(page).split("\n")[2:] == [*names, "End."]
+    page = f"<body><nav>menu</nav><h1>Title</h1><p>By A<p>{long}<p>{long}<p>d<p>The end.<footer>f</footer>"
+    got = html_text.main_text(page).split("\n")
+    assert got[:2] == ["Title", "By A"] and got[-2:] == ["d", "The end."] and len(got) == 6
     assert html_text.main_text("<article><p>Only so short.<div class=ad>Buy</div><p>End.</article><p>Out") == "Only so short.\nEnd."
 
 
