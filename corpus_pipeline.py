@@ -9,39 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, langid, mixing, pieces, quality_cnn
-from lodestone.llm.common import lean, materialise, rested, table
+from lodestone.llm.common import lean, materialise, table
 
 PLACE = ["slot", "place_in_block"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the convolutional network does not reject."""
-    rested(lean(spark))
+    lean(spark)
     net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality_cnn.score_column(F.col("text"), net) >= quality_cnn.THRESHOLD)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a language; those without letters or with a narrow margin go."""
-    rested(lean(spark))
+    lean(spark)
     return docs.where(~langid.language_column(F.col("text"), langid.fit(docs)).rejected)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates, that with the least doc_id, and all other rows."""
-    rested(lean(spark))
+    lean(spark)
     return jaccard.survivors(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds slot and place_in_block: any prefix in their order follows the target weights of the sources."""
-    rested(lean(spark))
+    lean(spark)
     return mixing.schedule(docs, mixing.WEIGHTS).select(*[c for c in docs.columns if c not in PLACE], *PLACE)
 
 
 def sentencepiece_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids beside the place in the mix, which written files do not keep by their order."""
-    rested(lean(spark))
+    lean(spark)
     return pieces.encode_texts(docs, ["doc_id", "lang", "source", *[c for c in PLACE if c in docs.columns]])
 
 
