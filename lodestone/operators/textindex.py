@@ -143,7 +143,7 @@ def refreshed(spark: SparkSession, root: str, index: dict, changed: DataFrame, r
         kept = [s for s in kept if s["folder"] not in gone]
     segments, died = kept, None
     if count is None or size:
-        laid_out(postings(fresh, number)).write.option("parquet.bloom.filter.enabled#word", "true").parquet(f"{root}/{folder}")
+        laid_out(postings(fresh, number)).write.parquet(f"{root}/{folder}")
         added = _segment(spark, root, {"folder": folder}).where("word = ''").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("dls")[0]), F.lit(0)).alias("dl")).first()
         if added.n:
             segments = [*kept, {"folder": folder, "n": added.n, "dl": added.dl, "dead": 0, "dead_dl": 0}]
