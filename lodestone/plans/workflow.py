@@ -22,7 +22,7 @@ from ..operators.changes import orphans, work_set
 from ..schema import SCHEMA_VERSION, ProviderHealth, migrate
 from ..sources.files import Config, contents, parse, scan
 from .lock import IndexLock
-from .providers import Contextualizer, Embedder, NullContextualizer, NullEmbedder, contextualize, embed_chunks
+from .providers import EMBEDDED, Contextualizer, Embedder, Ledger, NullContextualizer, NullEmbedder, asked_of, by_file, contextualize, embed_windows
 from .store import Store, contextualized, delete_paths, index_is_current, mark_files_failed, persist_pending, prepare_partial, promote, refresh_index, set_metadata, settle, update_chunks
 
 RETRIES = 3
@@ -59,6 +59,7 @@ class _Run:
         self.lock = IndexLock(Path(root).parent)
         self.scratch = f"{root}/scratch/{uuid.uuid4().hex}"
         self.log = Path(root).parent / "timing.log"
+        self.contexts: Ledger | None = None  # of the contextualizer that was asked
         self.failures: list[DataFrame] = []  # of each part, in the scratch folder
 
     def held(self) -> bool:
@@ -79,6 +80,26 @@ class _Run:
         df.write.parquet(f"{self.scratch}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.scratch}/{name}")
 
+    def ledger(self, task: str, model: str) -> Ledger:
+        return Ledger(self.spark, self.root, task, model)
+
+    def answers(self, provider: Contextualizer):
+        """Has the answers to prompts from the ledger, and from the provider what it does not have."""
+        name = f"{type(provider).__name__}/{getattr(provider, 'model', '')}"
+        ledger, schema = self.ledger("context", name), "key string, answer string"
+        self.contexts = ledger
+
+        def ask(prompts: DataFrame, call) -> DataFrame:
+            known = ledger.kept(schema)
+            if known is None:
+                return ledger.asked(prompts, ["key"], call, schema)[0]
+            known = known.where(F.col("answer").isNotNull()).dropDuplicates(["key"])
+            known = self.written(prompts.join(known, "key").select("key", "answer"), f"answers-{uuid.uuid4().hex[:6]}")
+            got, _ = ledger.asked(prompts.join(known, "key", "left_anti"), ["key"], call, schema)
+            return known.unionByName(got)
+
+        return ask
+
     def cancelled(self) -> bool:
         return Path(self.root, "cancel").exists() or (Path(self.root).parent / "cancel").exists()
 
@@ -99,22 +120,41 @@ def _prompted(rows: DataFrame) -> DataFrame:
     return rows.join(total, "source_path").withColumn("prompt", prompt_of(F.col("content"), F.col("context"), name, F.col("chunk_index"), F.col("total")))
 
 
-def build_chunks(texts: DataFrame, provider: Contextualizer, max_chars: int = 0) -> DataFrame:
-    """(source_path, text, metadata) -> rows of the table chunks, enriched where the provider answers."""
+def prompted_chunks(texts: DataFrame, max_chars: int = 0) -> DataFrame:
+    """(source_path, text, metadata) -> chunks with their prompts."""
     texts = texts if "metadata" in texts.columns else texts.withColumn("metadata", F.lit("{}"))
     rows = chunked(texts.select("source_path", "metadata", context_of(F.col("text")).alias("context"), "text"), max_chars=max_chars)
-    rows = rows.withColumn("id", chunk_id(F.col("source_path"), F.col("chunk_index")))
-    return migrate(contextualize(_prompted(rows), provider), "chunks")
+    return _prompted(rows.withColumn("id", chunk_id(F.col("source_path"), F.col("chunk_index"))))
+
+
+def _enriched(run: _Run, rows: DataFrame, provider: Contextualizer, name: str) -> DataFrame:
+    """Chunks with prompts -> rows of the table chunks, enriched where the provider answers. Answers are kept in the
+    ledger until finish."""
+    if not isinstance(provider, NullContextualizer):
+        rows = run.written(rows, f"{name}-prompts")
+    return run.written(migrate(contextualize(rows, provider, run.answers(provider)), "chunks"), name)
 
 
 def _embed(run: _Run, waiting: DataFrame, provider: Embedder, batch: int) -> tuple[int, ProviderHealth]:
-    """Embed waiting chunks. What the provider answers is written once before it is used, so that a later
-    retry of a task calls nothing again. Returns the number of deferred chunks and the provider's health."""
+    """Embed waiting chunks. What the provider answers is kept in the ledger before it is used, so that neither a
+    task that is run again nor a run after one that died calls for it again. Returns the number of deferred chunks
+    and the provider's health."""
     store = run.store
     if isinstance(provider, NullEmbedder):
         settle(store)
         return 0, ProviderHealth.OK
-    got = run.written(embed_chunks(waiting, provider, batch), f"vectors-{uuid.uuid4().hex[:6]}")
+    ledger, asked = run.ledger("embed", provider.model), asked_of(waiting, provider)
+    before, known, left = ledger.kept(EMBEDDED), None, asked
+    if before is not None:
+        before = before.where(F.col("embedding").isNotNull()).select("key", "embedding").dropDuplicates(["key"])
+        known = run.written(asked.join(before, "key").select(F.col("id").alias("chunk_id"), "source_path", "key", "embedding", F.lit(None).cast("string").alias("error"), F.lit(False).alias("deferred"), F.lit(False).alias("refused")), f"known-{uuid.uuid4().hex[:6]}")
+        left = asked.join(known.select(F.col("chunk_id").alias("id")), "id", "left_anti")
+    window = left.withColumn("window", F.floor(F.col("chunk_index") / max(1, batch)))
+    got, unasked = ledger.asked(window, ["source_path", "window"], lambda rows: embed_windows(rows.drop("window"), provider, batch), EMBEDDED, lambda rows: not rows.where("refused").isEmpty())
+    every = got if known is None else known.select(*got.columns).unionByName(got)
+    if unasked is not None:
+        every = every.unionByName(unasked.select(F.col("id").alias("chunk_id"), "source_path", "key", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("deferred"), F.lit(True).alias("refused")))
+    got = by_file(every)
     vectors = got.where(F.col("embedding").isNotNull()).select("chunk_id", F.lit(provider.model).alias("model"), "embedding", "source_path")
     promote(store, vectors, got.where(F.col("error").isNotNull()).select("chunk_id", "source_path", "error"))
     n = got.agg(F.count_if("deferred").alias("late"), F.count_if("refused").alias("refused")).first()
@@ -122,6 +162,8 @@ def _embed(run: _Run, waiting: DataFrame, provider: Embedder, batch: int) -> tup
     late = got.where("deferred and not refused").select(F.col("chunk_id").alias("id"), "source_path")
     if n.late > n.refused:
         update_chunks(store, late, 2, "deferred")
+    if not n.late:
+        ledger.settle()
     return n.late, ProviderHealth.EMBEDDING_UNAVAILABLE if n.refused else ProviderHealth.OK
 
 
@@ -237,8 +279,9 @@ def _index_part(run: _Run, result: RunResult, parsed: DataFrame, config: Config,
     result.indexed += counts.good
     if counts.good:
         ready = parsed.where(F.col("error").isNull() & (F.length(trimmed(F.col("text"))) > 0))
-        chunks = run.written(build_chunks(ready, provider, config.embedding.maxChunkChars), f"{name}-chunks")
-        persist_pending(run.store, chunks, ready)
+        persist_pending(run.store, _enriched(run, prompted_chunks(ready, config.embedding.maxChunkChars), provider, f"{name}-chunks"), ready)
+        if run.contexts:
+            run.contexts.settle()
 
 
 def partial(spark: SparkSession, root: str, config: Config, kind: str, embedder: Embedder | None = None, contextualizer: Contextualizer | None = None, force: bool = False, batch: int = 0) -> int:
@@ -268,7 +311,9 @@ def partial_run(spark: SparkSession, root: str, config: Config, kind: str, embed
             own = store.table("chunks").where("status = 5")
             texts = stats.document_text(own.select("source_path", "chunk_index", "content"))
             rows = _prompted(own.join(texts.select("source_path", context_of(F.col("text")).alias("context")), "source_path"))
-            contextualized(store, run.written(migrate(contextualize(rows, contextualizer or NullContextualizer()).withColumn("status", F.lit(2)), "chunks"), "context"))
+            contextualized(store, _enriched(run, rows.withColumn("status", F.lit(2)), contextualizer or NullContextualizer(), "context"))
+            if run.contexts:
+                run.contexts.settle()
             run.told("contextualized", total=context)
         result.deferred, result.health = _retry(run, embedder or NullEmbedder(), _batch(config, batch))
         result.indexed = store.count("ready") + store.count("degraded")

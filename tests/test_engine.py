@@ -9,17 +9,18 @@ import sys
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark import cloudpickle
 
 from lodestone.__main__ import main, run_one
 from lodestone.functions.chunker import BOUNDARY, chunks, sentences
 from lodestone.operators import textindex
 from lodestone.operators.search import bm25_scores, hydrate, rrf, top
-from lodestone.plans import clients, queue, serve
+from lodestone.plans import clients, providers, queue, serve
 from lodestone.plans.api import KnowledgeBases
 from lodestone.plans.keys import Keys
 from lodestone.plans.lock import IndexLock
-from lodestone.plans.providers import AuthError, HashingEmbedder, KeywordContextualizer, embed_chunks
+from lodestone.plans.providers import AuthError, HashingEmbedder, KeywordContextualizer, asked_of, by_file, embed_windows
 from lodestone.plans.store import Store, index_is_current, migrate, replace_files
 from lodestone.plans.workflow import RETRIES, index, partial_run, prompt_hash
 from lodestone.sources import files
@@ -284,12 +285,48 @@ def test_a_file_over_several_frames_is_deferred_as_one(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = embed_chunks(df, Half(), 100).collect()
+        got = by_file(embed_windows(asked_of(df, Half()), Half(), 100).persist()).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert len(got) == 61 and {r.source_path: r.deferred for r in got} == {"p": True, "q": False} and len({r.deferred for r in got if r.source_path == "p"}) == 1
 
 
+class Counting(HashingEmbedder):
+    """Notes every call in a folder; dies at one of them."""
+
+    def __init__(self, folder, dies_at=0):
+        super().__init__()
+        self.folder, self.dies_at = str(folder), dies_at
+
+    def embed(self, texts):
+        if self.dies_at and len(os.listdir(self.folder)) >= self.dies_at:
+            raise SystemExit
+        open(f"{self.folder}/{uuid.uuid4().hex}-{len(texts)}", "w").close()
+        return super().embed(texts)
+
+
+def test_a_run_that_died_asks_for_the_rest_only(kb, tmp_path, monkeypatch):
+    monkeypatch.setattr(providers, "ROUND", 4)
+    kb.put("a.txt", "".join(f"Sentence number {k} is here. " for k in range(700)))
+    (tmp_path / "calls").mkdir()
+    with pytest.raises(Exception):  # noqa: B017
+        index(kb.spark, kb.root, kb.config, Counting(tmp_path / "calls", 6), batch=1)
+    first = os.listdir(tmp_path / "calls")
+    n = len(kb.rows("chunks"))
+    kept = sum(f.endswith("_SUCCESS") for _, _, names in os.walk(f"{kb.root}/ledger") for f in names)
+    assert len(first) == 6 < n and kept > 0 and kb.rows("embeddings") == []
+    assert index(kb.spark, kb.root, kb.config, Counting(tmp_path / "calls"), batch=1).deferred == 0
+    again = len(os.listdir(tmp_path / "calls")) - 6
+    assert n - 6 <= again < n and len(kb.rows("embeddings")) == n  # what was answered in finished rounds is not asked again
+    assert not os.path.exists(f"{kb.root}/ledger") or not any(os.walk(f"{kb.root}/ledger/embed"))
+
+
+def test_windows_of_a_long_file_are_spread(spark):
+    rows = spark.range(4000).selectExpr("concat('i', id) AS id", "'p' AS source_path", "cast(id AS int) AS chunk_index", "'text' AS text", "'k' AS key")
+    plan = embed_windows(rows, HashingEmbedder(), 10)
+    assert len({r[0] for r in plan.select(F.spark_partition_id()).distinct().collect()}) == spark.sparkContext.defaultParallelism
+
+
 class Seeing(KeywordContextualizer):
     """Says whether the prompt holds the document's context."""
 
