@@ -40,9 +40,15 @@ def storage_path(relative: Column, source_index: Column | None = None) -> Column
 
 def context_of(text: Column) -> Column:
     """Document context for a prompt: whole, head and tail, or head only; null for an empty text."""
-    n, head = F.length(text), F.substring(text, 1, CONTEXT_PART)
-    middle = F.concat(head, F.lit("\n...\n"), F.right(text, F.lit(CONTEXT_PART)))
-    return F.when(n == 0, F.lit(None)).when(n <= WHOLE_CONTEXT, text).when(n <= LARGE_CONTEXT, middle).otherwise(F.concat(head, F.lit("\n...(truncated)")))
+    return context_from(F.length(text), text, text)
+
+
+def context_from(n: Column, head: Column, tail: Column) -> Column:
+    """The same of a text of n characters, of which head has the first WHOLE_CONTEXT and tail the last CONTEXT_PART
+    at least; tail is looked at for texts of middle length only."""
+    first = F.substring(head, 1, CONTEXT_PART)
+    middle = F.concat(first, F.lit("\n...\n"), F.right(tail, F.lit(CONTEXT_PART)))
+    return F.when(n == 0, F.lit(None)).when(n <= WHOLE_CONTEXT, head).when(n <= LARGE_CONTEXT, middle).otherwise(F.concat(first, F.lit("\n...(truncated)")))
 
 
 def prompt_of(chunk: Column, context: Column, name: Column, index: Column, total: Column) -> Column:

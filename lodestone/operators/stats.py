@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import CONTEXT_PART, LARGE_CONTEXT, WHOLE_CONTEXT, context_from
+
 
 def chunk_count(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("total_chunks"))
@@ -67,3 +69,17 @@ def document_text(chunks: DataFrame, key: str = "source_path") -> DataFrame:
     """Texts put together again from their chunks in order."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
     return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x.content), "\n\n").alias("text"))
+
+
+def document_context(chunks: DataFrame, key: str = "source_path") -> DataFrame:
+    """(key, context) as context_of(document_text) gives, without gathering a long document. Its length is a sum; as
+    two characters stand between chunks, so many first chunks hold the head, and so many last ones the tail."""
+    own = chunks.where(F.col("content").isNotNull()).select(key, "chunk_index", "content")
+    sizes = own.groupBy(key).agg((F.sum(F.length("content")) + 2 * (F.count("*") - 1)).alias("n"))
+    n, between = F.col("n"), F.lit("\n\n")
+    of = lambda which: own.join(sizes.where(which).select(key), key, "left_semi")
+    least = lambda rows, *order: rows.withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_p") <= CONTEXT_PART // 2)
+    head = document_text(least(of(n > WHOLE_CONTEXT), "chunk_index", "content"), key).select(key, F.concat("text", between).alias("head"))
+    tail = document_text(least(of((n > WHOLE_CONTEXT) & (n <= LARGE_CONTEXT)), F.desc("chunk_index"), F.desc("content")), key).select(key, F.concat(between, "text").alias("tail"))
+    head = head.unionByName(document_text(of(n <= WHOLE_CONTEXT), key).withColumnRenamed("text", "head"))
+    return sizes.join(head, key).join(tail, key, "left").select(key, context_from(n, F.col("head"), F.col("tail")).alias("context"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Iterable
 from datetime import UTC, datetime
@@ -24,7 +25,8 @@ from ..functions.text import path_hash
 from ..operators import textindex as T
 from ..schema import LAYOUT, TABLES, migrate
 
-VERSIONS = "versions"
+VERSIONS, LEASES = "versions", "leases"
+KEPT_VERSIONS = 10  # of a vacuum, beside leased ones
 KEYED = ("chunks", "embeddings", "file_index")
 HASHES = 1 << 16  # values of the hash; a bucket is a range of them
 FEWEST, MOST = 16, HASHES  # buckets
@@ -252,6 +254,79 @@ class Store:
         self._write_all(list(tables), None, tables)
         return self._publish()
 
+    def lease(self, seconds: float, now: float | None = None) -> str:
+        """Have vacuum() keep this version for some time; returns the lease's name."""
+        name = f"{LEASES}/{uuid.uuid4().hex}.json"
+        out = self._fs.create(self._path(name), False)
+        out.write(bytearray(json.dumps({"version": self.version, "expires": (time.time() if now is None else now) + seconds}).encode()))
+        out.close()
+        return name
+
+    def release(self, lease: str) -> None:
+        self._fs.delete(self._path(lease), False)
+
+    def _listed(self, folder: str) -> list[str]:
+        where = self._path(folder)
+        return [f.getPath().getName() for f in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def vacuum(self, keep: int = KEPT_VERSIONS, now: float | None = None) -> int:
+        """Remove what neither the last versions nor a leased one names: version files, buckets and index segments.
+        Leases that have run out go as well. What a writer is at has a later number and stays. Returns the number of
+        folders and version files removed."""
+        if self.read_only:
+            raise PermissionError("the store was opened for reading")
+        self.refresh()
+        numbers, leased, gone = self._numbers(), set(), 0
+        for name in self._listed(LEASES):
+            said = json.loads(self._text(f"{LEASES}/{name}") or "{}")
+            if said.get("expires", 0) > (time.time() if now is None else now):
+                leased.add(said["version"])
+            else:
+                self.release(f"{LEASES}/{name}")
+        whole = [n for n in numbers if n <= self.version and self._read(n)]
+        kept = set(whole[: max(1, keep)]) | (leased & set(whole))
+        named: set[str] = set()
+        for n in kept:
+            found = self._read(n)
+            named |= set(found["tables"].values()) | {f"{folder}/{name}/b={b}" for name, own in found.get("keyed", {}).items() for folder, all_ in own.items() for b in all_}
+            index = found.get("index") or T.EMPTY
+            named |= {s["folder"] for s in index["segments"]} | {index["dead"]}
+        above = {p[:i] for p in named if p for i, c in enumerate(p) if c == "/"}
+
+        def cleared(folder: str) -> None:
+            nonlocal gone
+            for name in self._listed(folder):
+                path = f"{folder}/{name}"
+                if path in above:
+                    cleared(path)
+                elif path not in named and "=" in name or path not in named and "/" not in folder:
+                    self._fs.delete(self._path(path), True)
+                    gone += 1
+
+        for n in numbers:
+            if n < self.version and n not in kept:
+                self._fs.delete(self._path(f"{VERSIONS}/v{n}.json"), False)
+                gone += 1
+        for name in self._listed(""):
+            if (m := re.fullmatch(r"v(\d+)-[0-9a-f]{8}", name)) and int(m[1]) <= self.version:
+                if name in above:
+                    cleared(name)
+                else:
+                    self._fs.delete(self._path(name), True)
+                    gone += 1
+        for name in self._listed("index"):
+            if (m := re.match(r"s(\d+)-", name)) and int(m[1]) < self.index["next"] and f"index/{name}" not in named:
+                self._fs.delete(self._path(f"index/{name}"), True)
+                gone += 1
+        return gone
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)

@@ -309,8 +309,7 @@ def partial_run(spark: SparkSession, root: str, config: Config, kind: str, embed
             prepare_partial(store, kind)
         if kind == "contextualization":
             own = store.table("chunks").where("status = 5")
-            texts = stats.document_text(own.select("source_path", "chunk_index", "content"))
-            rows = _prompted(own.join(texts.select("source_path", context_of(F.col("text")).alias("context")), "source_path"))
+            rows = _prompted(own.join(stats.document_context(own), "source_path"))
             contextualized(store, _enriched(run, rows.withColumn("status", F.lit(2)), contextualizer or NullContextualizer(), "context"))
             if run.contexts:
                 run.contexts.settle()

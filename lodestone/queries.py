@@ -212,6 +212,11 @@ def doc_context(s, d):
     return corpus(s, d).select("doc_id", T.context_of(F.col("content")).alias("context"))
 
 
+def chunks_context(s, d):
+    """Contexts of conversations, from their turns."""
+    return stats.document_context(turns(s, d))
+
+
 def prompts(s, d):
     c = turns(s, d)
     n = c.groupBy("source_path").agg(F.count("*").alias("total"))
@@ -256,7 +261,7 @@ def scope_ranks(s, d):
     return corpus(s, d).select("doc_id", T.scope_rank(mode).alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_token, bm25_short_tokens_dropped, bm25_from_index, knn_cosine_topk, knn_threshold, rrf_fusion, hybrid_search, hydrate_siblings, multi_get, check_changes, orphans, work_set, file_status_counters, point_lookup, indexed_paths, total_chunks, failed_chunks, last_indexed, storage_paths, pending_counts, context_stats, context_by_file, pending_by_file, pending_queue, pending_contexts, kb_summary, chunk_ids, content_hashes, doc_context, prompts, enriched, rebuild_document, sentence_counts, chunk_documents, normalized_vectors, postings_size, folder_classes, scope_ranks)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_token, bm25_short_tokens_dropped, bm25_from_index, knn_cosine_topk, knn_threshold, rrf_fusion, hybrid_search, hydrate_siblings, multi_get, check_changes, orphans, work_set, file_status_counters, point_lookup, indexed_paths, total_chunks, failed_chunks, last_indexed, storage_paths, pending_counts, context_stats, context_by_file, pending_by_file, pending_queue, pending_contexts, kb_summary, chunk_ids, content_hashes, doc_context, chunks_context, prompts, enriched, rebuild_document, sentence_counts, chunk_documents, normalized_vectors, postings_size, folder_classes, scope_ranks)}
 
 _CORPUS = "corpus AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS source_path, substr(sha256(source || '/' || doc_id || '.txt'), 1, 16) || '_0' AS id, text AS content, source FROM documents)"
 _TURNS = "turns AS (SELECT 'conv/' || conv_id AS source_path, turn::INT AS chunk_index, substr(sha256('conv/' || conv_id), 1, 16) || '_' || turn AS id, text AS content FROM conversations)"
@@ -356,6 +361,7 @@ ORACLES = {
     "chunk_ids": f"WITH {_TURNS} SELECT id, source_path, chunk_index FROM turns",
     "content_hashes": f"WITH {_CORPUS} SELECT source_path, sha256(content) AS file_hash FROM corpus",
     "doc_context": "SELECT doc_id, CASE WHEN length(text) = 0 THEN NULL WHEN length(text) <= 4000 THEN text WHEN length(text) <= 20000 THEN left(text, 2000) || chr(10) || '...' || chr(10) || right(text, 2000) ELSE left(text, 2000) || chr(10) || '...(truncated)' END AS context FROM documents",
+    "chunks_context": f"WITH {_TURNS}, t AS (SELECT source_path, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, content) AS text FROM turns GROUP BY source_path) SELECT source_path, CASE WHEN length(text) = 0 THEN NULL WHEN length(text) <= 4000 THEN text WHEN length(text) <= 20000 THEN left(text, 2000) || chr(10) || '...' || chr(10) || right(text, 2000) ELSE left(text, 2000) || chr(10) || '...(truncated)' END AS context FROM t WHERE text IS NOT NULL",
     "prompts": f"WITH {_TURNS}, n AS (SELECT *, count(*) OVER (PARTITION BY source_path) AS total, CASE WHEN length(content) <= 4000 THEN content WHEN length(content) <= 20000 THEN left(content, 2000) || chr(10) || '...' || chr(10) || right(content, 2000) ELSE left(content, 2000) || chr(10) || '...(truncated)' END AS ctx FROM turns) SELECT id, substr(sha256('Source: ' || source_path || ' (chunk ' || (chunk_index + 1) || ' of ' || total || ')' || chr(10) || CASE WHEN length(content) > 0 THEN chr(10) || '<document_summary>' || chr(10) || ctx || chr(10) || '</document_summary>' || chr(10) ELSE '' END || chr(10) || '<chunk>' || chr(10) || content || chr(10) || '</chunk>' || chr(10)), 1, 16) AS prompt_hash FROM n",
     "enriched": f"WITH {_TURNS} SELECT id, CASE chunk_index % 3 WHEN 0 THEN 'about ' || source_path || chr(10) || 'Keywords: a, b' || chr(10) || chr(10) || content WHEN 1 THEN 'Keywords: k' || chr(10) || chr(10) || content ELSE content END AS enriched FROM turns",
     "rebuild_document": f"WITH {_TURNS} SELECT source_path, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, content) AS text FROM turns GROUP BY source_path",

@@ -2,11 +2,12 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import chunk_id
+from lodestone.functions.text import chunk_id, context_of
 from lodestone.operators import stats, textindex
 from lodestone.operators.search import bm25_topk
 from lodestone.plans import store as S
@@ -128,3 +129,34 @@ def test_index_segments(spark, tmp_path, monkeypatch):
     S.delete_paths(store, store.table("file_index").select("source_path"))
     S.refresh_index(store)
     assert store.index["segments"] == [] and searched("zebra") == 0
+
+
+def test_vacuum_keeps_what_is_named_or_leased(spark, tmp_path):
+    store = _made(spark, tmp_path / "s", 40, 16)
+    S.refresh_index(store)
+    reader, late = Store(spark, store.root, read_only=True), Store(spark, store.root, read_only=True)
+    lease = reader.lease(60, now=1000.0)
+    for k in range(3):
+        S.replace_files(store, _chunks(spark, [k], 1, "new"))
+    S.refresh_index(store)
+    unfinished = tmp_path / "s" / f"v{store.version + 1}-00000000" / "chunks"  # a writer is at it
+    unfinished.mkdir(parents=True)
+    full = _bytes(tmp_path / "s")
+    assert store.vacuum(1, now=1010.0) > 0 and late.version == reader.version
+    assert reader.table("chunks").count() == 120 and store.table("chunks").where("content like 'new%'").count() == 3  # the leased version is whole
+    assert textindex.of_index(spark, store.root, reader.index)[0].count() > 0 and unfinished.exists()
+    assert store.vacuum(1, now=2000.0) > 0 and not (tmp_path / "s" / lease).exists()
+    assert os.listdir(tmp_path / "s" / "versions") in ([f"v{store.version}.json"], [f".v{store.version}.json.crc", f"v{store.version}.json"], [f"v{store.version}.json", f".v{store.version}.json.crc"])
+    assert len(_bytes(tmp_path / "s")) < len(full) and Store(spark, store.root).table("chunks").count() == 114 and Store(spark, store.root).table("embeddings").count() == 111
+    S.refresh_index(store)
+    assert store.vacuum(1, now=2000.0) >= 0 and S.index_is_current(store)
+
+
+def test_context_of_chunks_equals_that_of_texts(spark):
+    r = random.Random(4)
+    rows = [(f"p{p}", i, "x" * r.randint(0, 9) + f"{p}-{i} " * r.randint(0, size)) for p, (n, size) in enumerate([(1, 0), (1, 2000), (3, 10), (2500, 0), (900, 3), (30, 90), (60, 200), (5000, 1)]) for i in range(n)] + [("none", 0, None), ("empty", 0, "")]
+    df = spark.createDataFrame(rows, "source_path string, chunk_index int, content string")
+    want = {x.source_path: x.context for x in stats.document_text(df.where("content is not null")).select("source_path", context_of(F.col("text")).alias("context")).collect()}
+    got = stats.document_context(df)
+    assert {x.source_path: x.context for x in got.collect()} == want and len(want) == 9
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()  # no more rows than that of a document move
