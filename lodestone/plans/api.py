@@ -164,7 +164,8 @@ class KnowledgeBases:
         """(source_path, change) of every file that changed."""
         folder = self.base / kb_id
         store, config = self._store(folder), read_config(folder / "config.json")
-        return J.changes(scan(self.spark, config.sourcePaths).select("source_path", "file_hash"), store.table("file_index"), store.table("failures")).where("change <> 'unchanged'")
+        files = store.table("file_index")
+        return J.changes(scan(self.spark, config.sourcePaths, files).select("source_path", "file_hash"), files, store.table("failures")).where("change <> 'unchanged'")
 
     def check_changes(self, kb_id: str, limit: int = PATHS_TOLD) -> dict:
         """Counts of all changes, up to `limit` paths of each kind, and whether the index is stale."""

@@ -363,7 +363,8 @@ def persist_pending(store: Store, chunks: DataFrame, hashes: DataFrame) -> int:
     paths = new.select("source_path").distinct()
     touched = store.touched(paths)
     counted = new.groupBy("source_path").agg(F.count_if(~F.col("is_contextualized")).cast("int").alias("chunks_raw"), F.count_if("is_contextualized").cast("int").alias("chunks_contextualized"), F.count("*").cast("int").alias("chunks_pending"))
-    files = counted.join(hashes.select("source_path", "file_hash"), "source_path").withColumn("status", F.lit(2)).withColumn("indexed_at", F.current_timestamp())
+    facts = [c for c in ("file_hash", "size", "modified") if c in hashes.columns]
+    files = counted.join(hashes.select("source_path", *facts), "source_path").withColumn("status", F.lit(2)).withColumn("indexed_at", F.current_timestamp())
     old, vectors = (store.part(name, touched).join(paths, "source_path", "left_anti") for name in ("chunks", "embeddings"))
     return store.commit(touched, chunks=old.select(*new.columns).unionByName(new), embeddings=vectors, file_index=upsert(store.part("file_index", touched), migrate(files, "file_index"), "source_path"))
 

@@ -20,7 +20,7 @@ from ..functions.text import DEFAULT_BATCH, DEFAULT_PROMPT, batch_size, chunk_id
 from ..operators import stats
 from ..operators.changes import orphans, work_set
 from ..schema import SCHEMA_VERSION, ProviderHealth, migrate
-from ..sources.files import Config, contents, parse, scan
+from ..sources.files import Config, contents, listing, parse, scan
 from .lock import IndexLock
 from .providers import EMBEDDED, Contextualizer, Embedder, Ledger, NullContextualizer, NullEmbedder, asked_of, by_file, contextualize, embed_windows
 from .store import Store, contextualized, delete_paths, index_is_current, mark_files_failed, persist_pending, prepare_partial, promote, refresh_index, set_metadata, settle, update_chunks
@@ -217,7 +217,7 @@ def index(spark: SparkSession, root: str, config: Config, embedder: Embedder | N
         if not force and store.version and _unchanged(run, config, result):
             return result
         _opened(run, config)
-        listed = run.written(scan(spark, config.sourcePaths), "listed")
+        listed = run.written(scan(spark, config.sourcePaths, None if force else store.table("file_index")), "listed")
         gone = orphans(listed, store.table("file_index"))
         if not gone.isEmpty():
             delete_paths(store, gone)
@@ -248,17 +248,16 @@ def index(spark: SparkSession, root: str, config: Config, embedder: Embedder | N
 
 
 def _unchanged(run: _Run, config: Config, result: RunResult) -> bool:
-    """A run over folders in which nothing has changed, with no chunk waiting, is one job and writes nothing
-    but its metadata."""
+    """A run over folders in which no size and time of change differs, with no chunk waiting, is one job, opens no
+    file and writes nothing but its metadata."""
     store = run.store
-    facts = store.metadata
-    if facts.get("effective_prompt_hash") != prompt_hash(config.systemPrompt or DEFAULT_PROMPT) or run.cancelled():
+    if store.metadata.get("effective_prompt_hash") != prompt_hash(config.systemPrompt or DEFAULT_PROMPT) or run.cancelled():
         return False
-    listed = scan(run.spark, config.sourcePaths).select("source_path", "file_hash")
-    files = store.table("file_index").select("source_path", F.col("file_hash").alias("old"), "status")
-    both = listed.join(files, "source_path", "full_outer")
-    odd = F.coalesce(F.col("file_hash") != F.col("old"), F.lit(True)) | (F.col("status") == 2)
-    n = both.agg(F.count("*").alias("n"), F.count_if(odd).alias("odd")).first()
+    now = listing(run.spark, config.sourcePaths).select("source_path", "size", "modified")
+    files = store.table("file_index").select("source_path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), "status")
+    both = now.join(files, "source_path", "full_outer")
+    same = (F.col("size") == F.col("_size")) & (F.col("modified") == F.col("_modified")) & (F.col("status") != 2)
+    n = both.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(same, F.lit(False))).alias("odd")).first()
     if n.odd:
         return False
     result.skipped = n.n

@@ -44,7 +44,7 @@ class FolderClass:
 
 CHUNKS = "id string, source_path string, chunk_index int, content string, enriched string, char_offset int, metadata string, status int, is_contextualized boolean, last_error string, retry_count int"
 EMBEDDINGS = "chunk_id string, model string, embedding array<float>, norm double, source_path string"
-FILES = "source_path string, file_hash string, indexed_at timestamp, status int, chunks_raw int, chunks_contextualized int, chunks_pending int, last_error string, last_error_stage string"
+FILES = "source_path string, file_hash string, indexed_at timestamp, status int, chunks_raw int, chunks_contextualized int, chunks_pending int, last_error string, last_error_stage string, size bigint, modified timestamp"
 METADATA = "key string, value string"
 SCAN = "source_path string, file_hash string"
 FAILURES = "source_path string, error string"

@@ -64,17 +64,17 @@ def register(extension: str, parser: Parser) -> None:
 
 
 FILES_AT_ONCE = 20_000  # paths that the driver names to one job
-SCANNED = "source_path string, file string, file_hash string"
+LISTED = "source_path string, file string, size bigint, modified timestamp"
 
 
-def scan(spark: SparkSession, roots: list[str], parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """(source_path, file, file_hash) of all supported files below the roots: every byte is read once, for the
-    hash. Paths are relative, with the root's number before them if there are several; roots that are missing
-    or empty are skipped."""
+def listing(spark: SparkSession, roots: list[str], parsers: dict[str, Parser] | None = None, hashed: bool = False) -> DataFrame:
+    """(source_path, file, size, modified) of all supported files below the roots, none of which is opened unless
+    their file_hash is asked for. Paths are relative, with the root's number before them if there are several;
+    roots that are missing or empty are skipped."""
     known = PARSERS if parsers is None else parsers
     pattern = "(?i)(" + "|".join(k.replace(".", r"\.") for k in sorted(known)) + ")$"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    out = spark.createDataFrame([], SCANNED)
+    out = spark.createDataFrame([], LISTED + (", file_hash string" if hashed else ""))
     for number, root in enumerate(roots):
         where = jvm.org.apache.hadoop.fs.Path(root)
         fs = where.getFileSystem(conf)
@@ -84,19 +84,42 @@ def scan(spark: SparkSession, roots: list[str], parsers: dict[str, Parser] | Non
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(pattern))
         plain = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + re.sub(r"([^\w/])", r"\\\1", base) + "/", "")
         path = storage_path(plain, F.lit(number) if len(roots) > 1 else None)
-        out = out.unionByName(rows.select(path.alias("source_path"), F.col("path").alias("file"), F.sha2("content", 256).alias("file_hash")))
+        out = out.unionByName(rows.select(path.alias("source_path"), F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *[F.sha2("content", 256).alias("file_hash")] * hashed))
     return out
 
 
+def _named(spark: SparkSession, names: list[str]) -> DataFrame:
+    """Files by their paths, which are no patterns."""
+    return spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in names])
+
+
+def scan(spark: SparkSession, roots: list[str], files: DataFrame | None = None, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """The listing with file_hash. files is what is known of them (a file index): a file of known size and time of
+    change keeps its hash and is not opened; all others are read once. Without files every one is read. A change that
+    keeps both size and time is not seen this way."""
+    if files is None:
+        return listing(spark, roots, parsers, True)
+    known = files.select("source_path", "file_hash", F.col("size").alias("_size"), F.col("modified").alias("_modified"))
+    both = listing(spark, roots, parsers).join(known, "source_path", "left")
+    same = F.coalesce(F.col("file_hash").isNotNull() & (F.col("size") == F.col("_size")) & (F.col("modified") == F.col("_modified")), F.lit(False))
+    own = ["source_path", "file", "size", "modified"]
+    new = both.where(~same).select(*own)
+    names = [r.file for r in new.select("file").limit(FILES_AT_ONCE + 1).collect()]
+    if len(names) > FILES_AT_ONCE:
+        return listing(spark, roots, parsers, True)
+    old = both.where(same).select(*own, "file_hash")
+    return old.unionByName(new.join(_named(spark, names).select(F.col("path").alias("file"), F.sha2("content", 256).alias("file_hash")), "file").select(*own, "file_hash")) if names else old
+
+
 def contents(spark: SparkSession, files: DataFrame) -> Iterator[DataFrame]:
-    """(source_path, file_hash, content) of listed files, some thousands at a time: only these are opened. They come
-    in the order of the store's buckets, so that hardly any bucket is written for two of these parts."""
+    """Listed files with their content, some thousands at a time: only these are opened. They come in the order of the
+    store's buckets, so that hardly any bucket is written for two of these parts."""
     rows = files.orderBy(path_hash(F.col("source_path"))).select("file").toLocalIterator()
     while names := [(r.file,) for r in islice(rows, FILES_AT_ONCE)]:
-        # names are paths, not patterns; the rows beside them are as many, so they are broadcast
-        read = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for (n,) in names]).select(F.col("path").alias("file"), "content")
+        # the rows beside them are as many as the names, so they are broadcast
+        read = _named(spark, [n for (n,) in names]).select(F.col("path").alias("file"), "content")
         own = files.join(F.broadcast(spark.createDataFrame(names, "file string")), "file")
-        yield read.join(F.broadcast(own), "file").select("source_path", "file_hash", "content")
+        yield read.join(F.broadcast(own), "file")
 
 
 def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
@@ -117,7 +140,8 @@ def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFra
                 out.append((None, None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["text", "metadata", "error"])
 
-    return files.select("source_path", "file_hash", run("source_path", "content").alias("r")).select("source_path", "file_hash", "r.text", "r.metadata", "r.error")
+    facts = [c for c in ("source_path", "file_hash", "size", "modified") if c in files.columns]
+    return files.select(*facts, run("source_path", "content").alias("r")).select(*facts, "r.text", "r.metadata", "r.error")
 
 
 @dataclass

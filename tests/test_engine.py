@@ -218,6 +218,23 @@ def test_null_providers_index_ready_files_and_search(kb):
     assert [r.chunk_id for r in live.collect()] == [r.id for r in kb.rows("chunks")] and n == 1
 
 
+def test_only_files_of_another_size_or_time_are_opened(kb):
+    kb.put("a.txt", "One text.")
+    kb.put("b.txt", "Another text.")
+    index(kb.spark, kb.root, kb.config)
+    stat = os.stat(kb.docs / "a.txt")
+    kb.put("a.txt", "Two text.")
+    os.utime(kb.docs / "a.txt", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    version = Store(kb.spark, kb.root).version
+    assert index(kb.spark, kb.root, kb.config).skipped == 2 and Store(kb.spark, kb.root).version == version + 1  # opened, it would be seen
+    kb.put("b.txt", "Other words.")
+    bases = KnowledgeBases(kb.spark, str(kb.base))
+    assert bases.check_changes(kb.kb)["modified"] == ["b.txt"]
+    run = index(kb.spark, kb.root, kb.config)
+    assert (run.indexed, run.skipped) == (1, 1) and {r.content for r in kb.rows("chunks")} == {"One text.", "Other words."}
+    assert index(kb.spark, kb.root, kb.config, force=True).indexed == 2 and {r.content for r in kb.rows("chunks")} == {"Two text.", "Other words."}
+
+
 def test_names_are_paths_and_not_patterns(kb):
     for name in ("a [1].txt", "b{2}.txt", "c*.md", "d e.txt", "f%20g.txt"):
         kb.put(name, f"Text of {name}.")
