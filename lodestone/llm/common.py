@@ -83,6 +83,11 @@ def fold_of(key: str = "doc_id", folds: int = 5):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Whether a row is held out; one without an id is not, nor does anything learn from it."""
+    return F.coalesce(fold_of(key) == 0, F.lit(False))
+
+
 def window_of(text: Column, chars: int) -> Column:
     """The text itself, or of a longer one so many characters from anywhere in it, by a hash of the text."""
     last = F.greatest(F.length(text) - chars, F.lit(0))

@@ -17,7 +17,7 @@ between different texts is lost, and a group of near copies costs about one comp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import U64, gathered, materialise, mix, small, text_blocks, text_column, unused
 from .components import components
@@ -71,7 +72,7 @@ def boundary(list_length: float) -> int:
 
 
 _BITMAP = [f"s{k}" for k in range(WORDS)]
-_FACTS = pa.schema([*((c, pa.int64()) for c in ["doc_id", "node", "n", "token", "seen", *_BITMAP]), ("wide", pa.binary())])
+_FACTS = ["doc_id", "node", "n", "token", "seen", *_BITMAP, "wide"]
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -87,36 +88,47 @@ def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (node null without words), and rows (token, seen) for the shingles that
-    several different sets of this partition have."""
-    nodes: set[int] = set()
-    held: list[np.ndarray] = []
-    size = 0
-
-    def repeats() -> pa.RecordBatch:
-        tokens, seen = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
-        tokens, seen = tokens[seen > 1].view(np.int64), seen[seen > 1]
-        none = pa.nulls(len(tokens), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens), pa.array(seen), *[none] * WORDS, pa.nulls(len(tokens), pa.binary())], schema=_FACTS)
-
-    for part, data, offsets in text_blocks(batches, "text", BLOCK_BYTES):
-        sets = shingle_sets(data, offsets)
-        names = [node_of(s) if len(s) else None for s in sets]
-        for name, s in zip(names, sets, strict=True):
-            if name is not None and name not in nodes:
-                nodes.add(name)
-                held.append(s)
-                size += len(s)
-        none = pa.nulls(len(sets), pa.int64())
-        wide = [_bitmap(s) for s in sets]
-        maps = np.array([_folded(w, WORDS) for w in wide], dtype=np.int64).reshape(len(sets), WORDS)
-        ids = part.column(part.schema.get_field_index("doc_id"))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none, *(pa.array(maps[:, k]) for k in range(WORDS)), pa.array([w.tobytes() for w in wide], pa.binary())], schema=_FACTS)
-        if size >= COUNT_TOKENS:
-            yield repeats()
-            held, size = [], 0
-    yield repeats()
+def _id_kind(docs: DataFrame) -> str:
+    """long for ids that are whole numbers; ids of any other type are compared as text."""
+    return "long" if isinstance(docs.schema["doc_id"].dataType, IntegralType) else "string"
+
+
+def _facts(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of one partition: one for each document (node null without words), and rows (token, seen) for the
+    shingles that several different sets of this partition have."""
+    id_type = pa.int64() if kind == "long" else pa.string()
+    schema = pa.schema([("doc_id", id_type), *((c, pa.int64()) for c in _FACTS[1:-1]), ("wide", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def repeats() -> pa.RecordBatch:
+            tokens, seen = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
+            tokens, seen = tokens[seen > 1].view(np.int64), seen[seen > 1]
+            none = pa.nulls(len(tokens), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), id_type), none, none, pa.array(tokens), pa.array(seen), *[none] * WORDS, pa.nulls(len(tokens), pa.binary())], schema=schema)
+
+        for part, data, offsets in text_blocks(batches, "text", BLOCK_BYTES):
+            sets = shingle_sets(data, offsets)
+            names = [node_of(s) if len(s) else None for s in sets]
+            for name, s in zip(names, sets, strict=True):
+                if name is not None and name not in nodes:
+                    nodes.add(name)
+                    held.append(s)
+                    size += len(s)
+            none = pa.nulls(len(sets), pa.int64())
+            wide = [_bitmap(s) for s in sets]
+            maps = np.array([_folded(w, WORDS) for w in wide], dtype=np.int64).reshape(len(sets), WORDS)
+            ids = part.column(part.schema.get_field_index("doc_id"))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none, *(pa.array(maps[:, k]) for k in range(WORDS)), pa.array([w.tobytes() for w in wide], pa.binary())], schema=schema)
+            if size >= COUNT_TOKENS:
+                yield repeats()
+                held, size = [], 0
+        yield repeats()
+
+    return run
 
 
 class _Order:
@@ -334,8 +346,9 @@ def _left(spread: DataFrame) -> DataFrame:
 
 def _rooted(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, node, n and root, the name of its component; node and root null without words."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = materialise(docs.mapInArrow(_facts, ", ".join(f"{c} long" for c in _FACTS.names[:-1]) + ", wide binary"), "facts")
+    kind = _id_kind(docs)
+    docs = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+    facts = materialise(docs.mapInArrow(_facts(kind), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _FACTS[1:-1]) + ", wide binary"), "facts")
     rows = facts.where("doc_id is not null or n is not null").select("doc_id", "node", "n")
     counted = facts.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -372,7 +385,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     blank texts have no shingles and link with nothing; exact copies link with each other; texts under
     five words are one shingle; a very long text is one set, held whole by one task. Repeated rows give repeated
     results; further columns, whatever their names, are ignored; an empty table gives an empty result. Rows
-    without a doc_id link like others and bear the least id of their component, null if it has none. Names of sets and shingles are 64-bit hashes (chance of any false merge
+    without a doc_id link like others and bear the least id of their component, null if it has none. Ids that are no whole numbers
+    are compared as text. Names of sets and shingles are 64-bit hashes (chance of any false merge
     among 10^9 different texts: about 3 in 100).
     """
     rows = _rooted(docs)
@@ -403,7 +417,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     pairs = materialise(linked.groupBy(F.col("doc_id").alias(pair[0]), F.col("node").alias(pair[1])).agg(F.first("stays").alias(pair[2]), F.count("*").alias(pair[3])), "pairs")
     name = unused("_node", docs.columns)
     named = materialise(docs.withColumn(name, _node_column(F.col("text"))), "named")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(pair[0])) & (F.col(name) == F.col(pair[1]))
+    same = F.col("doc_id").cast(_id_kind(docs)).eqNullSafe(F.col(pair[0])) & (F.col(name) == F.col(pair[1]))
     kept = named.join(small(pairs.where(~F.col(pair[2]))), same, "left_anti")
     twice = pairs.where(F.col(pair[2]) & (F.col(pair[3]) > 1))
     if twice.limit(1).count():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import filter_audit, html_text, jaccard, langid, mixing, pieces, quality_cnn, rules, sharding, telephony, urls, vector_codes, word_bpe
-from .common import fold_of, table
+from .common import held_out, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +25,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs), ["doc_id"])
-    return found.select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_cnn.score_texts(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
-    return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= quality_cnn.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality_cnn.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

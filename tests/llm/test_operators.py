@@ -48,6 +48,24 @@ def _brute(rows):
     return Counter((d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
+def test_jaccard_of_ids_that_are_text(spark):
+    own = " ".join(f"w{k}" for k in range(60))
+    rows = [("b", own), ("a10", own + " x"), ("a9", "w0 w1"), (None, own), ("z", None), ("a9", "other words in here now")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((x.doc_id or "", x.n_shingles, x.component_id) for x in jaccard.jaccard_classes(df).collect())
+    assert got == [("", 56, "a10"), ("a10", 57, "a10"), ("a9", 1, "a9"), ("a9", 1, "a9"), ("b", 56, "a10"), ("z", 0, "z")]
+    assert sorted((x.doc_id, x.text or "") for x in jaccard.survivors(df).collect()) == sorted((i, t or "") for i, t in rows if i not in ("b", None))
+    numbers = spark.createDataFrame([(2, own), (1, own)], "doc_id int, text string")
+    assert dict(jaccard.jaccard_classes(numbers).dtypes)["doc_id"] == "bigint" and {x.component_id for x in jaccard.jaccard_classes(numbers).collect()} == {1}
+
+
+def test_rows_without_an_id_are_not_held_out(spark):
+    from lodestone.llm.common import held_out
+
+    rows = spark.createDataFrame([(None,), *((k,) for k in range(50))], "doc_id long").select("doc_id", held_out().alias("h")).collect()
+    assert [x.h for x in rows] == [False, *(zlib.crc32(str(k).encode()) % 5 == 0 for k in range(50))]
+
+
 def test_jaccard_equals_brute_force(spark):
     r, words = random.Random(5), [f"w{k}" for k in range(400)]
     rows = list(ODD)
