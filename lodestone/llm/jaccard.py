@@ -407,7 +407,9 @@ def _node_column(text: Column) -> Column:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each component the one row with the least (doc_id, set name),
-    null ids last. Rows without a set or a link stay, whatever other rows have their doc_id."""
+    null ids last. Rows without a set or a link stay, whatever other rows have their doc_id: null, empty and blank
+    texts among them. Of rows equal in id and set one stays. Texts are compared whole, however long; an empty table
+    gives an empty one; columns keep their names, whatever these are."""
     pair = [unused(c, docs.columns) for c in ("_id", "_set", "_stays", "_size")]
     rows = materialise(_rooted(docs), "rooted").where("root is not null")
     by = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")

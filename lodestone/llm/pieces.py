@@ -373,7 +373,8 @@ def encode_texts(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFr
 
 def decode_ids(df: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
     """The columns in keep, and text decoded from the column ids; null stays null. Bytes that are no
-    UTF-8 become U+FFFD. A column in keep named text is replaced."""
+    UTF-8 become U+FFFD. A list is decoded whole, however long; repeated rows give repeated texts and an empty table
+    an empty one. A column in keep named text is replaced."""
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -204,7 +204,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
 
 
 def score_column(text: Column, net: Network) -> Column:
-    """The score (double, 0 to 1) of whole texts."""
+    """The score (double, 0 to 1) of whole texts, however long. Null is scored like the empty text, and equal texts get
+    equal scores up to the order of float32 sums."""
 
     def judge(data: np.ndarray, offsets: np.ndarray, _: pa.Array) -> pa.Array:
         whole = len(data) <= SEGMENT
