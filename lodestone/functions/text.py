@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 DEFAULT_PROMPT = "Describe where the passage stands in its document, then list its keywords. Answer in two lines, CONTEXT: and KEYWORDS:."
 WHOLE_CONTEXT, LARGE_CONTEXT, CONTEXT_PART = 4000, 20000, 2000
 EMBEDDING_INPUT = 12000
+GUID = r"^[{(]?[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}[)}]?$"
 FULL_DIMENSION = 3072
 DEFAULT_BATCH = 256
 # Provider:model -> embedding batch size.
@@ -109,7 +110,7 @@ def skippable(old_hash: Column, new_hash: Column, status: Column) -> Column:
 def folder_class(name: Column, has_config: Column, require_guid: bool = False) -> Column:
     hidden = name.startswith(".") | name.startswith("_") | F.lower(name).contains("-backup-")
     if require_guid:
-        hidden = hidden | ~name.rlike(r"^[{(]?[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}[)}]?$")
+        hidden = hidden | ~name.rlike(GUID)
     return F.when(hidden, "Protected").when(has_config, "LiveKb").otherwise("Orphan")
 
 

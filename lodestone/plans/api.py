@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 import shutil
 import time
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DEFAULT_PROMPT
+from ..functions.text import DEFAULT_PROMPT, GUID
 from ..operators import changes as J
 from ..operators import stats
 from ..operators.search import TOP_K, hybrid, hydrate, materialised, with_siblings
@@ -38,11 +38,8 @@ def classify(folder: Path, require_guid: bool = False) -> str:
     name = folder.name
     if name[:1] in "._" or "-backup-" in name.lower():
         return "Protected"
-    if require_guid:
-        try:
-            uuid.UUID(name)
-        except ValueError:
-            return "Protected"
+    if require_guid and not re.match(GUID, name):
+        return "Protected"
     return "LiveKb" if (folder / "config.json").exists() else "Orphan"
 
 
