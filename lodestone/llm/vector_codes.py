@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, unused
+from .common import gathered, materialise, unused
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 BLOCK_BYTES = 8 << 20  # of the float32 products that are held at once
+BLOCK_VALUES = 1 << 20  # components that are assigned together
 #: Largest component, as an integer, whose distances and sums int64 holds; larger ones are computed as Python's integers.
 FITS = 1 << 24
 HOT_SHARE = 1000  # labels with over a 1000th of all rows, 1000 at most, are joined by broadcast
@@ -183,7 +184,7 @@ def next_books(rows: DataFrame, vector: str, books: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(books)
-        for batch in batches:
+        for batch in gathered(batches, max(1, BLOCK_VALUES // max(1, parts * d))):
             _, matrix = matrix_of(batch.column(0), parts * d)
             if len(matrix):
                 sums.take(matrix)
