@@ -160,3 +160,31 @@ def test_context_of_chunks_equals_that_of_texts(spark):
     got = stats.document_context(df)
     assert {x.source_path: x.context for x in got.collect()} == want and len(want) == 9
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()  # no more rows than that of a document move
+
+
+def test_counters_follow_every_transition(spark, tmp_path):
+    store = _made(spark, tmp_path / "s", 12)
+    ids = store.table("chunks").select("id", "source_path")
+
+    def same():
+        files, chunks = store.table("file_index"), store.table("chunks")
+        said = files.selectExpr("count(*)", *[f"count_if(status = {k})" for k in range(5)], "sum(chunks_raw)", "count_if(chunks_raw > 0)").first()
+        names = ("files", "ready", "degraded", "partially_deferred", "needs_action", "failed", "chunks_raw", "degraded_files")
+        assert tuple(said) == tuple(store.count(n) for n in names)
+        assert tuple(chunks.selectExpr("count(*)", "count_if(status = 2)", "count_if(status = 5)").first()) == tuple(store.count(n) for n in ("chunks", "pending_embedding", "pending_contextualization"))
+
+    S.update_chunks(store, ids.where("source_path < 'f3'"), 2, "late")
+    same()
+    S.prepare_partial(store, "contextualization")
+    same()
+    S.contextualized(store, store.table("chunks").where("source_path = 'f5.txt'").withColumn("status", F.lit(2)))
+    same()
+    S.promote(store, ids.where("source_path = 'f5.txt'").select(F.col("id").alias("chunk_id"), F.lit("m").alias("model"), F.array(F.lit(1.0).cast("float")).alias("embedding"), "source_path"))
+    same()
+    S.mark_files_failed(store, spark.createDataFrame([("f6.txt", "e"), ("none", "e")], "source_path string, error string"), "extract")
+    S.persist_pending(store, _chunks(spark, [30], 2), spark.createDataFrame([("f30.txt", "h")], "source_path string, file_hash string"))
+    same()
+    assert store.last_indexed is not None
+    S.settle(store)
+    same()
+    assert store.count("pending_embedding") == 0 and Store(spark, store.root).counters == store.counters
