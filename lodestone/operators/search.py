@@ -15,6 +15,7 @@ from ..functions.text import norm_of, query_tokens
 K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
 TOP_K, THRESHOLD, CANDIDATES = 5, 0.3, 3
+HELD_GRAMS, OUT_GRAMS = 1 << 20, 1 << 16  # trigrams of chunks that a task holds before it adds them up; of a batch it gives
 
 
 def occurrences(text: Column, phrase: str) -> Column:
@@ -184,6 +185,19 @@ def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vecto
     return rrf([listed, near], k).withColumn("search_mode", F.lit("hybrid"))
 
 
+def _grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of a text in order, three code points of 21 bits in one number, and how often each is there."""
+    code = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique((code[:-2] << 42) | (code[1:-1] << 21) | code[2:], return_counts=True)
+
+
+def _gram_texts(grams: np.ndarray) -> pa.Array:
+    """Trigrams as strings."""
+    parts = np.stack([grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF], axis=1)
+    chars = parts.astype("<u4").tobytes().decode("utf-32-le")
+    return pa.array([chars[k : k + 3] for k in range(0, len(chars), 3)], pa.string())
+
+
 def postings(chunks: DataFrame, id: str = "chunk_id", text: str = "content") -> DataFrame:
     """(trigram, id, tf): counts of trigrams, each chunk's by itself, so nothing moves; textindex.py has the index
     that searches read."""
@@ -191,14 +205,58 @@ def postings(chunks: DataFrame, id: str = "chunk_id", text: str = "content") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, own in zip(batch.column(0), batch.column(1), strict=True):
-                code = np.frombuffer((own.as_py() or "").encode("utf-32-le"), np.uint32)
-                grams, counts = np.unique(np.lib.stride_tricks.sliding_window_view(code, 3), axis=0, return_counts=True) if len(code) > 2 else (code[:0], code[:0])
-                chars = np.ascontiguousarray(grams).tobytes().decode("utf-32-le")
-                yield pa.RecordBatch.from_arrays([pa.array([chars[k : k + 3] for k in range(0, len(chars), 3)], pa.string()), pa.array([name.as_py()] * len(counts), pa.string()), pa.array(counts.astype(np.int64))], names=["trigram", id, "tf"])
+                grams, counts = _grams(own.as_py())
+                yield pa.RecordBatch.from_arrays([_gram_texts(grams), pa.array([name.as_py()] * len(counts), pa.string()), pa.array(counts.astype(np.int64))], names=["trigram", id, "tf"])
 
     return chunks.select(F.col(id).cast("string"), F.lower(F.col(text))).mapInArrow(run, f"trigram string, {id} string, tf long")
 
 
+def _task_sums(chunks: DataFrame, text: str) -> DataFrame:
+    """(trigram, df, tf) of each task's chunks; a task with very many different trigrams gives some more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.zeros(0, np.int64)
+        grams, sums = empty, np.zeros((2, 0), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def merge() -> None:
+            nonlocal grams, sums, found, held
+            every = np.concatenate([grams, *(g for g, _ in found)])
+            df = np.concatenate([sums[0], np.ones(held, np.int64)])
+            tf = np.concatenate([sums[1], *(n for _, n in found)])
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            first = np.flatnonzero(np.diff(every, prepend=-1))
+            grams, sums = every[first], np.stack([np.add.reduceat(x[order], first) if len(first) else empty for x in (df, tf)])
+            found, held = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(grams), OUT_GRAMS):
+                part = slice(k, k + OUT_GRAMS)
+                yield pa.RecordBatch.from_arrays([_gram_texts(grams[part]), pa.array(sums[0, part]), pa.array(sums[1, part])], names=["trigram", "df", "tf"])
+
+        for batch in batches:
+            for own in batch.column(0):
+                found.append(_grams(own.as_py()))
+                held += len(found[-1][0])
+                if held > HELD_GRAMS:
+                    merge()
+                    if len(grams) > HELD_GRAMS:  # very many different ones: what is held stays bounded
+                        yield from out()
+                        grams, sums = empty, np.zeros((2, 0), np.int64)
+        merge()
+        yield from out()
+
+    return chunks.select(F.lower(F.col(text))).mapInArrow(run, "trigram string, df long, tf long")
+
+
+def posting_sizes(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """(trigram, df, tf): how many rows of postings a trigram has, and their sum. A task adds up its own chunks' trigrams
+    before anything leaves it, so what moves is as much as there are different trigrams in a task, not postings."""
+    return _task_sums(chunks, text).groupBy("trigram").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
 def candidates(index: DataFrame, query: str, id: str = "chunk_id") -> DataFrame:
     """Ids that hold all trigrams of some token, from postings without positions; the text still has to be
     looked at."""

@@ -2,6 +2,7 @@ import sqlite3
 
 import pytest
 
+from lodestone.operators import search
 from lodestone.operators.search import bm25_scores, candidates, hybrid, knn_topk, postings, rrf, top
 
 DOCS = [("a1", "The quick brown fox aaaaa"), ("b2", "quick Quick café fox"), ("c3", "nothing here at all"), ("d4", "배터리 용량 battery cell"), ("e5", "aaa 100% [x] a.c")]
@@ -42,3 +43,21 @@ def test_postings_find_all_matches(spark):
     assert candidates(index, "ab").count() == 0
     assert index.where("trigram = 'aaa' and chunk_id = 'a1'").first().tf == 3
     assert top(bm25_scores(df, "quick"), 1).count() == 1
+
+
+def test_posting_sizes_add_up_in_tasks(spark, monkeypatch):
+    """Sums of all postings, for any number held at once, and few rows leave a task."""
+    rows = [*DOCS, ("f6", None), ("g7", ""), ("h8", "ab"), ("i9", "𝒳𝒴𝒵𝒳𝒴𝒵 aaaa")] + [(f"x{k}", "the same words " * 50) for k in range(200)]
+    df = spark.createDataFrame(rows, "chunk_id string, content string").coalesce(1)
+    want = {}
+    for _, text in rows:
+        own = [(text or "").lower()[k : k + 3] for k in range(len(text or "") - 2)]
+        for g in set(own):
+            n, tf = want.get(g, (0, 0))
+            want[g] = (n + 1, tf + own.count(g))
+    assert search._task_sums(df, "content").count() == len(want) < postings(df).count() / 10
+    for held in (search.HELD_GRAMS, 50):
+        monkeypatch.setattr(search, "HELD_GRAMS", held)
+        assert {r.trigram: (r.df, r.tf) for r in search.posting_sizes(df).collect()} == want
+    assert spark.createDataFrame([], df.schema).transform(search.posting_sizes).count() == 0
+    assert {r.trigram: r.n for r in postings(df).groupBy("trigram").count().withColumnRenamed("count", "n").collect()} == {g: n for g, (n, _) in want.items()}
