@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -52,37 +53,47 @@ def postings(rows: DataFrame, segment: int = 0) -> DataFrame:
     types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
     schema = pa.schema([(n, types[f.split()[1]]) for n, f in zip(names, POSTINGS.split(", "), strict=True)])
 
+    def lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int32)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = (segment << 40) + (TaskContext.get().partitionId() << 20)
-        held: dict[str, list[tuple[int, int]]] = {}
-        docs: list[tuple] = []
-        chars = 0
+        held: list[pa.RecordBatch] = []
+        docs = chars = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal at, chars
-            dls = np.array([d[1] for d in docs], np.int32)
-            words = list(held)
-            sizes = np.array([len(held[w]) for w in words], np.int64)
-            pairs = np.array([x for w in words for x in held[w]], np.int32).reshape(-1, 2)
-            cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            own = [pa.array(words, pa.string()), pa.array(np.full(len(words), at)), pa.array(sizes.astype(np.int32))]
-            own += [pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(x))) for x in (pairs[:, 0], pairs[:, 1], dls[pairs[:, 0]])]
+            nonlocal at, docs, chars
+            name, ph, folded, own_name, dl, h = (pa.concat_arrays([b.column(k) for b in held]) for k in range(6))
+            dls = dl.to_numpy()
+            split = [pc.utf8_split_whitespace(text) for text in (folded, own_name)]  # as str.split; gives empty words too
+            each = pa.concat_arrays([x.flatten() for x in split])
+            places = np.concatenate([np.repeat(np.arange(docs), pc.list_value_length(x).fill_null(0).to_numpy()) for x in split])
+            real = pc.not_equal(each, "")
+            coded = each.filter(real).dictionary_encode()
+            number = coded.indices.to_numpy().astype(np.int64)
+            pairs, tfs = np.unique((number << 32) | places[real.to_numpy(zero_copy_only=False)], return_counts=True)  # by word, then place
+            places = pairs & 0xFFFFFFFF
+            words = coded.dictionary.cast(pa.string())
+            sizes = np.bincount(pairs >> 32, minlength=len(words))
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            own = [words, pa.array(np.full(len(words), at)), pa.array(sizes.astype(np.int32)), *(lists(x, cuts) for x in (places, tfs, dls[places]))]
             yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(words), schema.field(k).type) for k in range(6, 9))], schema=schema)
-            rows = [("", at, 1, [k], [0], [d[1]], d[2], d[0], d[3]) for k, d in enumerate(docs)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(9)], schema=schema)
+            ones = np.arange(docs + 1)
+            rows = [pa.array([""] * docs, pa.string()), pa.array(np.full(docs, at)), pa.array(np.ones(docs, np.int32)), *(lists(x, ones) for x in (ones[:-1], np.zeros(docs), dls))]
+            yield pa.RecordBatch.from_arrays([*rows, ph, name.cast(pa.string()), h], schema=schema)
             held.clear()
-            docs.clear()
-            at, chars = at + 1, 0
+            at, docs, chars = at + 1, 0, 0
 
         for batch in batches:
-            for name, ph, folded, own_name, dl, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place = len(docs)
-                for w, n in Counter([*folded.split(), *(own_name or "").split()]).items():
-                    held.setdefault(w, []).append((place, n))
-                docs.append((name, dl, ph, h))
-                chars += len(folded)
-                if len(docs) >= BATCH_CHUNKS or chars >= BATCH_CHARS:
+            first = 0
+            for k, size in enumerate(pc.utf8_length(batch.column(2)).to_pylist(), 1):
+                docs, chars = docs + 1, chars + size
+                if docs >= BATCH_CHUNKS or chars >= BATCH_CHARS:
+                    held.append(batch.slice(first, k - first))
+                    first = k
                     yield from flush()
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
         if docs:
             yield from flush()
 
@@ -245,9 +256,12 @@ def bm25_top(rows: DataFrame, query: str, k: int, dead: DataFrame | None = None,
     if tokens and k:
         n, length = _sizes(rows, dead, n, length)
         found, repeats = found_in(rows, list(tokens), dead, n), list(tokens.values())
+        if n > READ_WHOLE:  # held, as it is looked at again where there is more than a few
+            found = found.persist()
         few = found.limit(HELD + 1).collect()
         if len(few) <= HELD:
             best = _scored_here(few, repeats, n, length)
+            found.unpersist()
         else:
             scored = _scored(found, repeats, n, length)
             digits = F.round("score", 9)
